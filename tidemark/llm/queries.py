@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, sharding, simhash_dedup
+from tidemark.llm import chat_format, language_id, packing, sharding, simhash_dedup, suffix_dedup
 from tidemark.llm.common import table
 
 
@@ -17,6 +17,48 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def held_out(id_col: str = "doc_id") -> Column:
+    """Whether a row is kept from training: a quarter of all ids."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.select("doc_id", "text", "lang").where(~held_out()))
+    return language_id.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], turns.schema)
+    return chat_format.read_back(chat_format.format_conversations(turns.unionByName(more)))
+
+
+def _op2_sql() -> str:
+    length = lambda x: f"length(regexp_replace({x}, '{chat_format.CONTROL_PATTERN}', 'XX', 'g'))"
+    marks = len(chat_format.BEGIN + chat_format.SAYS + chat_format.END)
+    return f"""
+        WITH turns AS (
+            SELECT conv_id, turn, role AS r, text AS t FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        ordered AS (
+            SELECT conv_id, coalesce(r, '') AS role, coalesce(t, '') AS text,
+                   row_number() OVER (ORDER BY conv_id NULLS FIRST, turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST) AS k
+            FROM turns),
+        joined AS (
+            SELECT conv_id, count(*) AS n_turns,
+                   string_agg(role || chr(10) || text || chr(10), '' ORDER BY k) AS everything,
+                   coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '') AS said,
+                   sum({length("role")} + {length("text")} + {marks + 1}) - 1 AS formatted
+            FROM ordered GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(everything) AS turns_sha256, length(said) AS loss_chars,
+               sha256(said) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars
+        FROM joined"""
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -33,15 +75,24 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = suffix_dedup.remove_repeats(docs, length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), length=2048, end_id=1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_chat_format": op2_chat_format,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op7_sharding": op7_sharding,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_packing": op10_packing,
 }
 
 #: Only what DuckDB can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": _op2_sql()}
