@@ -1,31 +1,76 @@
-"""The corpus pipeline: stages from raw documents to packed training sequences."""
+"""The corpus pipeline: from raw documents to packed training sequences."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, simhash_dedup
-from tidemark.llm.common import table
+from tidemark.llm import decontaminate, language_id, packing, simhash_dedup, suffix_dedup
+from tidemark.llm.common import checkpoint, table
 from tidemark.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Least mean probability of the language found; clean texts are above 0.7, and chance is one over the languages.
+MIN_LANGUAGE = 0.35
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without letters, and those whose language can't be told, go.
+
+    The model learns from the stage's own labelled rows.
+    """
+    found = language_id.identify(docs.select(*COLUMNS), language_id.fit(docs))
+    known = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE)
+    return found.where(known).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
-    near = simhash_dedup.near_duplicates(docs).select("doc_id", "component_id")
-    first = near.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each group of near-duplicates stays.
+
+    That is the row with the group's smallest id, and of rows that share this
+    id the smallest. Rows without an id come after all others; a number made
+    from their text stands for it, so that equal texts share one.
+    """
+    beyond = 1 << 62
+    named = docs.select(
+        *COLUMNS, F.coalesce("doc_id", F.lit(beyond) + F.xxhash64("text").bitwiseAND(F.lit(beyond - 1))).alias("_id")
+    )
+    near = simhash_dedup.near_duplicates(named, id_col="_id").where(F.col("doc_id") == F.col("component_id"))
+    first = checkpoint(near.groupBy(F.col("component_id").alias("_id")).agg(F.count("*").alias("_rows")))
+    kept = named.join(first.hint("shuffle_hash"), "_id")
+    single = kept.where("_rows = 1").select(*COLUMNS)
+    if not first.where("_rows > 1").limit(1).count():
+        return single
+    best = kept.where("_rows > 1").groupBy("_id").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return single.unionByName(best.select("row.*"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 400 bytes and more that occur twice are cut from the texts; every document stays."""
+    return suffix_dedup.clean_text(docs.select(*COLUMNS), length=400)
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    links = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
+    hit = links.select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path())
+    """Pieces of the documents in sequences of 2048 tokens."""
+    return packing.pack(docs, tokenizer_path(), length=2048, end_id=1)
 
 
-STAGES = [("near_duplicates", near_duplicates), ("pack", pack)]
+STAGES = [
+    ("language_id", identify_language),
+    ("simhash_dedup", near_duplicates),
+    ("suffix_dedup", cut_repeats),
+    ("decontaminate", remove_benchmark),
+    ("packing", pack),
+]
 
-#: Fingerprints and tokens have no SQL form; tests compare the stages with brute force.
+#: A trained model, fingerprints and tokens have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, language_id, packing, sharding, simhash_dedup, suffix_dedup
+from tidemark.llm import (
+    chat_format,
+    decontaminate,
+    language_id,
+    license_scan,
+    packing,
+    quality_rules,
+    sharding,
+    simhash_dedup,
+    suffix_dedup,
+    url_filter,
+)
 from tidemark.llm.common import table
 
 
@@ -59,11 +70,43 @@ def _op2_sql() -> str:
         FROM joined"""
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("sentence_ids").cast("long").alias("n_sentences"),
+        F.array_join("sentence_ids", ",").alias("sentence_ids"),
+        F.array_join("licenses", ",").alias("licenses"),
+        "first_sentence",
+    )
+
+
+#: Verdict, and host/path.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are those of the row with the page's number: bad if of low quality."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, labels)
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.judge(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = table(spark, sf_dir, "documents").select(
@@ -81,6 +124,12 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_rules.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return quality_rules.judge(docs, model).drop("text")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), length=2048, end_id=1)
 
@@ -88,11 +137,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
+    "op3_license_scan": op3_license_scan,
+    "op4_url_filter": op4_url_filter,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_decontaminate": op6_decontaminate,
     "op7_sharding": op7_sharding,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
 }
 
 #: Only what DuckDB can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op2_chat_format": _op2_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": _op2_sql(), "op3_license_scan": license_scan.sql()}
