@@ -206,7 +206,7 @@ def test_chunk_cache_equals_the_tokenizer(seed):
 
     tokenizer, chunks = Tokenizer.from_file(tokenizer_path()), packing._Chunks(tokenizer_path())
     rng = random.Random(seed)
-    alphabet = "abcXYZ'sSt0189 \n\t\r\x0b\x0c\x1c\x1f\x85\xa0 éÉéİΣΑΣ日.,!?#<|endoftext|>ͅ각"
+    alphabet = "abcXYZHhITt\u0331\u0307'sSt0189 \n\t\r\x0b\x0c\x1c\x1f\x85\xa0 éÉéİΣΑΣ日.,!?#<|endoftext|>ͅ각"
     for _ in range(300):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60)))
         ids = tokenizer.encode(text, add_special_tokens=False).ids

@@ -19,16 +19,19 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import small_batches, written
 
-#: Chunks without white space that a worker keeps with their ids.
-CACHE_CHUNKS = 250_000
-CACHE_BYTES = 48
+#: Chunks without white space that a worker keeps with their ids, in each of two generations.
+CACHE_CHUNKS = 500_000
+CACHE_BYTES = 40
+_TAIL = b".,;:!?"
 
 
 class _Chunks(dict):
     """Ids (little-endian 32 bits) of a chunk of text that has no ASCII white space.
 
     The tokenizer drops white space and no token spans it, so the ids of a text
-    are the ids of its chunks, one after another.
+    are the ids of its chunks, one after another. Marks after a letter or digit
+    are tokens of their own, so a chunk with marks at its end is looked up
+    without them. When a generation is full the one before it is dropped.
     """
 
     def __init__(self, path: str):
@@ -36,18 +39,39 @@ class _Chunks(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
-        packed = b"".join(i.to_bytes(4, "little") for i in ids)
+        packed = self.old.get(chunk)
+        if packed is None:
+            core = chunk.rstrip(_TAIL)
+            if core and len(core) < len(chunk) and core.isalnum():
+                packed = self[core] + self[chunk[len(core) :]]
+            else:
+                ids = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
+                packed = b"".join([i.to_bytes(4, "little") for i in ids])
         if len(chunk) <= CACHE_BYTES:
             if len(self) >= CACHE_CHUNKS:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = packed
         return packed
 
 
+def _chunks(path: str) -> _Chunks:
+    """The cache of this worker process: it outlives tasks, and functions sent anew with each."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_tidemark_chunks", {})
+    if path not in kept:
+        kept[path] = _Chunks(path)
+    return kept[path]
+
+
 def token_bytes(raw: bytes, chunks: _Chunks) -> bytes:
+    # All is lower-cased anyway, but for special tokens, and after letters and marks (U+0300 to U+037F) are joined.
+    if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
+        raw = raw.lower()
     return b"".join(map(chunks.__getitem__, raw.split()))
 
 
@@ -60,7 +84,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "do
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        chunks, part, at = _Chunks(tokenizer), TaskContext.get().partitionId(), 0
+        chunks, part, at = _chunks(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = [token_bytes(raw or b"", chunks) + end for raw in batch.column(1).to_pylist()]
             starts = []
