@@ -156,7 +156,7 @@ def test_upserts(spark):
     new = spark.createDataFrame([("u1", "h2", "b2", 2), ("u1", "h3", "b3", 3), ("u2", "x1", "y1", 1), ("u2", "x2", "y2", 4)], "url string, headline string, body string, seq int")
     assert sorted(map(tuple, writers.upsert_articles(old, new).collect())) == [("u1", "h3", "b1"), ("u2", "x2", "y1")]
     known = spark.createDataFrame([("1", "A", "Name", "Tech", "9")], "cik string, ticker string, name string, sector string, sic_code string")
-    change = spark.createDataFrame([("1", "B", "New", None, None, 1)], known.schema.add("seq", "int"))
+    change = spark.createDataFrame([("1", "B", "New", None, None, 1)], "cik string, ticker string, name string, sector string, sic_code string, seq int")
     assert [tuple(r) for r in writers.upsert_companies(known, change).collect()] == [("1", "A", "New", "Tech", "9")]
     alerts = spark.createDataFrame([(1, "generated", [3])], "alert_id int, status string, cited_ids array<int>")
     again = spark.createDataFrame([(1, "abstained", [], 1)], "alert_id int, status string, cited_ids array<int>, seq int")

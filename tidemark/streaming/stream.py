@@ -16,11 +16,14 @@ from tidemark.operators import limits
 from tidemark.sources import writers
 
 
-def limited(requests: DataFrame, limit: int | None, window: float = limits.HOUR, key: str = "key", time: str = "ts", id: str = "id") -> DataFrame:
+def limited(
+    requests: DataFrame, limit: int | None, window: float = limits.HOUR, key: str = "key", time: str = "ts", id: str = "id", late: str = "1 hour"
+) -> DataFrame:
     """ST1, ST2 as a stream: the state of a key is the times of its allowed requests, ``limit`` at most.
 
-    Requests of a trigger are taken in order of time and id. A key's state goes
-    when it was quiet for two windows.
+    Requests of a trigger are taken in order of time and id; those ``late`` or
+    more behind go. A key's state goes when it was quiet for two windows of the
+    requests' own time.
     """
     kind = dict(requests.dtypes)[key]
 
@@ -32,14 +35,15 @@ def limited(requests: DataFrame, limit: int | None, window: float = limits.HOUR,
         rows = pd.concat(list(batches)).sort_values([time, id])
         out = [limits.check(hits, limit, window, t.timestamp()) for t in rows[time]]
         state.update((list(hits),))
-        state.setTimeoutDuration(int(2000 * window))
+        quiet = int(1000 * (rows[time].iloc[-1].timestamp() + 2 * window))
+        state.setTimeoutTimestamp(max(quiet, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(
             {key: name[0], id: rows[id].to_numpy(), time: rows[time].to_numpy(), "allowed": [x[0] for x in out], "retry_after": pd.array([x[1] for x in out], "Int32")}
         )
 
     kinds = dict(requests.dtypes)
-    return requests.groupBy(key).applyInPandasWithState(
-        run, f"{key} {kind}, {id} {kinds[id]}, {time} {kinds[time]}, allowed boolean, retry_after int", "hits array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return requests.withWatermark(time, late).groupBy(key).applyInPandasWithState(
+        run, f"{key} {kind}, {id} {kinds[id]}, {time} {kinds[time]}, allowed boolean, retry_after int", "hits array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
