@@ -99,12 +99,14 @@ def prepared(items: DataFrame, item_col: str = "item_id", text_col: str = "text"
     return made.dropDuplicates(["item_id", "sh"]).withColumn("fp", simhash(F.col("sh"))).withColumn("key", F.xxhash64("item_id", "sh"))
 
 
+# Arrays are exploded as outer ones: else Spark adds a filter on their size, and pushes it, with all that makes
+# the array, below the projections that hold it ready.
 def _windows(texts: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """``(doc_id, m, win)``: shingles of the windows of sizes that items with shingles of ``k`` words have."""
     anchors = items.where(F.col("k") == k).select(
-        "m", "sh", F.posexplode("sh").alias("q", "h")
+        "m", "sh", F.posexplode_outer("sh").alias("q", "h")
     ).select("m", "h", "q", F.try_element_at("sh", F.when(F.col("q") > 0, F.col("q"))).alias("before")).distinct()
-    places = texts.select("doc_id", shingles(F.col("w"), k).alias("sh")).select("doc_id", "sh", F.posexplode("sh").alias("p", "h"))
+    places = texts.select("doc_id", shingles(F.col("w"), k).alias("sh")).select("doc_id", "sh", F.posexplode_outer("sh").alias("p", "h"))
     first = F.coalesce(F.try_element_at("sh", F.when(F.col("p") > 0, F.col("p"))) != F.col("before"), F.lit(True))
     count = F.col("m") - k + 1
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.size("sh") - count))
@@ -117,15 +119,16 @@ def _pass(texts: DataFrame, items: DataFrame, ks: list[int]) -> DataFrame:
     for k in ks:
         one = _windows(texts, items, k)
         windows = one if windows is None else windows.unionByName(one)
-    windows = windows.withColumn("fp", simhash(F.col("win")))
+    # kept as a table: conditions on fingerprints would else be pushed, with all that makes them, into the scan's join
+    windows = checkpoint(windows.withColumn("fp", simhash(F.col("win"))))
     near = [sum(1 << b for b in c) for e in range(RADIUS // BLOCKS + 1) for c in combinations(range(WIDTH), e)]
     keys = F.array(*[F.struct(F.lit(b).alias("block"), v.alias("value")) for b, v in enumerate(_blocks(F.col("fp")))])
     indexed = (
-        items.select(F.col("key").alias("item"), "m", F.col("fp").alias("item_fp"), F.explode(keys).alias("at"))
-        .withColumn("flip", F.explode(F.array(*map(F.lit, near))))
+        items.select(F.col("key").alias("item"), "m", F.col("fp").alias("item_fp"), F.explode_outer(keys).alias("at"))
+        .withColumn("flip", F.explode_outer(F.array(*map(F.lit, near))))
         .select("item", "m", "item_fp", F.col("at.block").alias("block"), F.col("at.value").bitwiseXOR(F.col("flip")).alias("value"))
     )
-    probes = windows.select("doc_id", "m", "win", "fp", F.posexplode(F.array(*_blocks(F.col("fp")))).alias("block", "value"))
+    probes = windows.select("doc_id", "m", "win", "fp", F.posexplode_outer(F.array(*_blocks(F.col("fp")))).alias("block", "value"))
     apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
     # a pair is taken at the first block that finds it, so it comes once
     near_block = lambda b: F.bit_count(F.shiftrightunsigned(apart, b * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1))) <= RADIUS // BLOCKS
