@@ -71,7 +71,7 @@ def long_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(filing_id, ticker, filed_date, company) and numbers in place of text features."""
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
+    orders = table(spark, sf_dir, "orders")
     segments = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("ticker"), F.col("c_name").alias("company"))
     key = F.col("o_orderkey")
     return orders.join(segments, "o_custkey").select(
@@ -105,7 +105,7 @@ FILINGS = """filings AS (
     SELECT o_orderkey AS filing_id, c_mktsegment AS ticker, c_name AS company, CAST(o_orderdate AS DATE) AS filed_date,
            (o_orderkey * 7919 % 1009) / 1009.0::DOUBLE AS mean_negative, (o_orderkey * 104729 % 997) / 997.0::DOUBLE AS risk_density,
            CAST(o_orderkey * 31 % 160 AS INTEGER) AS n_sentences, o_totalprice / 1000 AS max_negative
-    FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 50 = 0)"""
+    FROM orders JOIN customer ON c_custkey = o_custkey)"""
 ROLLED = """rolled AS (
     SELECT n.ticker, n.neg, n.label, p.day FROM news n ASOF JOIN (SELECT ticker, day FROM prices) p ON n.ticker = p.ticker AND n.pub_day <= p.day)"""
 DAILY = """daily AS (
