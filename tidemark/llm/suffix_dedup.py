@@ -287,8 +287,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = GRAM, group:
         raise ValueError("1 <= gram <= length <= 4096 is needed")
     runs = written(docs.select("doc_id", "th", "raw").mapInArrow(lambda b: _runs(b, length, gram), RUNS))
     grams = runs.groupBy("kh").agg(F.count("*").alias("t"), F.min("sh").alias("x"), F.max("sh").alias("y")).where("t > 1")
-    shared = runs.join(grams.select("kh", (F.col("x") != F.col("y")).alias("mixed")), "kh")
-    shared = written(shared)
+    # as tables of their own, both sides are plain shuffles, and a common gram's share can be split
+    grams = written(grams.select("kh", (F.col("x") != F.col("y")).alias("mixed")))
+    shared = written(runs.join(grams, "kh"))
     bytes_equal = (
         shared.groupBy("kh", "sh", "mixed")
         .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "a", "lo", "hi")).alias("one"))
