@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language_id, packing, simhash_dedup, suffix_dedup
+from tidemark.llm import decontaminate, language_id, packing, shingle_dedup, suffix_dedup
 from tidemark.llm.common import checkpoint, table
 from tidemark.llm.queries import tokenizer_path
 
@@ -25,23 +25,25 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays.
+    """One document of each group of near-duplicates (five words, similarity 0.8) stays.
 
     That is the row with the group's smallest id, and of rows that share this
-    id the smallest. Rows without an id come after all others; a number made
-    from their text stands for it, so that equal texts share one.
+    id the smallest. Rows without an id come after all others. A number made
+    from its text stands for a row, so that equal texts share one.
     """
-    beyond = 1 << 62
-    named = docs.select(
-        *COLUMNS, F.coalesce("doc_id", F.lit(beyond) + F.xxhash64("text").bitwiseAND(F.lit(beyond - 1))).alias("_id")
-    )
-    near = simhash_dedup.near_duplicates(named, id_col="_id").where(F.col("doc_id") == F.col("component_id"))
-    first = checkpoint(near.groupBy(F.col("component_id").alias("_id")).agg(F.count("*").alias("_rows")))
-    kept = named.join(first.hint("shuffle_hash"), "_id")
+    named = docs.select(*COLUMNS, F.xxhash64("text").alias("_text"))
+    found = shingle_dedup.groups(named, "_text")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+    ids = named.groupBy("_text", rank.alias("_rank")).agg(F.count("*").alias("_n")).join(found, F.col("_text") == F.col("id"))
+    least = ids.groupBy("group").agg(F.min("_rank").alias("_least"))
+    first = ids.join(least, "group").where(F.col("_rank") == F.col("_least"))
+    rows = first.groupBy("group").agg(F.sum("_n").alias("_rows"))
+    first = checkpoint(first.join(rows, "group").select(F.col("_text").alias("_of"), F.col("_rank.id").alias("_id"), "group", "_rows"))
+    kept = named.join(first.hint("shuffle_hash"), (F.col("_text") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     single = kept.where("_rows = 1").select(*COLUMNS)
     if not first.where("_rows > 1").limit(1).count():
         return single
-    best = kept.where("_rows > 1").groupBy("_id").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    best = kept.where("_rows > 1").groupBy("group").agg(F.min(F.struct(*COLUMNS)).alias("row"))
     return single.unionByName(best.select("row.*"))
 
 
@@ -64,7 +66,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", identify_language),
-    ("simhash_dedup", near_duplicates),
+    ("shingle_dedup", near_duplicates),
     ("suffix_dedup", cut_repeats),
     ("decontaminate", remove_benchmark),
     ("packing", pack),

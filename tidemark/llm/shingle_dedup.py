@@ -1,0 +1,122 @@
+"""Near-duplicates by exact similarity of shingle sets: five words, 0.8 or more.
+
+The prefix filter finds the candidates and loses none: if the shingles of all
+texts are put in one order, two sets of a similarity of 4/5 or more share one of
+the first ``n // 5 + 1`` shingles of each. The order is by hash, but shingles
+that are common in a sample come last, so that a line of many texts is no
+meeting place; the sample bears on the cost alone, any order is exact.
+
+Pairs of a meeting place are not all made. First everyone meets the smallest
+member; what is linked then needs no more pairs, so a large group of near copies
+costs as many pairs as it has members. Only places where members of several
+groups meet get the pairs across groups.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import checkpoint, components, small_batches
+from tidemark.llm.simhash_dedup import _LOWER, BLOCK
+
+SHINGLE = 5
+#: Least similarity, as a fraction of whole numbers, so that the bound itself counts.
+OVER, UNDER = 4, 5
+#: Texts of the sample, in how many of them a shingle is common, and how many common ones are sent to tasks.
+SAMPLE, COMMON, MOST = 4000, 4, 1 << 16
+
+
+def shingle_set(raw: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The different hashes, sorted, of all ``shingle`` words in a row. Fewer words make one shingle, no words none."""
+    import xxhash
+
+    digest, words = xxhash.xxh64_intdigest, raw.translate(_LOWER).split()
+    if len(words) <= shingle:
+        return np.array([digest(b" ".join(words), 42)] if words else [], np.uint64).view(np.int64)
+    found = []
+    for at in range(0, len(words) - shingle + 1, BLOCK):
+        block = words[at : at + BLOCK + shingle - 1]
+        joined = b" ".join(block)
+        ends = np.cumsum(np.fromiter(map(len, block), np.int64, len(block)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-shingle] + 1))
+        found.append(np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())], np.uint64))
+    return np.unique(np.concatenate(found).view(np.int64))
+
+
+def _sets(texts: DataFrame, common: np.ndarray | None) -> DataFrame:
+    """``(id, node, n, sh)``: a hash of the whole set, its size, and its prefix (the whole set if ``common`` is None)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            nodes, sizes, held = [], [], []
+            for raw in batch.column(1).to_pylist():
+                own = shingle_set(raw or b"")
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
+                sizes.append(len(own))
+                if common is not None and len(own):
+                    late = np.isin(own, common)
+                    own = np.concatenate((own[~late], own[late]))[: len(own) * (UNDER - OVER) // UNDER + 1]
+                held.append(own)
+            ends = np.cumsum([0, *map(len, held)])
+            flat = np.concatenate(held) if held else np.array([], np.int64)
+            sh = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat, pa.int64())).cast(pa.list_(pa.int64()))
+            node = pa.array(np.array(nodes, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), node, pa.array(sizes, pa.int32()), sh], names=["id", "node", "n", "sh"])
+
+    return texts.select("id", F.col("text").cast("binary").alias("raw")).mapInArrow(run, "id long, node long, n int, sh array<long>")
+
+
+def _common(texts: DataFrame) -> np.ndarray:
+    """Common shingles of a bounded sample of different texts."""
+    share = min(1.0, SAMPLE / max(1, texts.count()))
+    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * SAMPLE).dropDuplicates(["id"])
+    counts = _sets(some, None).select(F.explode("sh").alias("key")).groupBy("key").count().where(F.col("count") >= COMMON)
+    return np.array([r["key"] for r in counts.orderBy(F.desc("count"), "key").limit(MOST).collect()], np.int64)
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, one: DataFrame) -> DataFrame:
+    """Of ``(a, b)``, the pairs whose whole sets are similar enough. Sets are made again for those that are needed."""
+    pairs = checkpoint(pairs.distinct())
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    needed = one.join(nodes, "node", "left_semi").select("id")
+    sets = checkpoint(_sets(texts.groupBy("id").agg(F.first("text").alias("text")).join(needed, "id", "left_semi"), None).select("node", "sh"))
+    left, right = sets.select(F.col("node").alias("a"), F.col("sh").alias("x")), sets.select(F.col("node").alias("b"), F.col("sh").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    enough = both * (OVER + UNDER) >= (F.size("x") + F.size("y")) * OVER
+    return checkpoint(pairs.join(left, "a").join(right, "b").where(enough).select("a", "b"))
+
+
+def groups(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """``(id, group)``, a row for each different id: texts with one id must be equal.
+
+    Groups are the components of all pairs of texts with a similarity of 0.8 or
+    more. Texts that are null or without words are one group.
+    """
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = checkpoint(_sets(texts, _common(texts)))
+    names = checkpoint(found.groupBy("id").agg(F.first("node").alias("node")))
+    one = checkpoint(names.groupBy("node").agg(F.min("id").alias("id")))
+    keys = found.select("node", "n", F.explode("sh").alias("key")).distinct()
+    least = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("size")).where("size > 1")
+    keys = checkpoint(keys.join(least, "key"))
+    fits = lambda x, y: F.least(x, y) * UNDER >= F.greatest(x, y) * OVER
+    star = keys.where((F.col("node") > F.col("least.node")) & fits(F.col("n"), F.col("least.n")))
+    links = _similar(star.select(F.col("least.node").alias("a"), F.col("node").alias("b")), texts, one)
+    roots = components(links)
+    rooted = keys.where("size > 2").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    open_ = checkpoint(rooted.join(split, "key", "left_semi"))
+    other = open_.select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("root").alias("broot"))
+    across = open_.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("broot")) & fits(F.col("n"), F.col("bn")))
+    more = _similar(across.select(F.col("node").alias("a"), "b"), texts, one)
+    if more.limit(1).count():
+        roots = components(links.unionByName(more))
+    return names.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("group"))
