@@ -143,6 +143,36 @@ def test_merge_joins_what_is_alike():
     assert url_filter.merge([("a", 0, 0), ("b", 0, 0)]) == {"a": "<*>", "b": "<*>"} and url_filter.merge([("a", 3, 1)]) == {"a": "a"}
 
 
+def test_wide_nodes_keep_what_stands_out(spark):
+    pages, labels = [], []
+    for k in range(60):
+        for j in range(20):
+            i = 20 * k + j
+            pages.append((i, f"http://wide.org/{chr(97 + k % 26)}{'x' * (k // 26)}/p"))
+            if k < 50:
+                labels.append((i, (j < 18) if k in (7, 8) else j == 0))
+    for k in range(100):  # one page for each slug: nothing can be told of one alone
+        pages.append((5000 + k, f"http://slug.org/{chr(97 + k % 26)}{'y' * (k // 26)}"))
+        labels += [(5000 + k, k % 10 != 0)] if k < 90 else []
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    out = {r["page_id"]: r for r in url_filter.judge(df, [], spark.createDataFrame(labels, "page_id long, bad boolean")).collect()}
+    assert {i // 20 for i in out if i < 1200 and out[i]["verdict"] == "block"} == {7, 8}
+    assert out[140]["template"] == "/{h|+1}/p" and out[0]["template"] == out[1199]["template"] == "/<*>/p"
+    assert {(out[i]["template"], out[i]["verdict"]) for i in out if i >= 5000} == {("/<*>", "block")}
+
+
+def test_counts_are_merged_as_branches_are():
+    rng = random.Random(3)
+    for _ in range(200):
+        counts = {(n := rng.randint(1, 60), rng.randint(0, n)): 1 for _ in range(rng.randint(1, 20))}
+        found = url_filter.merge_counts([(*c, 1) for c in counts])
+        # segments in the order of ties
+        names = {f"{n:03d}-{b:03d}": k for (n, b), k in zip(counts, found)}
+        merged = url_filter.merge([(x, int(x[:3]), int(x[4:])) for x in names])
+        assert len(set(names.values())) == len(set(merged.values()))
+        assert len({(names[x], merged[x]) for x in names}) == len(set(found))
+
+
 def brute_counts(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)

@@ -2,11 +2,14 @@
 
 Paths are cut into segments, and numbers, hashes and the like inside them become
 wildcards. Equal templates are counted before any shuffle. The tree is then
-walked from the root, one level at a time: a node with over ``FAN`` branches has
-a variable segment, which becomes one wildcard; else branches whose shares of
-bad labels don't differ significantly (two-proportion z) are merged, so that the
-labels of a few branches speak for those like them. Groups handed to Python
-have ``FAN`` rows at most. A template is rejected if its share of bad labels,
+walked from the root, one level at a time. Branches whose shares of bad labels
+don't differ significantly (two-proportion z) are merged, so that the labels of
+a few branches speak for those like them. Among over ``FAN`` branches some
+differ by chance: there those that differ from all the rest together (likelihood
+ratio, ``CHANCE`` over all branches tested) are merged in the same way, and the
+rest, with the branches that have no labels, is one wildcard. Python gets
+``FAN`` branches at most, or a node's different pairs of labels and bad labels,
+which grow much slower than its branches. A template is rejected if its share of bad labels,
 smoothed towards that of its host and, above it, of all pages, is ``PURITY`` or
 more.
 """
@@ -24,6 +27,8 @@ from tidemark.llm.common import checkpoint
 DEPTH = 4
 FAN = 32
 Z = 1.96
+#: Odds that any branch of a wide node is told apart by chance.
+CHANCE = 0.05
 SMOOTHING = 4.0
 LEAST = 3
 PURITY = 0.5
@@ -63,6 +68,57 @@ def segments(path: Column, depth: int = DEPTH) -> Column:
     return F.when(F.size(parts) > depth, F.concat(F.slice(general, 1, depth), F.array(F.lit("<more>")))).otherwise(general)
 
 
+def _alike(n: int, b: int, labelled: int, bad: int) -> bool:
+    """Whether a share of ``bad`` in ``labelled``, the greater one, doesn't differ from ``b`` in ``n``."""
+    pooled = (b + bad) / (n + labelled)
+    spread = math.sqrt(pooled * (1 - pooled) * (1 / n + 1 / labelled))
+    return spread == 0 or (bad / labelled - b / n) / spread < Z
+
+
+def merge_counts(counts: list[tuple[int, int, int]]) -> list[int]:
+    """Numbers of the clusters for ``(labelled, bad, branches that have just these)``, by the rule of ``merge``."""
+    out, n, b, number = [0] * len(counts), 0, 0, 0
+    for i in sorted(range(len(counts)), key=lambda i: (counts[i][1] / counts[i][0], counts[i])):
+        labelled, bad, many = counts[i]
+        if n and not _alike(n, b, labelled, bad):
+            n, b, number = 0, 0, number + 1
+        n, b = n + many * labelled, b + many * bad
+        out[i] = number
+    return out
+
+
+def stands_out(labelled: Column, bad: Column, all_labelled: Column, all_bad: Column, tested: Column) -> Column:
+    """Whether a branch differs from all others of its node together, given how many branches are tested."""
+
+    def gain(n: Column, b: Column) -> Column:
+        part = lambda x, whole: F.when(x > 0, x * F.log(x * all_labelled / (n * whole))).otherwise(0.0)
+        return part(b, all_bad) + part(n - b, all_labelled - all_bad)
+
+    apart = gain(labelled, bad) + gain(all_labelled - labelled, all_bad - bad)
+    return F.coalesce((labelled > 0) & (apart > F.log(tested * 2 / F.lit(CHANCE))), F.lit(False))
+
+
+def _wide(kids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(host, path, seg, name)`` for branches of wide nodes that stand out."""
+    tested = kids.join(nodes, ["host", "path"])
+    own = checkpoint(tested.where(stands_out(*map(F.col, ("labelled", "bad", "n", "b", "tested")))).select("host", "path", "seg", "labelled", "bad"))
+
+    @F.arrow_udf("array<struct<labelled:long,bad:long,cluster:int>>")
+    def clustered(groups: pa.Array) -> pa.Array:
+        out = []
+        for counts in groups.to_pylist():
+            found = merge_counts([(c["labelled"], c["bad"], c["many"]) for c in counts])
+            out.append([{"labelled": c["labelled"], "bad": c["bad"], "cluster": k} for c, k in zip(counts, found)])
+        return pa.array(out, pa.list_(pa.struct([("labelled", pa.int64()), ("bad", pa.int64()), ("cluster", pa.int32())])))
+
+    counts = own.groupBy("host", "path", "labelled", "bad").agg(F.count("*").alias("many")).groupBy("host", "path")
+    to = counts.agg(F.array_sort(F.collect_list(F.struct("labelled", "bad", "many"))).alias("counts")).select("host", "path", F.explode(clustered("counts")).alias("to"))
+    told = own.join(to.select("host", "path", "to.*"), ["host", "path", "labelled", "bad"])
+    names = told.groupBy("host", "path", "cluster").agg(F.min("seg").alias("first"), F.count("*").alias("size"))
+    name = F.when(F.col("size") == 1, F.col("first")).otherwise(F.concat(F.lit("{"), "first", F.lit("|+"), (F.col("size") - 1).cast("string"), F.lit("}")))
+    return told.join(names, ["host", "path", "cluster"]).select("host", "path", "seg", name.alias("name"))
+
+
 def merge(branches: list[tuple[str, int, int]]) -> dict[str, str]:
     """Names of the merged branches for ``(segment, labelled, bad)``.
 
@@ -74,9 +130,7 @@ def merge(branches: list[tuple[str, int, int]]) -> dict[str, str]:
     for name, labelled, bad in sorted((x for x in branches if x[1]), key=lambda x: (x[2] / x[1], x[0])):
         if clusters:
             names, n, b = clusters[-1]
-            pooled = (b + bad) / (n + labelled)
-            spread = math.sqrt(pooled * (1 - pooled) * (1 / n + 1 / labelled))
-            if spread == 0 or (bad / labelled - b / n) / spread < Z:
+            if _alike(n, b, labelled, bad):
                 clusters[-1] = ([*names, name], n + labelled, b + bad)
                 continue
         clusters.append(([name], labelled, bad))
@@ -121,15 +175,18 @@ def templates(pages: DataFrame, labels: DataFrame | None, depth: int = DEPTH, fa
     for level in range(1, depth + 1):
         deep = tree.withColumn("seg", F.try_element_at("segs", F.lit(level)))
         kids = deep.where("seg is not null").groupBy("host", "path", "seg").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-        nodes = kids.groupBy("host", "path").agg(F.count("*").alias("fan"))
+        nodes = kids.groupBy("host", "path").agg(
+            F.count("*").alias("fan"), F.sum("labelled").alias("n"), F.sum("bad").alias("b"), F.count(F.when(F.col("labelled") > 0, 1)).alias("tested")
+        )
         small = (
-            kids.join(nodes.where(F.col("fan") <= fan), ["host", "path"])
+            kids.join(nodes.where(F.col("fan") <= fan).select("host", "path"), ["host", "path"])
             .groupBy("host", "path")
             .agg(F.array_sort(F.collect_list(F.struct("seg", "labelled", "bad"))).alias("kids"))
             .select("host", "path", F.explode(merged("kids")).alias("to"))
             .select("host", "path", F.col("to.seg").alias("seg"), F.col("to.name").alias("name"))
         )
-        named = deep.join(small, ["host", "path", "seg"], "left")
+        wide = _wide(kids, nodes.where((F.col("fan") > fan) & (F.col("b") > 0) & (F.col("b") < F.col("n"))).drop("fan"))
+        named = deep.join(small.unionByName(wide), ["host", "path", "seg"], "left")
         step = F.when(F.col("seg").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.coalesce("name", F.lit("<*>"))))
         tree = checkpoint(named.select("host", "segs", "labelled", "bad", F.concat("path", step).alias("path")))
     more = F.when(F.size("segs") > depth, F.array(F.lit("<more>"))).otherwise(F.array().cast("array<string>"))
