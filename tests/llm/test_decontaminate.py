@@ -69,6 +69,25 @@ def test_matches_are_those_of_brute_force(spark, monkeypatch, seed, per_pass):
     assert all(r["contaminated"] == (r["doc_id"] in hit) for r in rows)
 
 
+def test_items_with_parts_in_another_order_are_found(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    items = [(i, text(rng.choice([45, 60, 100]))) for i in range(12)]
+    docs = []
+    for i, item in items:
+        w = item.split()
+        half, third = len(w) // 2, len(w) // 3
+        docs.append((2 * i, f"{text(30)} {' '.join(w[half:] + w[:half])} {text(50)}"))
+        docs.append((2 * i + 1, f"{text(i)} {' '.join(w[2 * third :] + w[third : 2 * third] + w[:third])}"))
+    docs += [(100, items[0][1] + " " + text(2000) + " " + items[1][1]), (101, "a b " * 40 + text(20))]
+    items.append((50, "b a " * 12))
+    df = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in docs], SCHEMA).repartition(3)
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in D.matches(df, spark.createDataFrame(items, "item_id int, text string")).collect()}
+    want = brute(docs, items)
+    assert {(2 * i, i) for i in range(12)} <= set(want)
+    assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
+
+
 def test_simhash_in_sql_is_that_of_python(spark):
     rng = random.Random(1)
     arrays = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (0, 1, 2, 5, 40, 300)]

@@ -1,10 +1,10 @@
 """Benchmark decontamination by SimHash windows. Native: DataFrame functions only.
 
 A text is held against every benchmark item with windows of the item's own
-size. A window counts if, at some place, it has the same shingle as the item, so
-windows are found by the item shingles a text has: one for each run of equal
-shingles on a diagonal. All others share no shingle in place and are not looked
-at; this is a matter of the windows alone, the items of a window are found next.
+size. A window similar enough has an item's shingles, wherever they are in it,
+and if moved to start at the first of them it loses none. So windows start at
+the item shingles a text has (or end with the text), and those with too many
+other shingles to be similar go at once; the items of a window are found next.
 
 Each window gets a 64-bit SimHash of its word shingles. Multi-index Hamming
 blocks find the items of that size: the bits are dealt into ``BLOCKS`` blocks,
@@ -103,14 +103,16 @@ def prepared(items: DataFrame, item_col: str = "item_id", text_col: str = "text"
 # the array, below the projections that hold it ready.
 def _windows(texts: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """``(doc_id, m, win)``: shingles of the windows of sizes that items with shingles of ``k`` words have."""
-    anchors = items.where(F.col("k") == k).select(
-        "m", "sh", F.posexplode_outer("sh").alias("q", "h")
-    ).select("m", "h", "q", F.try_element_at("sh", F.when(F.col("q") > 0, F.col("q"))).alias("before")).distinct()
+    own = items.where(F.col("k") == k).select("key", "m", F.col("sh").alias("item_sh"))
+    anchors = own.select("key", F.explode_outer(F.array_distinct("item_sh")).alias("h"))
     places = texts.select("doc_id", shingles(F.col("w"), k).alias("sh")).select("doc_id", "sh", F.posexplode_outer("sh").alias("p", "h"))
-    first = F.coalesce(F.try_element_at("sh", F.when(F.col("p") > 0, F.col("p"))) != F.col("before"), F.lit(True))
     count = F.col("m") - k + 1
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.size("sh") - count))
-    return places.join(F.broadcast(anchors), "h").where(first).select("doc_id", "m", F.slice("sh", start + 1, count).alias("win"))
+    start = F.greatest(F.lit(0), F.least(F.col("p"), F.size("sh") - count))
+    found = places.join(F.broadcast(anchors), "h").join(F.broadcast(own), "key")
+    found = found.select("doc_id", "m", "item_sh", F.slice("sh", start + 1, count).alias("win"))
+    # overlap / (size + count - overlap) >= similarity; shingles that the item has not are outside the overlap
+    least = F.ceil((F.size("win") + F.size("item_sh")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6)
+    return found.where(F.size("win") - F.size(F.array_except("win", "item_sh")) >= least).select("doc_id", "m", "win")
 
 
 def _pass(texts: DataFrame, items: DataFrame, ks: list[int]) -> DataFrame:
