@@ -61,6 +61,14 @@ class Broken:
         raise TimeoutError
 
 
+def test_whole_conversations_are_judged(spark, tmp_path):
+    filler = "Shares of the company moved after the quarterly report was published. " * 5
+    rows = [(1, 1, "assistant", filler + "You should buy the stock now."), (2, 1, "assistant", filler + "See also [id=99]."), (4, 1, "user", "Why?")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = {r["conv_id"]: r["abstain_reason"] for r in catalog.c08(spark, str(tmp_path)).collect()}
+    assert set(out) == {1, 2} and out[1].startswith("policy_") and out[2] == "fabricated_citation:[99]"
+
+
 def test_explanations_abstain_on_failure(spark):
     kind = "struct<id:bigint,text:string,source:string,sentiment_score:double>"
     df = spark.createDataFrame(

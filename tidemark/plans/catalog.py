@@ -718,10 +718,10 @@ def c10(spark, sf):
 
 @query("c08_explanation_gate")
 def c08(spark, sf):
-    """Assistants' texts as answers, plain and wrapped as JSON that cites one headline: their own first words."""
+    """Assistants' whole texts as answers, plain and wrapped as JSON that cites one headline: the same text."""
     said = S.table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("t"))
-    heads = F.array(F.struct(F.col("turn").alias("id"), F.substring("t", 1, 200).alias("text"), F.lit("chat").alias("source"), F.lit(0.5).alias("sentiment_score")))
-    cited = F.to_json(F.struct(F.concat(F.substring("t", 1, 120), F.format_string(" [id=%d].", F.col("turn"))).alias("narrative"), F.array("turn").alias("cited_ids")))
+    heads = F.array(F.struct(F.col("turn").alias("id"), F.col("t").alias("text"), F.lit("chat").alias("source"), F.lit(0.5).alias("sentiment_score")))
+    cited = F.to_json(F.struct(F.concat("t", F.format_string(" [id=%d].", F.col("turn"))).alias("narrative"), F.array("turn").alias("cited_ids")))
     raw = F.when(F.col("conv_id") % 3 == 0, F.col("t")).otherwise(cited)
     out = explain.verify(said.select("conv_id", "turn", raw.alias("raw"), heads.alias("headlines")))
     return out.select("conv_id", "turn", "status", "abstain_reason", "cited_ids")
