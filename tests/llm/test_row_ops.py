@@ -161,6 +161,21 @@ def test_wide_nodes_keep_what_stands_out(spark):
     assert {(out[i]["template"], out[i]["verdict"]) for i in out if i >= 5000} == {("/<*>", "block")}
 
 
+def test_deep_paths_are_told_apart(spark):
+    pages, labels = [], []
+    for k in range(40):
+        for j, part in enumerate(("spam", "docs", "news/x/y/z/ad", "news/x/y/z/wiki")):
+            pages.append((4 * k + j, f"http://deep.org/a/b/c/d/{part}/{k}"))
+            labels += [(4 * k + j, (k % 10 != 0) == (j % 2 == 0))] if k % 2 else []
+    pages += [(1000, "http://trap.org/a/b"), (1001, "http://trap.org/" + "x/" * 3000), (1002, "http://trap.org/" + "x/" * 2000), (1003, "http://trap.org")]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    out = {r["page_id"]: r for r in url_filter.judge(df, [], spark.createDataFrame(labels, "page_id long, bad boolean")).collect()}
+    assert len(out) == len(pages)
+    assert all(out[i]["verdict"] == ("block" if i % 2 == 0 else "allow") for i in range(160))
+    assert out[0]["template"] == "/a/b/c/d/spam/<n>" and out[3]["template"] == "/a/b/c/d/news/x/y/z/wiki/<n>"
+    assert out[1001]["verdict"] == "allow" and out[1000]["template"] == "/<*>/<*>"
+
+
 def test_counts_are_merged_as_branches_are():
     rng = random.Random(3)
     for _ in range(200):

@@ -2,7 +2,8 @@
 
 Paths are cut into segments, and numbers, hashes and the like inside them become
 wildcards. Equal templates are counted before any shuffle. The tree is then
-walked from the root, one level at a time. Branches whose shares of bad labels
+walked from the root to its full depth, from one node with several branches to
+the next: segments that all paths of a node share are passed at once. Branches whose shares of bad labels
 don't differ significantly (two-proportion z) are merged, so that the labels of
 a few branches speak for those like them. Among over ``FAN`` branches some
 differ by chance: there those that differ from all the rest together (likelihood
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpoint
 
-DEPTH = 4
 FAN = 32
 Z = 1.96
 #: Odds that any branch of a wide node is told apart by chance.
@@ -55,17 +55,16 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
-def segments(path: Column, depth: int = DEPTH) -> Column:
-    """Segments of a path with variable parts as wildcards; what is deeper than ``depth`` is one wildcard."""
+def segments(path: Column) -> Column:
+    """Segments of a path with variable parts as wildcards."""
     parts = F.split(F.regexp_replace(path, r"^/", ""), "/", -1)
-    general = F.transform(
+    return F.transform(
         parts,
         lambda s: F.when(s.rlike(r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"), F.lit("<uuid>"))
         .when(s.rlike(r"^(?=.*[0-9])[0-9a-fA-F]{12,}$"), F.lit("<hash>"))
         .when(F.length(s) > 60, F.lit("<long>"))
         .otherwise(F.regexp_replace(s, r"[0-9]+", "<n>")),
     )
-    return F.when(F.size(parts) > depth, F.concat(F.slice(general, 1, depth), F.array(F.lit("<more>")))).otherwise(general)
 
 
 def _alike(n: int, b: int, labelled: int, bad: int) -> bool:
@@ -146,7 +145,30 @@ def merge(branches: list[tuple[str, int, int]]) -> dict[str, str]:
     return out
 
 
-def templates(pages: DataFrame, labels: DataFrame | None, depth: int = DEPTH, fan: int = FAN) -> DataFrame:
+def _to_branches(tree: DataFrame) -> DataFrame:
+    """``tree`` with every row's path taken on to the next node with several branches, or to its end.
+
+    All are held against the greatest rest of their node. Where the first one
+    leaves it is the branch; a rest that is a beginning of the greatest leaves
+    nowhere.
+    """
+    far = tree.groupBy("host", "path").agg(F.max("rest").alias("far"))
+    same = F.zip_with("rest", F.slice("far", F.lit(1), F.size("rest")), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    apart = F.array_position(same, False)
+    held = tree.join(far, ["host", "path"]).withColumn("apart", F.when(apart > 0, apart - 1)).drop("far")
+    first = held.groupBy("host", "path").agg(F.min("apart").alias("first"))
+    take = F.least(F.coalesce("first", F.size("rest")), F.size("rest")).cast("int")
+    return held.join(first, ["host", "path"]).select(
+        "host",
+        "segs",
+        "labelled",
+        "bad",
+        F.slice("rest", take + 1, F.size("rest")).alias("rest"),
+        F.concat("path", F.slice("rest", F.lit(1), take)).alias("path"),
+    )
+
+
+def templates(pages: DataFrame, labels: DataFrame | None, fan: int = FAN) -> DataFrame:
     """``(host, segs, template, labelled, purity)`` for the hosts and segments of ``pages`` (page_id, host, segs).
 
     ``labels`` is (page_id, bad boolean): several labels of a page are bad if
@@ -161,7 +183,7 @@ def templates(pages: DataFrame, labels: DataFrame | None, depth: int = DEPTH, fa
     tree = checkpoint(
         rows.groupBy("host", "segs")
         .agg(F.count("bad").alias("labelled"), F.count(F.when(F.col("bad"), 1)).alias("bad"))
-        .withColumn("path", F.array().cast("array<string>"))
+        .withColumns({"rest": F.col("segs"), "path": F.array().cast("array<string>")})
     )
 
     @F.arrow_udf("array<struct<seg:string,name:string>>")
@@ -172,9 +194,15 @@ def templates(pages: DataFrame, labels: DataFrame | None, depth: int = DEPTH, fa
             out.append([{"seg": a, "name": b} for a, b in names.items()])
         return pa.array(out, pa.list_(pa.struct([("seg", pa.string()), ("name", pa.string())])))
 
-    for level in range(1, depth + 1):
-        deep = tree.withColumn("seg", F.try_element_at("segs", F.lit(level)))
-        kids = deep.where("seg is not null").groupBy("host", "path", "seg").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    done = None
+    while True:
+        deep = checkpoint(_to_branches(tree)).withColumn("seg", F.try_element_at("rest", F.lit(1)))
+        ended = deep.where("seg is null").select("host", "segs", "labelled", "bad", "path")
+        done = ended if done is None else done.unionByName(ended)
+        deep = deep.where("seg is not null")
+        if not deep.limit(1).count():
+            break
+        kids = deep.groupBy("host", "path", "seg").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
         nodes = kids.groupBy("host", "path").agg(
             F.count("*").alias("fan"), F.sum("labelled").alias("n"), F.sum("bad").alias("b"), F.count(F.when(F.col("labelled") > 0, 1)).alias("tested")
         )
@@ -187,10 +215,9 @@ def templates(pages: DataFrame, labels: DataFrame | None, depth: int = DEPTH, fa
         )
         wide = _wide(kids, nodes.where((F.col("fan") > fan) & (F.col("b") > 0) & (F.col("b") < F.col("n"))).drop("fan"))
         named = deep.join(small.unionByName(wide), ["host", "path", "seg"], "left")
-        step = F.when(F.col("seg").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.coalesce("name", F.lit("<*>"))))
-        tree = checkpoint(named.select("host", "segs", "labelled", "bad", F.concat("path", step).alias("path")))
-    more = F.when(F.size("segs") > depth, F.array(F.lit("<more>"))).otherwise(F.array().cast("array<string>"))
-    tree = tree.withColumn("template", F.concat(F.lit("/"), F.array_join(F.concat("path", more), "/")))
+        path = F.concat("path", F.array(F.coalesce("name", F.lit("<*>"))))
+        tree = checkpoint(named.select("host", "segs", "labelled", "bad", F.slice("rest", F.lit(2), F.size("rest")).alias("rest"), path.alias("path")))
+    tree = checkpoint(done.withColumn("template", F.concat(F.lit("/"), F.array_join("path", "/"))))
     whole = tree.agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")).select(
         ((F.coalesce("b", F.lit(0)) + 1) / (F.coalesce("n", F.lit(0)) + 2)).alias("all_share")
     )
