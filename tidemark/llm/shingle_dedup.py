@@ -104,18 +104,21 @@ def groups(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     found = checkpoint(_sets(texts, _common(texts)))
     names = checkpoint(found.groupBy("id").agg(F.first("node").alias("node")))
     one = checkpoint(names.groupBy("node").agg(F.min("id").alias("id")))
-    keys = found.select("node", "n", F.explode("sh").alias("key")).distinct()
-    least = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("size")).where("size > 1")
-    keys = checkpoint(keys.join(least, "key"))
+    keys = found.select(F.struct("node", "n").alias("member"), F.explode("sh").alias("key"))
+    places = keys.groupBy("key").agg(F.collect_set("member").alias("members")).where(F.size("members") > 1)
+    places = checkpoint(places.select("key", F.array_sort("members").alias("members")))
     fits = lambda x, y: F.least(x, y) * UNDER >= F.greatest(x, y) * OVER
-    star = keys.where((F.col("node") > F.col("least.node")) & fits(F.col("n"), F.col("least.n")))
+    star = places.select(F.col("members")[0].alias("least"), F.explode(F.slice("members", F.lit(2), F.size("members"))).alias("member"))
+    star = star.where(fits(F.col("member.n"), F.col("least.n"))).select("least", "member.node")
     links = _similar(star.select(F.col("least.node").alias("a"), F.col("node").alias("b")), texts, one)
     roots = components(links)
-    rooted = keys.where("size > 2").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    rooted = places.where(F.size("members") > 2).select("key", F.explode("members").alias("member")).select("key", "member.*").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     open_ = checkpoint(rooted.join(split, "key", "left_semi"))
     other = open_.select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("root").alias("broot"))
     across = open_.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("broot")) & fits(F.col("n"), F.col("bn")))
+    if not across.limit(1).count():
+        return names.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("group"))
     more = _similar(across.select(F.col("node").alias("a"), "b"), texts, one)
     if more.limit(1).count():
         roots = components(links.unionByName(more))
