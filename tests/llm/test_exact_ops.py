@@ -93,7 +93,7 @@ def test_fingerprint_does_not_depend_on_block_size(monkeypatch):
     assert simhash_dedup.fingerprint(text.encode()) == whole == brute_fingerprint(text)
 
 
-@pytest.mark.parametrize("radius,wide", [(2, 256), (2, 3), (1, 256), (1, 3), (0, 256)])
+@pytest.mark.parametrize("radius,wide", [(2, 256), (2, 3), (1, 256), (1, 3), (0, 256), (3, 256), (3, 3), (6, 2)])
 def test_links_connect_all_pairs_within_the_radius(spark, radius, wide):
     rng = random.Random(radius * 10 + wide)
     fps = set()

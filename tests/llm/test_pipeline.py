@@ -6,7 +6,7 @@ from collections import Counter
 import corpus_pipeline as P
 import pytest
 from tests.llm.test_decontaminate import brute as brute_benchmark
-from tests.llm.test_exact_ops import brute_components, brute_fingerprint
+from tests.llm.test_shingle_sets import shingles
 from tests.llm.test_suffix_dedup import brute as brute_repeats
 from tidemark.llm import language_id
 
@@ -55,26 +55,44 @@ def test_stages(spark, folder, tmp_path):
     assert told == Counter(key(r) for r in judged if r["lang_pred"] != "und" and r["score"] >= P.MIN_LANGUAGE)
     assert {i for i, _ in start - told} == {400, 401, 402}
 
-    fps = {t: brute_fingerprint(t) for _, t in told}
-    roots = brute_components(list(fps.values()))
+    texts = sorted({t for _, t in told})
+    sets = {t: shingles(t) for t in texts}
+    root = {t: t for t in texts}
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    for i, x in enumerate(texts):
+        for y in texts[:i]:
+            if 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y]):
+                root[find(x)] = find(y)
     groups = {}
     for i, t in told.elements():
-        groups.setdefault(roots[fps[t]], []).append((i is None, i or 0, t))
+        groups.setdefault(find(t), []).append((i is None, i or 0, t))
     first = Counter((None if none else i, t) for none, i, t in map(min, groups.values()))
     assert near == first
 
     texts = list(near.elements())
-    assert cut == Counter((i, kept_bytes.decode("utf-8", "ignore")) for i, _, _, _, kept_bytes in brute_repeats(texts, 400).elements())
+    assert cut == Counter((i, kept_bytes.decode("utf-8", "ignore")) for i, _, _, _, kept_bytes in brute_repeats(texts, P.PASSAGE).elements())
     assert sum(len(t) for _, t in cut) < sum(len(t) for _, t in near)
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
-    hit = {d for d, _ in brute_benchmark(list(cut), items)}
-    assert hit and clean == Counter({k: n for k, n in cut.items() if k[0] not in hit})
+    hit = {t for t, _ in brute_benchmark([(t, t) for _, t in cut], items)}
+    assert hit and clean == Counter({k: n for k, n in cut.items() if k[1] not in hit})
     pieces = kept[-1].collect()
     whole = Counter(r["doc_id"] for r in pieces if r["start"] == 0)
     assert whole == Counter(i for i, _ in clean.elements())
     assert sum(r["length"] for r in pieces) == sum(r["doc_tokens"] for r in pieces if r["start"] == 0)
 
 
+def test_clean_rows_that_share_an_id_with_a_leak_stay(spark, folder):
+    item = next(r["text"] for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect() if r["item_id"] == 0)
+    rows = [(None, f"some words {item} and more", "en", "s", 1), (None, "a clean text of its own", "en", "s", 1), (7, item, "en", "s", 1), (7, "another clean text here", "en", "s", 1)]
+    out = P.remove_benchmark(spark, spark.createDataFrame(rows, SCHEMA), folder).collect()
+    assert {key(r) for r in out} == {(None, "a clean text of its own"), (7, "another clean text here")}
+
+
 def test_empty_documents(spark, folder):
     none = spark.createDataFrame([], SCHEMA)
     for _, stage in P.STAGES:

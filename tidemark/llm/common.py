@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: whole texts can be long, so batches stay small.
 ARROW_ROWS = 256
+#: Words hashed at a time, so that very long texts need little memory.
+BLOCK = 1 << 16
+#: A key with over this share (one in) of all rows is hot; there can be no more such keys.
+HOT = 1000
+#: Bits of a cell's number in the counts of ``Sketch``.
+CELL_BITS = 20
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +33,16 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is set.
+    Where the session names none, only a session on one machine (tests) gets a
+    folder of its own; on a cluster that is an error.
     """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():
@@ -51,7 +64,8 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # small row groups: what a task holds while it writes is bounded
+    df.write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
@@ -89,3 +103,74 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("node", "root")
         if not moved:
             return labels
+
+
+def split_join(rows: DataFrame, facts: DataFrame, keys: list[str], hot: Column) -> DataFrame:
+    """``rows`` with the fact of their key, a row for each key in ``facts``.
+
+    Facts for which ``hot`` holds, ``HOT`` at most, are broadcast, so that no
+    task gets all rows of a hot key; the rest meet in a plain join.
+    """
+    few = facts.where(hot)
+    apart = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(facts.where(~hot), keys)
+    return rows.join(F.broadcast(few), keys).unionByName(apart)
+
+
+def shingle_hashes(raw: bytes, shingle: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 values of all ``shingle`` words in a row (ASCII lower case, space-joined), block by block.
+
+    Words are runs without ASCII white space. Fewer words than ``shingle`` make one shingle, no words none.
+    """
+    import xxhash
+
+    digest, words = xxhash.xxh64_intdigest, raw.translate(LOWER).split()
+    if len(words) <= shingle:
+        if words:
+            yield np.array([digest(b" ".join(words), seed)], np.uint64)
+        return
+    for at in range(0, len(words) - shingle + 1, BLOCK):
+        block = words[at : at + BLOCK + shingle - 1]
+        joined = b" ".join(block)
+        ends = np.cumsum(np.fromiter(map(len, block), np.int64, len(block)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-shingle] + 1))
+        yield np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())], np.uint64)
+
+
+class Sketch:
+    """How common hashes are, roughly: counts over all rows, folded into cells.
+
+    A task sends the cells that stand out in it and the sum of the others. The
+    result orders hashes; whatever it says, those that use it stay exact.
+    """
+
+    SCHEMA = "cell int, count long"
+
+    def __init__(self) -> None:
+        self.cells = np.zeros(1 << CELL_BITS, np.int64)
+
+    def add(self, hashes: np.ndarray) -> None:
+        np.add.at(self.cells, (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+
+    def batch(self) -> pa.RecordBatch:
+        out = np.flatnonzero(self.cells > max(1, 3 * self.cells.mean()))
+        n = self.cells[out]
+        rest = int(self.cells.sum() - n.sum())
+        return pa.RecordBatch.from_arrays([pa.array([*out.tolist(), -1], pa.int32()), pa.array([*n.tolist(), rest], pa.int64())], names=["cell", "count"])
+
+    @staticmethod
+    def levels(counts: DataFrame) -> np.ndarray:
+        """A level for each cell: 0 up to four times the mean, then 1 to 15 by its logarithm.
+
+        At most a quarter of the cells can be so full, which bounds what the driver gets.
+        """
+        counts = checkpoint(counts.groupBy("cell").agg(F.sum("count").alias("n")))
+        mean = (counts.agg(F.sum("n").alias("n")).collect()[0]["n"] or 0) / (1 << CELL_BITS)
+        least = max(4 * mean, 4.0)
+        out = np.zeros(1 << CELL_BITS, np.uint8)
+        for r in counts.where((F.col("cell") >= 0) & (F.col("n") > least)).collect():
+            out[r["cell"]] = min(15, 1 + int(np.log2(r["n"] / least)))
+        return out
+
+
+def level_of(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    return levels[(hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)]

@@ -8,10 +8,16 @@ within its threshold, on one partition at least. A partition is probed with all
 values within its threshold (-1: not at all), candidates of a bucket are
 verified, and a bucket returns a spanning forest, never its pairs.
 
-Buckets over ``WIDE`` members take an exact way without pairs: every member is
-dealt to its own value and its 64 neighbours. Fingerprints within 2 bits meet
-at a value next to both, all that meet are within 2 bits, and at most 65
-different ones can meet.
+Buckets over ``WIDE`` members take an exact way. For a radius of 2 it needs no
+pairs: every member is dealt to its own value and its 64 neighbours. Fingerprints
+within 2 bits meet at a value next to both, all that meet are within 2 bits, and
+at most 65 different ones can meet. For a greater radius such a bucket is dealt
+into blocks of ``WIDE`` members, and each two blocks are a task's work.
+
+``similar_groups`` is for the similarity of shingle sets: fingerprints within
+``radius`` are its first candidates, verified by the sets; what the radius misses
+(at a similarity of 0.8 about ten bits of 64 differ, and so wide a radius chooses
+nothing) is found by the exact prefix filter of ``shingle_sets``.
 """
 
 from __future__ import annotations
@@ -24,13 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, components, small_batches
+from tidemark.llm import shingle_sets
+from tidemark.llm.common import BLOCK, checkpoint, components, shingle_hashes, small_batches, written
 
 BITS = 64
 WIDE = 256
-#: Words hashed at a time, so that very long texts need little memory.
-BLOCK = 1 << 16
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def fingerprint(raw: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -39,24 +43,7 @@ def fingerprint(raw: bytes, shingle: int = 3, seed: int = 42) -> int:
     Bit i is set if over half the XXH64 values of its word shingles (repeats
     included) have it. Fewer words than ``shingle`` make one shingle.
     """
-    import xxhash
-
-    digest, words = xxhash.xxh64_intdigest, raw.translate(_LOWER).split()
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        return digest(b" ".join(words), seed)
-    counts, total = np.zeros(BITS, np.int64), 0
-    for at in range(0, len(words) - shingle + 1, BLOCK):
-        block = words[at : at + BLOCK + shingle - 1]
-        joined = b" ".join(block)
-        ends = np.cumsum(np.fromiter(map(len, block), np.int64, len(block)) + 1) - 1
-        starts = np.concatenate(([0], ends[: -shingle] + 1))
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-        total += len(hashes)
-    return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
+    return shingle_sets.majority(shingle_hashes(raw, shingle, seed))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,10 +215,10 @@ def links(fps: DataFrame, radius: int = 2, wide: int = WIDE) -> DataFrame:
     """Links ``(a, b)`` that connect all different fingerprints ``fp`` within ``radius`` bits.
 
     The links are a spanning subset: their components are those of all pairs
-    within the radius. ``radius`` is 0 to 2.
+    within the radius. ``radius`` is 0 to 16; the wider, the less it prunes.
     """
-    if not 0 <= radius <= 2:
-        raise ValueError("radius must be 0 to 2")
+    if not 0 <= radius <= 16:
+        raise ValueError("radius must be 0 to 16")
     n, both = bit_counts(fps)
     keyed = None
     for k, (bits, e) in enumerate(plan(n, both, radius)):
@@ -250,11 +237,25 @@ def links(fps: DataFrame, radius: int = 2, wide: int = WIDE) -> DataFrame:
     out = groups.mapInArrow(lambda b: _forest(b, radius), "a long, b long").distinct()
     if not crowded.limit(1).count():
         return out
+    if radius > 2:
+        return out.union(_blocks(keyed, crowded, radius, wide)).distinct()
     heavy = keyed.join(crowded, ["part", "value"], "left_semi").select("fp").distinct()
-    star = _star(heavy).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius) if radius == 2 else _near(heavy, radius)
+    star = _star(heavy) if radius == 2 else _near(heavy, radius)
     return out.union(star).distinct()
 
 
+def _blocks(keyed: DataFrame, crowded: DataFrame, radius: int, wide: int) -> DataFrame:
+    """Links inside crowded buckets: members are dealt into blocks, and a task gets two blocks at a time."""
+    sizes = keyed.join(crowded, ["part", "value"], "left_semi").groupBy("part", "value").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / wide).cast("int")
+    dealt = keyed.join(sizes, ["part", "value"]).select("fp", "part", "value", blocks.alias("blocks"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = dealt.groupBy("part", "value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    members = pairs.agg(F.array_sort(F.collect_set("fp")).alias("members")).where(F.size("members") > 1).select("members")
+    return members.mapInArrow(lambda b: _forest(b, radius), "a long, b long")
+
+
 def _near(fps: DataFrame, radius: int) -> DataFrame:
     """Links within one bit: neighbours that are there, at most 64 for each."""
     if radius == 0:
@@ -281,3 +282,31 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col:
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = checkpoint(rooted.join(smallest, "root").select("fp", "component_id"))
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", radius: int = 3, shingle: int = shingle_sets.SHINGLE) -> DataFrame:
+    """``(id, group)``, a row for each different id: texts with one id must be equal.
+
+    Groups are the components of all pairs of texts whose sets of word shingles
+    have a similarity of 0.8 or more. Texts that are null or without words are
+    one group, repeated rows are one id; empty tables give no rows.
+    """
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = written(shingle_sets.sets(texts, shingle_sets.levels(texts, shingle), shingle))
+    names = written(found.groupBy("id").agg(F.min("node").alias("node")))
+    one = written(found.groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("fp").alias("fp")))
+    # texts of one fingerprint and of linked ones
+    firsts = checkpoint(one.where("n > 0").groupBy("fp").agg(F.min("node").alias("first")))
+    near = links(firsts.select("fp"), radius)
+    a, b = (firsts.select(F.col("fp").alias(x), F.col("first").alias(y)) for x, y in (("a", "x"), ("b", "y")))
+    told = one.join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    told = told.unionByName(near.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    places, keys = shingle_sets.meeting_places(found)
+    linked = shingle_sets.similar(told.unionByName(shingle_sets.star(places, keys)), texts, one)
+    roots = components(linked)
+    more = written(shingle_sets.across(places, keys, roots, found))
+    if more.limit(1).count():
+        more = shingle_sets.similar(more, texts, one)
+        roots = components(linked.unionByName(more)) if more.limit(1).count() else roots
+    return names.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("group"))
