@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language_id, packing, shingle_dedup, suffix_dedup
+from tidemark.llm import decontaminate, language_id, packing, simhash_dedup, suffix_dedup
 from tidemark.llm.common import checkpoint, table
 from tidemark.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Least mean probability of the language found; clean texts are above 0.7, and chance is one over the languages.
 MIN_LANGUAGE = 0.35
+#: Bytes of a passage that may not occur twice: fifty words of three letters with the spaces between.
+PASSAGE = 200
+#: Parts that rows with one text are dealt into where they meet what is known of the text.
+SALT = 64
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     from its text stands for a row, so that equal texts share one.
     """
     named = docs.select(*COLUMNS, F.xxhash64("text").alias("_text"))
-    found = shingle_dedup.groups(named, "_text")
+    found = simhash_dedup.similar_groups(named, "_text")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
     ids = named.groupBy("_text", rank.alias("_rank")).agg(F.count("*").alias("_n")).join(found, F.col("_text") == F.col("id"))
     least = ids.groupBy("group").agg(F.min("_rank").alias("_least"))
@@ -48,15 +52,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes and more that occur twice are cut from the texts; every document stays."""
-    return suffix_dedup.clean_text(docs.select(*COLUMNS), length=400)
+    """Passages of ``PASSAGE`` bytes and more that occur twice are cut from the texts; every document stays."""
+    return suffix_dedup.clean_text(docs.select(*COLUMNS), length=PASSAGE)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark go."""
-    links = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
-    hit = links.select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti").select(*COLUMNS)
+    """Documents that hold an item of the benchmark go, whatever their ids.
+
+    A number made from the text stands for a row, so equal texts go together.
+    """
+    named = docs.select(*COLUMNS, F.xxhash64("text").alias("_text"), F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int").alias("_salt"))
+    links = decontaminate.matches(named, table(spark, sf_dir, "benchmark"), id_col="_text")
+    hit = checkpoint(links.select(F.col("doc_id").alias("_text")).distinct())
+    hit = hit.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return named.join(hit, ["_text", "_salt"], "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +75,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", identify_language),
-    ("shingle_dedup", near_duplicates),
+    ("simhash_dedup", near_duplicates),
     ("suffix_dedup", cut_repeats),
     ("decontaminate", remove_benchmark),
     ("packing", pack),
