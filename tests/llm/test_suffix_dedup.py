@@ -40,7 +40,7 @@ def corpus(seed):
     return [*rows, rows[15], (None, "no id" * 12), (None, "no id" * 12)]
 
 
-@pytest.mark.parametrize("seed,length,gram,group", [(1, 24, 6, 10_000), (2, 24, 6, 3), (3, 30, 30, 10_000), (4, 17, 1, 4), (5, 40, 12, 10_000)])
+@pytest.mark.parametrize("seed,length,gram,group", [(1, 24, 6, 10_000), (2, 24, 6, 3), (3, 30, 30, 10_000), (4, 17, 1, 4), (6, 24, 6, 1), (5, 40, 12, 10_000)])
 def test_matches_brute_force(spark, seed, length, gram, group):
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], SCHEMA).repartition(3)

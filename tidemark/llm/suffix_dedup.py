@@ -3,22 +3,29 @@
 A string of ``length`` bytes is removed wherever it starts if it also starts
 somewhere else. Sorting a suffix for every byte would move hundreds of times
 the corpus, so suffixes are sampled by content: each window of ``length`` bytes
-is anchored at the gram (``gram`` bytes, its leading token) of the least hash
-inside it. Equal windows have equal grams at equal distances, so nothing is
-lost. Consecutive windows with one anchor form a run.
-
-1. Each task finds the runs of its texts. A run moves as two hashes and four
-   numbers: that of its gram, and that of all bytes under its windows.
-2. A gram that occurs once rules its run out. Runs with equal bytes are repeated
-   as a whole. Both need counts alone, combined before the shuffle.
-3. What is left are different runs with one gram: ends of repeats. One of each
-   moves with its bytes, is dealt out by sampled splitters over the leading
-   gram (``repartitionByRange``), and each bucket sorts the parts right and left
-   of the anchors by multikey quicksort. Windows are equal if both parts share a
-   long enough prefix, read off the common prefixes of neighbours. A splitter
-   never parts equal grams, so no match crosses a bucket's boundary.
-4. A gram with over ``GROUP`` different runs takes another exact way: each window
+is anchored at one gram (``gram`` bytes, the leading bytes of the suffix there)
+inside it, that of the least hash among the least common ones. Equal windows
+have equal grams at equal distances, so nothing is lost. Consecutive windows
+with one anchor form a run. How common a gram is comes from counts over all
+texts (``Sketch``), so the windows about a passage that many texts share are
+anchored outside of it where they can be, and a common gram has few different
+runs; any counts give the same result.
+
+1. Each task finds the runs of its texts. A run moves as two hashes and a place:
+   the hash of its gram, and that of all bytes under its windows.
+2. A gram that occurs once rules its run out. Of runs with equal bytes one stands
+   for all with their number, counted before the shuffle.
+3. Those that stand for others move with their bytes. Sampled splitters over the
+   leading bytes of the suffixes deal them into ranges (``repartitionByRange``),
+   and each bucket sorts the parts right and left of the anchors by multikey
+   quicksort. Windows are equal if both parts share a long enough prefix, read
+   off the common prefixes of neighbours; a run that stands for several is
+   repeated as a whole.
+4. The first and the last gram of a bucket may go on in the buckets beside it:
+   their suffixes are compared across the boundaries.
+5. A gram with over ``GROUP`` different runs takes another exact way: each window
    is a row, counted by its hash, so that no task holds the group.
+6. What was found for a run goes back to all runs with its bytes.
 """
 
 from __future__ import annotations
@@ -27,16 +34,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches, written
+from tidemark.llm.common import HOT, CELL_BITS, Sketch, small_batches, split_join, written
 
 GRAM = 48
 #: Window starts handled at a time; offsets of a segment fit into the low 20 bits.
 SEGMENT = 1 << 19
 LOW = np.uint64((1 << 20) - 1)
-GROUP = 10_000
+GROUP = 4_000
 #: Cells (windows x runs) compared at a time.
 CELLS = 500_000
 SMALL = 24
@@ -77,13 +84,16 @@ def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return h
 
 
-def anchors(raw: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows as (first start, last start, anchor)."""
+def anchors(raw: bytes, length: int, gram: int, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows as (first start, last start, anchor). ``levels`` (4 bits) say which grams are common."""
     windows = len(raw) - length + 1
     found = []
     for at in range(0, max(windows, 0), SEGMENT):
         count = min(SEGMENT, windows - at)
         h = _gram_hashes(np.frombuffer(raw, np.uint8, count + length - 1, at), gram)
+        if levels is not None:
+            level = levels[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64)
+            h = (h * _MIX >> np.uint64(4)) | (level << np.uint64(60))
         wide = length - gram + 1
         padded = np.full(-(-len(h) // wide) * wide, np.iinfo(np.uint64).max, np.uint64)
         padded[: len(h)] = (h & ~LOW) | np.arange(len(h), dtype=np.uint64)
@@ -101,40 +111,55 @@ def anchors(raw: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-RUNS = "doc_id long, th long, a long, lo long, hi long, kh long, sh long"
+RUNS = "doc_id long, th long, place long, kh long, sh long"
+#: A place is the anchor, its distance from the first window's start, and from the last one's, twelve bits each.
+SPOT = 12
+_FIELD = (1 << SPOT) - 1
 
 
-def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _gram_levels(texts: DataFrame, gram: int) -> np.ndarray:
+    """How common grams are in all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = Sketch()
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                for at in range(0, len(raw or b"") - gram + 1, SEGMENT):
+                    sketch.add(_gram_hashes(np.frombuffer(raw, np.uint8, min(SEGMENT + gram - 1, len(raw) - at), at), gram))
+        yield sketch.batch()
+
+    return Sketch.levels(texts.select("raw").mapInArrow(run, Sketch.SCHEMA))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int, levels: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     gram_hash, run_hash = xxhash.xxh64_intdigest, xxhash.xxh3_64_intdigest
     for batch in batches:
         ids, hashes, texts = (batch.column(i).to_pylist() for i in range(3))
-        columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+        places: list[np.ndarray] = []
         owner: list[tuple[int, int]] = []
-        sizes, kh, sh = [], [], []
+        kh, sh = [], []
         for i, th, raw in zip(ids, hashes, texts):
             if raw is None or len(raw) < length:
                 continue
-            lo, hi, a = anchors(raw, length, gram)
+            lo, hi, a = anchors(raw, length, gram, levels)
             kh += [gram_hash(raw[x : x + gram]) for x in a.tolist()]
             sh += [run_hash(raw[x : y + length], z) for x, y, z in zip(lo.tolist(), hi.tolist(), (a - lo).tolist())]
-            for out, x in zip(columns, (a, lo, hi)):
-                out.append(x)
+            places.append(a << (2 * SPOT) | (a - lo) << SPOT | (a - hi))
             owner.append((i, th))
-            sizes.append(len(a))
-        if not sizes:
+        if not owner:
             continue
-        index = np.repeat(np.arange(len(sizes)), sizes)
+        index = pa.array(np.repeat(np.arange(len(owner)), [len(x) for x in places]))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([x[0] for x in owner], pa.int64()).take(pa.array(index)),
-                pa.array([x[1] for x in owner], pa.int64()).take(pa.array(index)),
-                *[pa.array(np.concatenate(x)) for x in columns[:3]],
+                pa.array([x[0] for x in owner], pa.int64()).take(index),
+                pa.array([x[1] for x in owner], pa.int64()).take(index),
+                pa.array(np.concatenate(places)),
                 pa.array(np.array(kh, np.uint64).view(np.int64)),
                 pa.array(np.array(sh, np.uint64).view(np.int64)),
             ],
-            names=["doc_id", "th", "a", "lo", "hi", "kh", "sh"],
+            names=["doc_id", "th", "place", "kh", "sh"],
         )
 
 
@@ -210,71 +235,88 @@ def _spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(int(x[0]), int(x[-1]) + length) for x in np.split(starts, cut)]
 
 
-SPANS = "doc_id long, th long, start long, stop long"
+#: Spans are relative to the anchor; a row without spans is one whose gram goes on beyond its bucket.
+FOUND = "kh long, sh long, n long, spans array<struct<start:long,stop:long>>, g binary, before long, bytes binary, after long"
+_PAIRS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
-def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["doc_id", "th", "start", "stop"])
+def _found_batch(rows: list[dict]) -> pa.RecordBatch:
+    types = {"kh": pa.int64(), "sh": pa.int64(), "n": pa.int64(), "spans": _PAIRS, "g": pa.binary(), "before": pa.int64(), "bytes": pa.binary(), "after": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], t) for k, t in types.items()], names=list(types))
 
 
-def _sorted_buckets(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by gram: each gram's runs are compared with each other."""
-    group: list[dict] = []
-    out: list[tuple] = []
+def _judged(group: list[dict], length: int) -> Iterator[dict]:
+    """The runs of one gram, compared with each other."""
+    hits: dict[int, list[tuple[int, int]]] = {}
+    if len(group) > 1:
+        runs = [(-r["before"], -r["after"], r["bytes"]) for r in group]
+        hits = {k: _spans(starts, length) for k, starts in repeated_windows(runs, length)}
+    for k, r in enumerate(group):
+        spans = [(-r["before"], length - r["after"])] if r["n"] > 1 else hits.get(k)
+        if spans:
+            yield {"kh": r["kh"], "sh": r["sh"], "spans": [{"start": x, "stop": y} for x, y in spans]}
 
-    def close() -> None:
-        if len(group) > 1:
-            runs = [(r["lo"] - r["a"], r["hi"] - r["a"], r["bytes"]) for r in group]
-            for k, starts in repeated_windows(runs, length):
-                r = group[k]
-                if r["n"] == 1:
-                    out.extend((r["doc_id"], r["th"], x, y) for x, y in _spans(starts + r["a"], length))
-        group.clear()
 
+def _sorted_buckets(batches: Iterator[pa.RecordBatch], length: int, open_ends: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by gram. With ``open_ends`` the first and the last gram's rows are given back as they are."""
+    group: list[dict] = []
+    out: list[dict] = []
+    first = open_ends
     for batch in batches:
         for row in batch.to_pylist():
-            if group and group[-1]["kh"] != row["kh"]:
-                close()
+            if group and group[-1]["g"] != row["g"]:
+                out.extend(group if first else _judged(group, length))
+                first = False
+                group = []
             group.append(row)
         if out:
-            yield _span_batch(out)
-            out.clear()
-    close()
-    yield _span_batch(out)
+            yield _found_batch(out)
+            out = []
+    out.extend(group if open_ends else _judged(group, length))
+    yield _found_batch(out)
 
 
-def _cut_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _cut_runs(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Texts with the runs wanted from them, as a row for each run and its bytes."""
-    names = ["kh", "doc_id", "th", "a", "lo", "hi", "n"]
     for batch in batches:
-        rows, data = [], []
-        for i, th, raw, wanted in zip(*(batch.column(k).to_pylist() for k in range(4))):
+        rows = []
+        for raw, wanted in zip(*(batch.column(k).to_pylist() for k in range(2))):
             for r in wanted:
-                rows.append((r["kh"], i, th, r["a"], r["lo"], r["hi"], r["n"]))
-                data.append(raw[r["lo"] : r["hi"] + length])
-        columns = list(zip(*rows)) or [[]] * len(names)
-        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns), pa.array(data, pa.binary())], names=[*names, "bytes"])
+                a, before, after = r["place"] >> (2 * SPOT), r["place"] >> SPOT & _FIELD, r["place"] & _FIELD
+                data = {"bytes": raw[a - before : a - after + length], "g": raw[a : a + gram]}
+                rows.append({"kh": r["kh"], "sh": r["sh"], "n": r["n"], "before": before, "after": after, **data})
+        yield _found_batch(rows)
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """A row for each window of a run: gram, distance from the anchor and hash."""
+    """A row for each window of a run: its hash, distance from the anchor, and the run."""
     import xxhash
 
     for batch in batches:
-        for row in batch.to_pylist():
-            count, raw = row["hi"] - row["lo"] + 1, row["bytes"]
+        for row in batch.select(["bytes", "before", "kh", "sh", "n"]).to_pylist():
+            raw, count = row["bytes"], len(row["bytes"]) - length + 1
             w = np.array([xxhash.xxh3_64_intdigest(raw[k : k + length]) for k in range(count)], np.uint64)
-            at = np.arange(row["lo"], row["hi"] + 1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(w.view(np.int64)),
-                    pa.array(at - row["a"]),
-                    *(pa.array(np.full(count, row[k] or 0, np.int64), mask=np.full(count, row[k] is None)) for k in ("kh", "doc_id", "th", "n")),
-                    pa.array(at),
-                ],
-                names=["w", "d", "kh", "doc_id", "th", "n", "start"],
-            )
+            same = [pa.array(np.full(count, row[k], np.int64)) for k in ("kh", "sh", "n")]
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.arange(count) - row["before"]), *same], names=["w", "d", "kh", "sh", "n"])
+
+
+def _compared(cut: DataFrame, length: int, gram: int, group: int) -> DataFrame:
+    """``(kh, sh, spans)`` for different runs with their bytes; ``group`` is the number from which windows are counted."""
+    sizes = written(cut.groupBy("kh").count().where(F.col("count") > group).select("kh"))
+    few = cut.join(sizes, "kh", "left_anti")
+    head = F.substring("bytes", F.col("before").cast("int") + 1, F.lit(2 * gram))
+    dealt = few.withColumn("head", head).repartitionByRange("head").sortWithinPartitions("head").select(*cut.columns)
+    sorted_ = written(dealt.mapInArrow(lambda b: _sorted_buckets(b, length, True), FOUND))
+    ends = sorted_.where("spans is null").repartition("g").sortWithinPartitions("g").mapInArrow(lambda b: _sorted_buckets(b, length, False), FOUND)
+    out = sorted_.where("spans is not null").unionByName(ends).select("kh", "sh", "spans")
+    if not sizes.limit(1).count():
+        return out
+    rows = cut.join(sizes, "kh", "left_semi").mapInArrow(lambda b: _window_rows(b, length), "w long, d long, kh long, sh long, n long")
+    rows = written(rows)
+    twice = rows.groupBy("kh", "d", "w").agg(F.sum("n").alias("times")).where("times > 1").select("kh", "d", "w")
+    span = F.struct(F.col("d").alias("start"), (F.col("d") + length).alias("stop"))
+    many = rows.join(twice, ["kh", "d", "w"], "left_semi").groupBy("kh", "sh").agg(F.collect_list(span).alias("spans"))
+    return out.unionByName(many)
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, gram: int = GRAM, group: int = GROUP) -> DataFrame:
@@ -285,49 +327,26 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = GRAM, group:
     """
     if not 1 <= gram <= length <= 4096:
         raise ValueError("1 <= gram <= length <= 4096 is needed")
-    runs = written(docs.select("doc_id", "th", "raw").mapInArrow(lambda b: _runs(b, length, gram), RUNS))
-    grams = runs.groupBy("kh").agg(F.count("*").alias("t"), F.min("sh").alias("x"), F.max("sh").alias("y")).where("t > 1")
-    # as tables of their own, both sides are plain shuffles, and a common gram's share can be split
-    grams = written(grams.select("kh", (F.col("x") != F.col("y")).alias("mixed")))
-    shared = written(runs.join(grams, "kh"))
-    bytes_equal = (
-        shared.groupBy("kh", "sh", "mixed")
-        .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "a", "lo", "hi")).alias("one"))
-        .where("n > 1 or mixed")
-    )
-    bytes_equal = written(bytes_equal)
-    whole = shared.join(bytes_equal.where("n > 1").select("kh", "sh"), ["kh", "sh"], "left_semi").select(
-        "doc_id", "th", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop")
-    )
-    mixed = bytes_equal.where("mixed").select("kh", "n", "one.*")
-    sizes = mixed.groupBy("kh").count().where(F.col("count") > group).select("kh")
+    levels = _gram_levels(docs, gram)
+    runs = written(docs.select("doc_id", "th", "raw").mapInArrow(lambda b: _runs(b, length, gram, levels), RUNS))
+    grams = written(runs.groupBy("kh").agg(F.count("*").alias("t")).where("t > 1"))
+    total = grams.agg(F.sum("t").alias("t")).collect()[0]["t"] or 0
+    shared = written(split_join(runs, grams.select("kh", (F.col("t") > total / HOT).alias("hot")), ["kh"], F.col("hot")).drop("hot"))
+    one = F.min(F.struct("doc_id", "th", "place")).alias("one")
+    different = written(shared.groupBy("kh", "sh").agg(F.count("*").alias("n"), one).select("kh", "sh", "n", "one.*"))
     key = F.coalesce("doc_id", F.lit(0).cast("long"))  # equal rows with a null id must meet, too
-    wanted = mixed.groupBy(key.alias("_id"), "th").agg(F.collect_list(F.struct("a", "lo", "hi", "kh", "n")).alias("wanted"))
-    cut = (
-        docs.select("doc_id", F.col("th").alias("_th"), "raw", key.alias("_key"))
-        .join(wanted.hint("shuffle_hash"), (F.col("_key") == F.col("_id")) & (F.col("_th") == F.col("th")))
-        .select("doc_id", "th", "raw", "wanted")
-        .mapInArrow(lambda b: _cut_runs(b, length), "kh long, doc_id long, th long, a long, lo long, hi long, n long, bytes binary")
-    )
-    cut = written(cut)
-    sizes = written(sizes)
-    few = (
-        cut.join(sizes, "kh", "left_anti")
-        .repartitionByRange("kh")
-        .sortWithinPartitions("kh")
-        .select("kh", "doc_id", "th", "a", "lo", "hi", "n", "bytes")
-        .mapInArrow(lambda b: _sorted_buckets(b, length), SPANS)
-    )
-    out = whole.union(few)
-    if not sizes.limit(1).count():
-        return out
-    rows = cut.join(sizes, "kh", "left_semi").mapInArrow(
-        lambda b: _window_rows(b, length), "w long, d long, kh long, doc_id long, th long, n long, start long"
-    )
-    rows = written(rows)
-    twice = rows.groupBy("kh", "d", "w").count().where("count > 1").select("kh", "d", "w")
-    many = rows.join(twice, ["kh", "d", "w"], "left_semi").where("n = 1")
-    return out.union(many.select("doc_id", "th", "start", (F.col("start") + length).alias("stop")))
+    wanted = different.groupBy(key.alias("_id"), "th").agg(F.collect_list(F.struct("place", "kh", "sh", "n")).alias("wanted"))
+    texts = docs.select(F.col("th").alias("_th"), "raw", key.alias("_key")).join(wanted.hint("shuffle_hash"), (F.col("_key") == F.col("_id")) & (F.col("_th") == F.col("th")))
+    # equal rows give the same runs; they are together already
+    texts = texts.dropDuplicates(["_key", "_th"]).select("raw", "wanted")
+    cut = written(texts.mapInArrow(lambda b: _cut_runs(b, length, gram), FOUND).drop("spans"))
+    found = written(_compared(cut, length, gram, group))
+    often = different.where(F.col("n") > total / HOT).select("kh", "sh", F.lit(True).alias("hot"))
+    found = found.join(F.broadcast(often), ["kh", "sh"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    back = split_join(shared, found, ["kh", "sh"], F.col("hot"))
+    anchor = F.shiftright("place", 2 * SPOT)
+    each = back.select("doc_id", "th", anchor.alias("a"), F.explode("spans").alias("span"))
+    return each.select("doc_id", "th", (F.col("a") + F.col("span.start")).alias("start"), (F.col("a") + F.col("span.stop")).alias("stop"))
 
 
 def cut_out(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -378,14 +397,18 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, group:
     )
 
 
-def clean_text(docs: DataFrame, length: int = 400) -> DataFrame:
-    """``docs`` with repeats cut from ``text`` (parts of a character at a cut go with it) and n_chars anew."""
-    columns = docs.columns
-    out = remove_repeats(docs, length)
+def kept_text() -> Column:
+    """``kept`` as text; parts of a character at a cut go with it. A text without repeats, or null, is itself."""
 
     @F.arrow_udf("string")
     def decoded(raw: pa.Array) -> pa.Array:
         return pa.array([x.decode("utf-8", "ignore") for x in raw.to_pylist()], pa.string())
 
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(decoded("kept"))
-    return out.withColumn("text", text).withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast("long")).select(*columns)
+    return F.when(F.col("n_removed") == 0, F.col("text")).otherwise(decoded("kept"))
+
+
+def clean_text(docs: DataFrame, length: int = 400) -> DataFrame:
+    """``docs`` with repeats cut from ``text`` and n_chars anew."""
+    columns = docs.columns
+    out = remove_repeats(docs, length)
+    return out.withColumn("text", kept_text()).withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast("long")).select(*columns)
