@@ -152,7 +152,8 @@ class Sketch:
         np.add.at(self.cells, (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
 
     def batch(self) -> pa.RecordBatch:
-        out = np.flatnonzero(self.cells > max(1, 3 * self.cells.mean()))
+        mean = self.cells.mean()
+        out = np.flatnonzero(self.cells > mean + 6 * np.sqrt(mean) + 3)  # chance alone hardly ever puts a cell there
         n = self.cells[out]
         rest = int(self.cells.sum() - n.sum())
         return pa.RecordBatch.from_arrays([pa.array([*out.tolist(), -1], pa.int32()), pa.array([*n.tolist(), rest], pa.int64())], names=["cell", "count"])
