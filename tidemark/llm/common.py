@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -56,11 +57,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Paths written inside each open ``scratch``.
+_OPEN: list[list[str]] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a compressed table in the shared folder, read again.
 
     Later stages read what was committed, so a lost executor never makes them
-    see rows that were computed differently. The table goes when the driver ends.
+    see rows that were computed differently. The table goes when the ``scratch``
+    it was written in closes, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
@@ -68,9 +74,36 @@ def written(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside go at the end, with the shuffle files of what made them.
+
+    Yields a function that writes the result so that it stays.
+    """
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = written(df)
+        kept.append(_OPEN[-1].pop())
+        return out
+
+    _OPEN.append([])
+    try:
+        yield keep
+    finally:
+        for path in _OPEN.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        if _OPEN:
+            _OPEN[-1].extend(kept)
+        spark._jvm.System.gc()  # lets Spark drop the files of shuffles that nothing refers to any more
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` as ``(node, root)``.
 

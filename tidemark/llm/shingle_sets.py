@@ -2,10 +2,13 @@
 
 The prefix filter finds all pairs: if the shingles of all texts are put in one
 order, two sets of a similarity of 4/5 or more share one of the first
-``n // 5 + 1`` shingles of each, and two of the first ``n // 5 + 2``. Shingles
-that are common in all texts (by ``Sketch``) come last in the order, so that a
-line of many texts is no meeting place; this bears on the cost alone, any order
-is exact.
+``n // 5 + 1`` shingles of each, and two of the first ``n // 5 + 2``. The order
+is by the number of sets that have a shingle, so a set with ``n // 5 + 1``
+shingles of its own shares nothing, and a line of many texts is no meeting place.
+
+Most sets have so many shingles of their own among three tenths of all hashes,
+and only these are counted over all texts. The sets that are left are counted
+in full.
 """
 
 from __future__ import annotations
@@ -14,19 +17,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import HOT, Sketch, level_of, shingle_hashes, split_join, written
+from tidemark.llm.common import HOT, shingle_hashes, split_join, written
 
 SHINGLE = 5
 #: Least similarity, as a fraction of whole numbers, so that the bound itself counts.
 OVER, UNDER = 4, 5
+#: Tenths of the hashes that are counted over all texts.
+TENTHS = 3
 #: Groups at a meeting place from which on it is split by a second shingle.
 CROWD = 16
 
 
-def majority(blocks: list[np.ndarray]) -> int:
+def majority(blocks: list[np.ndarray] | Iterator[np.ndarray]) -> int:
     """SimHash of blocks of hashes: the bits that are set in over half of them; 0 for none."""
     counts, total = np.zeros(64, np.int64), 0
     for block in blocks:
@@ -35,25 +40,8 @@ def majority(blocks: list[np.ndarray]) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
 
 
-def levels(texts: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
-    """How common the shingles are in all texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = Sketch()
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                for block in shingle_hashes(raw or b"", shingle):
-                    sketch.add(block)
-        yield sketch.batch()
-
-    return Sketch.levels(texts.select(F.col("text").cast("binary")).mapInArrow(run, Sketch.SCHEMA))
-
-
-def sets(texts: DataFrame, common: np.ndarray | None = None, shingle: int = SHINGLE) -> DataFrame:
-    """``(id, node, n, fp, sh)``: a hash of the set of shingles, its size, the SimHash, and the set.
-
-    With levels ``common`` only the first ``n // 5 + 2`` shingles of the order are in ``sh``.
-    """
+def sets(texts: DataFrame, shingle: int = SHINGLE, tenths: int = 10) -> DataFrame:
+    """``(id, node, n, fp, sh)``: a hash of the set of shingles, its size, the SimHash, and ``tenths`` of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -66,9 +54,7 @@ def sets(texts: DataFrame, common: np.ndarray | None = None, shingle: int = SHIN
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
                 sizes.append(len(own))
                 fps.append(majority(blocks))
-                if common is not None:
-                    own = own[np.argsort(level_of(own, common), kind="stable")][: len(own) * (UNDER - OVER) // UNDER + 2]
-                held.append(own.view(np.int64))
+                held.append(own.view(np.int64) if tenths == 10 else own[own % np.uint64(10) < tenths].view(np.int64))
             ends = np.cumsum([0, *map(len, held)])
             flat = np.concatenate(held) if held else np.array([], np.int64)
             sh = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat, pa.int64())).cast(pa.list_(pa.int64()))
@@ -84,55 +70,81 @@ def fits(x: Column, y: Column) -> Column:
     return F.least(x, y) * UNDER >= F.greatest(x, y) * OVER
 
 
-def similar(pairs: DataFrame, texts: DataFrame, one: DataFrame) -> DataFrame:
-    """Of nodes ``(a, b)``, the pairs whose whole sets are similar enough. ``one`` has (node, id, n)."""
-    x = one.select(F.col("node").alias("a"), F.col("n").alias("an"))
-    y = one.select(F.col("node").alias("b"), F.col("n").alias("bn"))
+def _prefix_size() -> Column:
+    return (F.col("n") * (UNDER - OVER) / UNDER).cast("int") + 1
+
+
+def _shared(keys: DataFrame) -> DataFrame:
+    """``(key, hub, t, hot)``: keys of ``(key, node)`` that several nodes have, the smallest of them, and all rows."""
+    found = keys.groupBy("key").agg(F.count("*").alias("t"), F.min("node").alias("hub"), F.max("node").alias("last"))
+    found = written(found.where("hub < last").select("key", "hub", "t"))
+    total = found.agg(F.sum("t").alias("t")).collect()[0]["t"] or 0
+    return found.withColumn("hot", F.col("t") > total / HOT)
+
+
+def with_company(found: DataFrame, one: DataFrame) -> DataFrame:
+    """Of ``one`` (node, id, n), the sets that can be similar to another. ``found`` has a part of each set."""
+    keys = found.select("node", F.explode("sh").alias("key"))
+    shared = split_join(keys, _shared(keys), ["key"], F.col("hot")).groupBy("node", "key").agg(F.lit(1).alias("x"))
+    shared = shared.groupBy("node").agg(F.count("*").alias("s"))
+    parts = found.groupBy("node").agg(F.min(F.size("sh")).alias("m"))
+    kept = one.join(parts, "node").join(shared, "node", "left").where(F.col("m") - F.coalesce("s", F.lit(0)) < _prefix_size())
+    return written(kept.where("n > 0").select("node", "id", "n"))
+
+
+def prefixes(full: DataFrame) -> DataFrame:
+    """``(key, node, n, extra)``: the shingles of prefixes that several sets have; ``extra`` is the one after the prefix."""
+    keys = full.select("node", "n", F.explode("sh").alias("key"))
+    shared = split_join(keys, _shared(keys), ["key"], F.col("hot")).select("key", "node", "n", "t")
+    own = Window.partitionBy("node")
+    alone = F.col("n") - F.count("*").over(own)
+    place = alone + F.row_number().over(own.orderBy("t", "key"))
+    held = shared.withColumn("over", place - _prefix_size()).where("over <= 1")
+    return written(held.select("key", "node", "n", (F.col("over") == 1).alias("extra")))
+
+
+def similar(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """Of nodes ``(a, b)``, the pairs whose whole sets ``full`` (node, n, sh) are similar enough."""
+    x = full.select(F.col("node").alias("a"), F.col("n").alias("an"))
+    y = full.select(F.col("node").alias("b"), F.col("n").alias("bn"))
     pairs = written(pairs.distinct().join(x, "a").join(y, "b").where(fits(F.col("an"), F.col("bn"))).select("a", "b"))
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    # a table, so that its size is known, and small ones are broadcast
-    needed = written(one.join(nodes, "node", "left_semi").select("id"))
-    some = texts.join(needed, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
-    whole = written(sets(some).select("node", "sh"))
-    left, right = whole.select(F.col("node").alias("a"), F.col("sh").alias("x")), whole.select(F.col("node").alias("b"), F.col("sh").alias("y"))
+    # tables have a size that is known, and small ones are broadcast
+    first, second = written(pairs.select("a").distinct()), written(pairs.select("b").distinct())
+    left = full.select(F.col("node").alias("a"), F.col("sh").alias("x")).join(first, "a", "left_semi")
+    right = full.select(F.col("node").alias("b"), F.col("sh").alias("y")).join(second, "b", "left_semi")
     both = F.size(F.array_intersect("x", "y"))
     enough = both * (OVER + UNDER) >= (F.size("x") + F.size("y")) * OVER
     return written(pairs.join(left, "a").join(right, "b").where(enough).select("a", "b"))
 
 
-def meeting_places(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(key, hub, hot)`` for shingles that prefixes of several sets share, and ``(key, node, n)`` for all prefixes."""
-    base = F.slice("sh", F.lit(1), (F.col("n") * (UNDER - OVER) / UNDER).cast("int") + 1)
-    keys = found.select("node", "n", F.explode(base).alias("key"))
-    places = keys.groupBy("key").agg(F.count("*").alias("t"), F.min("node").alias("hub"), F.max("node").alias("last"))
-    places = written(places.where("hub < last").select("key", "hub", "t"))
-    total = places.agg(F.sum("t").alias("t")).collect()[0]["t"] or 0
-    return places.select("key", "hub", (F.col("t") > total / HOT).alias("hot")), keys
-
-
-def star(places: DataFrame, keys: DataFrame) -> DataFrame:
+def star(held: DataFrame, places: DataFrame) -> DataFrame:
     """Pairs of the smallest member of a place and each other member."""
-    met = split_join(keys, places, ["key"], F.col("hot"))
+    met = split_join(held.where("not extra").select("key", "node"), places, ["key"], F.col("hot"))
     return met.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def across(places: DataFrame, keys: DataFrame, roots: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of members of different groups that share a place; crowded places are split by a second shingle."""
-    members = split_join(keys, places, ["key"], F.col("hot")).select("key", "node", "n").distinct()
+def across(held: DataFrame, places: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of members of different groups that share a place; crowded places are split by a second shingle.
+
+    What is linked needs no more pairs, so a large group of near copies costs
+    as many pairs as it has members.
+    """
+    members = split_join(held.where("not extra").select("key", "node", "n"), places.select("key", "hot"), ["key"], F.col("hot")).drop("hot")
     rooted = written(members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")))
     stats = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.approx_count_distinct("root").alias("groups"))
     open_ = written(rooted.join(stats.where("low < high").select("key", (F.col("groups") > CROWD).alias("crowded")), "key"))
-    calm = open_.where("not crowded").select("key", F.lit(0).cast("long").alias("second"), "node", "n", "root")
-    nodes = open_.where("crowded").select("node").distinct()
-    more = found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("sh").alias("sh"))
-    split = (
-        open_.where("crowded")
-        .join(more, "node")
-        .select("key", "node", "n", "root", F.explode("sh").alias("second"))
-        .where("second <> key")
-        .select("key", "second", "node", "n", "root")
-    )
-    met = calm.unionByName(split)
-    other = met.select("key", "second", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("root").alias("broot"))
-    pairs = met.join(other, ["key", "second"]).where((F.col("node") < F.col("b")) & (F.col("root") != F.col("broot")) & fits(F.col("n"), F.col("bn")))
-    return pairs.select(F.col("node").alias("a"), "b").distinct()
+    calm = open_.where("not crowded").select("key", F.lit(None).cast("long").alias("second"), "node", "n", "root")
+    second = held.select("node", F.col("key").alias("second"))
+    split = open_.where("crowded").join(second, "node").where("second <> key").select("key", "second", "node", "n", "root")
+    pairs = None
+    for met, on in ((calm.drop("second"), ["key"]), (split, ["key", "second"])):
+        other = met.select(*on, F.col("node").alias("b"), F.col("n").alias("bn"), F.col("root").alias("broot"))
+        apart = (F.col("node") < F.col("b")) & (F.col("root") != F.col("broot")) & fits(F.col("n"), F.col("bn"))
+        found = met.join(other, on).where(apart).select(F.col("node").alias("a"), "b")
+        pairs = found if pairs is None else pairs.unionByName(found)
+    return pairs.distinct()
+
+
+def meeting_places(held: DataFrame) -> DataFrame:
+    """``(key, hub, hot)`` of the shingles that several prefixes have."""
+    return _shared(held.where("not extra").select("key", "node")).drop("t")

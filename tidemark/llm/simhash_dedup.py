@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import shingle_sets
-from tidemark.llm.common import BLOCK, checkpoint, components, shingle_hashes, small_batches, written
+from tidemark.llm.common import BLOCK, checkpoint, components, scratch, shingle_hashes, small_batches, written
 
 BITS = 64
 WIDE = 256
@@ -292,21 +292,27 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", radius:
     one group, repeated rows are one id; empty tables give no rows.
     """
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = written(shingle_sets.sets(texts, shingle_sets.levels(texts, shingle), shingle))
-    names = written(found.groupBy("id").agg(F.min("node").alias("node")))
-    one = written(found.groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("fp").alias("fp")))
-    # texts of one fingerprint and of linked ones
-    firsts = checkpoint(one.where("n > 0").groupBy("fp").agg(F.min("node").alias("first")))
-    near = links(firsts.select("fp"), radius)
-    a, b = (firsts.select(F.col("fp").alias(x), F.col("first").alias(y)) for x, y in (("a", "x"), ("b", "y")))
-    told = one.join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    told = told.unionByName(near.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    places, keys = shingle_sets.meeting_places(found)
-    linked = shingle_sets.similar(told.unionByName(shingle_sets.star(places, keys)), texts, one)
-    roots = components(linked)
-    more = written(shingle_sets.across(places, keys, roots, found))
-    if more.limit(1).count():
-        more = shingle_sets.similar(more, texts, one)
-        roots = components(linked.unionByName(more)) if more.limit(1).count() else roots
-    return names.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("group"))
+    with scratch(docs.sparkSession) as keep:
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        found = written(shingle_sets.sets(texts, shingle, shingle_sets.TENTHS))
+        names = written(found.groupBy("id").agg(F.min("node").alias("node")))
+        one = written(found.groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("fp").alias("fp")))
+        # only sets that can be similar to another one go on, one text for each
+        left = shingle_sets.with_company(found, one)
+        some = texts.join(left.select("id"), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+        full = written(shingle_sets.sets(some, shingle).select("node", "n", "sh"))
+        # texts of one fingerprint, and of linked ones
+        firsts = checkpoint(one.where("n > 0").groupBy("fp").agg(F.min("node").alias("first")))
+        near = links(firsts.select("fp"), radius)
+        a, b = (firsts.select(F.col("fp").alias(x), F.col("first").alias(y)) for x, y in (("a", "x"), ("b", "y")))
+        told = one.join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+        told = told.unionByName(near.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+        held = shingle_sets.prefixes(full)
+        places = shingle_sets.meeting_places(held)
+        linked = shingle_sets.similar(told.unionByName(shingle_sets.star(held, places)), full)
+        roots = components(linked)
+        more = written(shingle_sets.across(held, places, roots))
+        if more.limit(1).count():
+            more = shingle_sets.similar(more, full)
+            roots = components(linked.unionByName(more)) if more.limit(1).count() else roots
+        return keep(names.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("group")))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import HOT, CELL_BITS, Sketch, small_batches, split_join, written
+from tidemark.llm.common import CELL_BITS, HOT, Sketch, scratch, small_batches, split_join, written
 
 GRAM = 48
 #: Window starts handled at a time; offsets of a segment fit into the low 20 bits.
@@ -327,26 +327,27 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = GRAM, group:
     """
     if not 1 <= gram <= length <= 4096:
         raise ValueError("1 <= gram <= length <= 4096 is needed")
-    levels = _gram_levels(docs, gram)
-    runs = written(docs.select("doc_id", "th", "raw").mapInArrow(lambda b: _runs(b, length, gram, levels), RUNS))
-    grams = written(runs.groupBy("kh").agg(F.count("*").alias("t")).where("t > 1"))
-    total = grams.agg(F.sum("t").alias("t")).collect()[0]["t"] or 0
-    shared = written(split_join(runs, grams.select("kh", (F.col("t") > total / HOT).alias("hot")), ["kh"], F.col("hot")).drop("hot"))
-    one = F.min(F.struct("doc_id", "th", "place")).alias("one")
-    different = written(shared.groupBy("kh", "sh").agg(F.count("*").alias("n"), one).select("kh", "sh", "n", "one.*"))
-    key = F.coalesce("doc_id", F.lit(0).cast("long"))  # equal rows with a null id must meet, too
-    wanted = different.groupBy(key.alias("_id"), "th").agg(F.collect_list(F.struct("place", "kh", "sh", "n")).alias("wanted"))
-    texts = docs.select(F.col("th").alias("_th"), "raw", key.alias("_key")).join(wanted.hint("shuffle_hash"), (F.col("_key") == F.col("_id")) & (F.col("_th") == F.col("th")))
-    # equal rows give the same runs; they are together already
-    texts = texts.dropDuplicates(["_key", "_th"]).select("raw", "wanted")
-    cut = written(texts.mapInArrow(lambda b: _cut_runs(b, length, gram), FOUND).drop("spans"))
-    found = written(_compared(cut, length, gram, group))
-    often = different.where(F.col("n") > total / HOT).select("kh", "sh", F.lit(True).alias("hot"))
-    found = found.join(F.broadcast(often), ["kh", "sh"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    back = split_join(shared, found, ["kh", "sh"], F.col("hot"))
-    anchor = F.shiftright("place", 2 * SPOT)
-    each = back.select("doc_id", "th", anchor.alias("a"), F.explode("spans").alias("span"))
-    return each.select("doc_id", "th", (F.col("a") + F.col("span.start")).alias("start"), (F.col("a") + F.col("span.stop")).alias("stop"))
+    with scratch(docs.sparkSession) as keep:
+        levels = _gram_levels(docs, gram)
+        runs = written(docs.select("doc_id", "th", "raw").mapInArrow(lambda b: _runs(b, length, gram, levels), RUNS))
+        grams = written(runs.groupBy("kh").agg(F.count("*").alias("t")).where("t > 1"))
+        total = grams.agg(F.sum("t").alias("t")).collect()[0]["t"] or 0
+        shared = written(split_join(runs, grams.select("kh", (F.col("t") > total / HOT).alias("hot")), ["kh"], F.col("hot")).drop("hot"))
+        one = F.min(F.struct("doc_id", "th", "place")).alias("one")
+        different = written(shared.groupBy("kh", "sh").agg(F.count("*").alias("n"), one).select("kh", "sh", "n", "one.*"))
+        key = F.coalesce("doc_id", F.lit(0).cast("long"))  # equal rows with a null id must meet, too
+        wanted = different.groupBy(key.alias("_id"), "th").agg(F.collect_list(F.struct("place", "kh", "sh", "n")).alias("wanted"))
+        texts = docs.select(F.col("th").alias("_th"), "raw", key.alias("_key")).join(wanted.hint("shuffle_hash"), (F.col("_key") == F.col("_id")) & (F.col("_th") == F.col("th")))
+        # equal rows give the same runs; they are together already
+        texts = texts.dropDuplicates(["_key", "_th"]).select("raw", "wanted")
+        cut = written(texts.mapInArrow(lambda b: _cut_runs(b, length, gram), FOUND).drop("spans"))
+        found = written(_compared(cut, length, gram, group))
+        often = different.where(F.col("n") > total / HOT).select("kh", "sh", F.lit(True).alias("hot"))
+        found = found.join(F.broadcast(often), ["kh", "sh"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        back = split_join(shared, found, ["kh", "sh"], F.col("hot"))
+        anchor = F.shiftright("place", 2 * SPOT)
+        each = back.select("doc_id", "th", anchor.alias("a"), F.explode("spans").alias("span"))
+        return keep(each.select("doc_id", "th", (F.col("a") + F.col("span.start")).alias("start"), (F.col("a") + F.col("span.stop")).alias("stop")))
 
 
 def cut_out(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -376,8 +377,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, group:
     """
     small_batches(docs.sparkSession)
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    named = docs.withColumn("_raw", raw).withColumn("_th", F.xxhash64("_raw"))
-    spans = repeated_spans(named.select("doc_id", F.col("_th").alias("th"), F.col("_raw").alias("raw")), length, gram, group)
+    named = docs.withColumn("_th", F.xxhash64(raw))
+    spans = repeated_spans(docs.select("doc_id", F.xxhash64(raw).alias("th"), raw.alias("raw")), length, gram, group)
     key = F.coalesce("doc_id", F.lit(0).cast("long"))
     of = spans.groupBy(key.alias("_id"), F.col("th").alias("_of")).agg(F.collect_set(F.struct("start", "stop")).alias("_spans"))
 
@@ -391,9 +392,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, group:
         of.hint("shuffle_hash"), (F.col("_key") == F.col("_id")) & (F.col("_th") == F.col("_of")), "left"
     )
     return (
-        joined.withColumn("_out", removed("_raw", "_spans"))
-        .withColumns({"n_bytes": F.octet_length("_raw").cast("long"), "kept": F.col("_out.kept"), "n_removed": F.col("_out.n_removed"), "n_spans": F.col("_out.n_spans")})
-        .drop("_raw", "_th", "_key", "_id", "_of", "_spans", "_out")
+        joined.withColumn("_out", removed(raw, "_spans"))
+        .withColumns({"n_bytes": F.octet_length(raw).cast("long"), "kept": F.col("_out.kept"), "n_removed": F.col("_out.n_removed"), "n_spans": F.col("_out.n_spans")})
+        .drop("_th", "_key", "_id", "_of", "_spans", "_out")
     )
 
 
