@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, language_id, packing, simhash_dedup, suffix_dedup
-from tidemark.llm.common import checkpoint, table
+from tidemark.llm.common import checkpoint, table, written
 from tidemark.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -38,16 +38,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     named = docs.select(*COLUMNS, F.xxhash64("text").alias("_text"))
     found = simhash_dedup.similar_groups(named, "_text")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
-    ids = named.groupBy("_text", rank.alias("_rank")).agg(F.count("*").alias("_n")).join(found, F.col("_text") == F.col("id"))
-    least = ids.groupBy("group").agg(F.min("_rank").alias("_least"))
-    first = ids.join(least, "group").where(F.col("_rank") == F.col("_least"))
-    rows = first.groupBy("group").agg(F.sum("_n").alias("_rows"))
-    first = checkpoint(first.join(rows, "group").select(F.col("_text").alias("_of"), F.col("_rank.id").alias("_id"), "group", "_rows"))
-    kept = named.join(first.hint("shuffle_hash"), (F.col("_text") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    single = kept.where("_rows = 1").select(*COLUMNS)
-    if not first.where("_rows > 1").limit(1).count():
-        return single
-    best = kept.where("_rows > 1").groupBy("group").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    ids = named.groupBy("_text", rank.alias("_rank")).agg(F.count("*").alias("_n"))
+    ids = ids.join(found.withColumnRenamed("id", "_text"), "_text")
+    groups = ids.groupBy("group").agg(F.min("_rank").alias("_least"), F.sum("_n").alias("_rows"))
+    # only groups of several rows need a choice; as tables, small ones are broadcast
+    ids = written(ids.join(groups.where("_rows > 1"), "group").withColumn("_best", F.col("_rank") == F.col("_least")))
+    rivals = ids.where("_best").groupBy("group").agg(F.sum("_n").alias("_rivals"))
+    ids = ids.join(rivals, "group").withColumn("_several", F.col("_best") & (F.col("_rivals") > 1))
+    ids = written(ids.where("not _best or _several").select("_text", F.col("_rank.id").alias("_id"), "group", "_several"))
+    here = named.withColumn("_doc", F.col("doc_id"))
+    same = lambda x: (F.col("_text") == x["_of"]) & F.col("_doc").eqNullSafe(x["_id"])
+    others = ids.withColumnRenamed("_text", "_of")
+    single = here.join(others.select("_of", "_id"), same(others), "left_anti").select(*COLUMNS)
+    several = others.where("_several")
+    best = here.join(several, same(several)).groupBy("group").agg(F.min(F.struct(*COLUMNS)).alias("row"))
     return single.unionByName(best.select("row.*"))
 
 
