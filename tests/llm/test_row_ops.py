@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -88,10 +89,62 @@ def test_licences(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+MIT_HEADER = """/*
+ * The MIT License
+ *
+ * Copyright (c) 2020 Somebody
+ *
+ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction, including without limitation the rights
+ * to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+ * copies of the Software, and to permit persons to whom the Software is
+ * furnished to do so, subject to the following conditions:
+ */"""
+GPL_HEADER = """# This program is free software; you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation; either version 2 of the License, or
+# (at your option) any later version.
+"""
+MPL_HEADER = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+
+
+def test_licences_as_they_are_written(spark):
+    """Expectations by hand: wrapped, commented, with titles, and what only looks like a part."""
+    want = {
+        MIT_HEADER: (["mit-title", "mit-grant"], ["MIT"]),
+        GPL_HEADER: (["gpl-free", "gpl-redistribute", "version-2-later"], ["GPL-2.0-or-later"]),
+        MPL_HEADER: (["mpl-subject"], ["MPL-2.0"]),
+        "Version notes\n2.0\nmore": ([], []),
+        "Released v. 2.0": ([], []),
+        "2.0": ([], []),
+        "Licensed under the MIT\nLicense.": (["mit-licensed"], ["MIT"]),
+        "MIT License\nCopyright (c) 2020 Somebody": (["mit-title-mit"], ["MIT"]),
+        "MIT License\nReleased under the\nMIT License.": (["mit-title-mit", "mit-released"], ["MIT"]),
+        "// SPDX-License-Identifier: Apache-2.0\nint main();": (["spdx-Apache-2.0"], ["Apache-2.0"]),
+        "# SPDX-License-Identifier: MIT OR Apache-2.0": ([], []),
+        "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nPreamble": (["gpl-title", "title-version-3"], ["GPL-3.0-only"]),
+        "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/": (["apache-title", "apache-title-version"], ["Apache-2.0"]),
+        "one word\n" * 300 + "Released under the\nMIT License": (["mit-released"], ["MIT"]),
+        "Released under the MIT License\r\n\r\nNext": (["mit-released"], ["MIT"]),
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["sentence_ids"], r["licenses"]) for r in license_scan.scan(df).collect()}
+    assert got == dict(enumerate(want.values()))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(want)))
+    rows = con.sql(license_scan.sql()).fetchall()
+    assert {r[0]: (r[2], r[3]) for r in rows} == {k: (",".join(a), ",".join(b)) for k, (a, b) in enumerate(want.values())}
+
+
 def test_every_rule_names_known_sentences():
     known = set(license_scan.KNOWN.values())
     assert len(known) == len(license_scan.SENTENCES)
     assert all(x in known for _, ids in license_scan.RULES for x in ids)
+    assert all(len([p for p in re.split(license_scan.BREAK, license_scan.normal(x)) if p]) == 1 for x in license_scan.SENTENCES.values())
 
 
 def brute_url(url):

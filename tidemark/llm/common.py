@@ -27,8 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers on tables with long texts."""
+    """Bound the memory of Python workers, and of scans, on tables with long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(ARROW_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -123,7 +123,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = suffix_dedup.remove_repeats(docs, length=400)
     digest = F.sha2("kept", 256).alias("kept_sha256")
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", digest, suffix_dedup.kept_text().alias("text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", digest, F.col("kept_text").alias("text"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,22 +85,24 @@ def _shared(keys: DataFrame) -> DataFrame:
 def with_company(found: DataFrame, one: DataFrame) -> DataFrame:
     """Of ``one`` (node, id, n), the sets that can be similar to another. ``found`` has a part of each set."""
     keys = found.select("node", F.explode("sh").alias("key"))
-    shared = split_join(keys, _shared(keys), ["key"], F.col("hot")).groupBy("node", "key").agg(F.lit(1).alias("x"))
-    shared = shared.groupBy("node").agg(F.count("*").alias("s"))
-    parts = found.groupBy("node").agg(F.min(F.size("sh")).alias("m"))
-    kept = one.join(parts, "node").join(shared, "node", "left").where(F.col("m") - F.coalesce("s", F.lit(0)) < _prefix_size())
+    holders = keys.groupBy("key").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    alone = holders.where(F.col("node") == F.col("last")).groupBy("node").agg(F.count("*").alias("alone"))
+    kept = one.join(alone, "node", "left").where(F.coalesce("alone", F.lit(0)) < _prefix_size())
     return written(kept.where("n > 0").select("node", "id", "n"))
 
 
 def prefixes(full: DataFrame) -> DataFrame:
-    """``(key, node, n, extra)``: the shingles of prefixes that several sets have; ``extra`` is the one after the prefix."""
+    """``(key, node, n, place, extra)``: the shingles of prefixes that several sets have, and their places in the order.
+
+    ``extra`` is the one after the prefix.
+    """
     keys = full.select("node", "n", F.explode("sh").alias("key"))
     shared = split_join(keys, _shared(keys), ["key"], F.col("hot")).select("key", "node", "n", "t")
     own = Window.partitionBy("node")
     alone = F.col("n") - F.count("*").over(own)
     place = alone + F.row_number().over(own.orderBy("t", "key"))
-    held = shared.withColumn("over", place - _prefix_size()).where("over <= 1")
-    return written(held.select("key", "node", "n", (F.col("over") == 1).alias("extra")))
+    held = shared.withColumn("place", place).withColumn("over", F.col("place") - _prefix_size()).where("over <= 1")
+    return written(held.select("key", "node", "n", F.col("place").cast("int").alias("place"), (F.col("over") == 1).alias("extra")))
 
 
 def similar(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -127,22 +129,26 @@ def across(held: DataFrame, places: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs of members of different groups that share a place; crowded places are split by a second shingle.
 
     What is linked needs no more pairs, so a large group of near copies costs
-    as many pairs as it has members.
+    as many pairs as it has members. A pair comes with every shingle it shares
+    in its prefixes; nothing before the first is shared, so what follows it must
+    be enough for the similarity.
     """
-    members = split_join(held.where("not extra").select("key", "node", "n"), places.select("key", "hot"), ["key"], F.col("hot")).drop("hot")
-    rooted = written(members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")))
+    columns = ["key", "node", "n", "place"]
+    members = split_join(held.where("not extra").select(*columns), places.select("key", "hot"), ["key"], F.col("hot")).drop("hot")
+    rooted = written(members.join(roots, "node", "left").select(*columns, F.coalesce("root", "node").alias("root")))
     stats = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.approx_count_distinct("root").alias("groups"))
     open_ = written(rooted.join(stats.where("low < high").select("key", (F.col("groups") > CROWD).alias("crowded")), "key"))
-    calm = open_.where("not crowded").select("key", F.lit(None).cast("long").alias("second"), "node", "n", "root")
     second = held.select("node", F.col("key").alias("second"))
-    split = open_.where("crowded").join(second, "node").where("second <> key").select("key", "second", "node", "n", "root")
+    split = open_.where("crowded").join(second, "node").where("second <> key").select("second", *columns, "root")
     pairs = None
-    for met, on in ((calm.drop("second"), ["key"]), (split, ["key", "second"])):
-        other = met.select(*on, F.col("node").alias("b"), F.col("n").alias("bn"), F.col("root").alias("broot"))
+    for met, on in ((open_.where("not crowded").select(*columns, "root"), ["key"]), (split, ["key", "second"])):
+        other = met.select(*on, F.col("node").alias("b"), F.col("n").alias("bn"), F.col("place").alias("bplace"), F.col("root").alias("broot"))
         apart = (F.col("node") < F.col("b")) & (F.col("root") != F.col("broot")) & fits(F.col("n"), F.col("bn"))
-        found = met.join(other, on).where(apart).select(F.col("node").alias("a"), "b")
+        found = met.join(other, on).where(apart).select(F.col("node").alias("a"), "b", "n", "bn", "place", "bplace")
         pairs = found if pairs is None else pairs.unionByName(found)
-    return pairs.distinct()
+    first = pairs.groupBy("a", "b", "n", "bn").agg(F.min("place").alias("place"), F.min("bplace").alias("bplace"))
+    most = F.least(F.col("n") - F.col("place"), F.col("bn") - F.col("bplace")) + 1
+    return first.where(most * (OVER + UNDER) >= (F.col("n") + F.col("bn")) * OVER).select("a", "b")
 
 
 def meeting_places(held: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import CELL_BITS, HOT, Sketch, scratch, small_batches, split_join, written
@@ -366,7 +366,10 @@ def cut_out(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """``docs`` with ``kept`` (bytes), ``n_bytes``, ``n_removed`` and ``n_spans``.
+    """``docs`` with ``kept`` (bytes), ``kept_text``, ``n_bytes``, ``n_removed`` and ``n_spans``.
+
+    In ``kept_text`` parts of a character at a cut go with it; a text without
+    repeats, or null, is itself.
 
     Every byte covered by a string of ``length`` bytes that also starts
     elsewhere in ``docs`` (same text included) goes; all copies go. Null texts
@@ -382,34 +385,25 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, group:
     key = F.coalesce("doc_id", F.lit(0).cast("long"))
     of = spans.groupBy(key.alias("_id"), F.col("th").alias("_of")).agg(F.collect_set(F.struct("start", "stop")).alias("_spans"))
 
-    @F.arrow_udf("kept binary, n_removed long, n_spans long")
+    @F.arrow_udf("kept binary, n_removed long, n_spans long, kept_text string")
     def removed(raw: pa.Array, spans: pa.Array) -> pa.Array:
         rows = [cut_out(r, [(x["start"], x["stop"]) for x in s or ()]) for r, s in zip(raw.to_pylist(), spans.to_pylist())]
         columns = list(zip(*rows)) or [[]] * 3
-        return pa.StructArray.from_arrays([pa.array(columns[0], pa.binary()), *(pa.array(x, pa.int64()) for x in columns[1:])], ["kept", "n_removed", "n_spans"])
+        text = pa.array([x.decode("utf-8", "ignore") for x in columns[0]], pa.string())
+        return pa.StructArray.from_arrays([pa.array(columns[0], pa.binary()), *(pa.array(x, pa.int64()) for x in columns[1:]), text], ["kept", "n_removed", "n_spans", "kept_text"])
 
     joined = named.withColumn("_key", key).join(
         of.hint("shuffle_hash"), (F.col("_key") == F.col("_id")) & (F.col("_th") == F.col("_of")), "left"
     )
     return (
         joined.withColumn("_out", removed(raw, "_spans"))
-        .withColumns({"n_bytes": F.octet_length(raw).cast("long"), "kept": F.col("_out.kept"), "n_removed": F.col("_out.n_removed"), "n_spans": F.col("_out.n_spans")})
+        .withColumns({"n_bytes": F.octet_length(raw).cast("long"), "kept": F.col("_out.kept"), "n_removed": F.col("_out.n_removed"), "n_spans": F.col("_out.n_spans"), "kept_text": F.when(F.col("_out.n_removed") > 0, F.col("_out.kept_text")).otherwise(F.col("text"))})
         .drop("_th", "_key", "_id", "_of", "_spans", "_out")
     )
 
 
-def kept_text() -> Column:
-    """``kept`` as text; parts of a character at a cut go with it. A text without repeats, or null, is itself."""
-
-    @F.arrow_udf("string")
-    def decoded(raw: pa.Array) -> pa.Array:
-        return pa.array([x.decode("utf-8", "ignore") for x in raw.to_pylist()], pa.string())
-
-    return F.when(F.col("n_removed") == 0, F.col("text")).otherwise(decoded("kept"))
-
-
 def clean_text(docs: DataFrame, length: int = 400) -> DataFrame:
     """``docs`` with repeats cut from ``text`` and n_chars anew."""
     columns = docs.columns
     out = remove_repeats(docs, length)
-    return out.withColumn("text", kept_text()).withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast("long")).select(*columns)
+    return out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast("long")).select(*columns)
