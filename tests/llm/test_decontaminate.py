@@ -54,9 +54,10 @@ def cases(seed):
     return docs, items
 
 
-@pytest.mark.parametrize("seed,per_pass", [(1, 2000), (2, 10)])
-def test_matches_are_those_of_brute_force(spark, monkeypatch, seed, per_pass):
-    monkeypatch.setattr(D, "ITEMS", per_pass)
+@pytest.mark.parametrize("seed,shingles,broadcast", [(1, 1 << 19, 2000), (2, 400, 2000), (3, 1 << 19, 1)])
+def test_matches_are_those_of_brute_force(spark, monkeypatch, seed, shingles, broadcast):
+    monkeypatch.setattr(D, "SHINGLES", shingles)
+    monkeypatch.setattr(D, "ITEMS", broadcast)
     docs, items = cases(seed)
     df = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in docs], SCHEMA).repartition(3)
     it = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id int, text string, doc_id int")
@@ -88,6 +89,20 @@ def test_items_with_parts_in_another_order_are_found(spark):
     assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
 
 
+def test_windows_that_are_similar_enough_are_within_the_radius():
+    """How often the radius would lose a window: edits that take the similarity to just 0.8."""
+    rng = random.Random(3)
+    apart = []
+    for _ in range(4000):
+        n = rng.choice([40, 60, 100, 200])
+        own = [rng.getrandbits(64) for _ in range(n)]
+        cut = n // 9  # (n - cut) / (n + cut) >= 0.8
+        other = own[cut:] + [rng.getrandbits(64) for _ in range(cut)]
+        bits = [[sum(h >> b & 1 for h in side) * 2 > n for b in range(64)] for side in (own, other)]
+        apart.append(sum(x != y for x, y in zip(*bits)))
+    assert max(apart) <= D.RADIUS
+
+
 def test_simhash_in_sql_is_that_of_python(spark):
     rng = random.Random(1)
     arrays = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (0, 1, 2, 5, 40, 300)]

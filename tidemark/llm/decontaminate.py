@@ -13,8 +13,14 @@ one block at least, and an item is indexed under all values so near its own. So
 every fingerprint within the radius is found; the exact similarity of weighted
 shingles (sum of least counts over sum of greatest) then decides.
 
-What is broadcast is bounded: items are taken ``ITEMS`` at a time, each a pass
-over the texts.
+At a similarity of 0.8 about 15 % of the bits differ, whatever their number, so
+blocks of any width must allow for so many flips that they prune little; windows
+that hold too few of an item's shingles are what is spared, and the blocks only
+say which items a window is held against.
+
+What is broadcast is bounded: items are taken so many at a time that they have
+``SHINGLES`` shingles together, each a pass over the texts. The index of over
+``ITEMS`` items is not broadcast, but joined.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint
+from tidemark.llm.common import checkpoint, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -32,7 +38,8 @@ SIMILARITY = 0.8
 RADIUS = 23
 BLOCKS = 8
 WIDTH = 64 // BLOCKS
-#: Items of a pass, and what they may have as shingles on average.
+#: Shingles of the items of a pass, and items whose index is broadcast.
+SHINGLES = 1 << 19
 ITEMS = 2000
 
 
@@ -115,7 +122,7 @@ def _windows(texts: DataFrame, items: DataFrame, k: int) -> DataFrame:
     return found.where(F.size("win") - F.size(F.array_except("win", "item_sh")) >= least).select("doc_id", "m", "win")
 
 
-def _pass(texts: DataFrame, items: DataFrame, ks: list[int]) -> DataFrame:
+def _pass(texts: DataFrame, items: DataFrame, ks: list[int], few: bool) -> DataFrame:
     """Links ``(doc_id, item_id, similarity)`` for items few enough to broadcast."""
     windows = None
     for k in ks:
@@ -123,25 +130,26 @@ def _pass(texts: DataFrame, items: DataFrame, ks: list[int]) -> DataFrame:
         windows = one if windows is None else windows.unionByName(one)
     # kept as a table: conditions on fingerprints would else be pushed, with all that makes them, into the scan's join
     windows = checkpoint(windows.withColumn("fp", simhash(F.col("win"))))
-    near = [sum(1 << b for b in c) for e in range(RADIUS // BLOCKS + 1) for c in combinations(range(WIDTH), e)]
+    flips = [sum(1 << b for b in c) for e in range(RADIUS // BLOCKS + 1) for c in combinations(range(WIDTH), e)]
     keys = F.array(*[F.struct(F.lit(b).alias("block"), v.alias("value")) for b, v in enumerate(_blocks(F.col("fp")))])
     indexed = (
         items.select(F.col("key").alias("item"), "m", F.col("fp").alias("item_fp"), F.explode_outer(keys).alias("at"))
-        .withColumn("flip", F.explode_outer(F.array(*map(F.lit, near))))
+        .withColumn("flip", F.explode_outer(F.array(*map(F.lit, flips))))
         .select("item", "m", "item_fp", F.col("at.block").alias("block"), F.col("at.value").bitwiseXOR(F.col("flip")).alias("value"))
     )
-    probes = windows.select("doc_id", "m", "win", "fp", F.posexplode_outer(F.array(*_blocks(F.col("fp")))).alias("block", "value"))
+    # windows with one fingerprint are looked up once
+    prints = windows.select("m", "fp").distinct()
+    probes = prints.select("m", "fp", F.posexplode_outer(F.array(*_blocks(F.col("fp")))).alias("block", "value"))
     apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
     # a pair is taken at the first block that finds it, so it comes once
     near_block = lambda b: F.bit_count(F.shiftrightunsigned(apart, b * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1))) <= RADIUS // BLOCKS
     first = F.lit(None).cast("int")
     for b in reversed(range(BLOCKS)):
         first = F.when(near_block(b), F.lit(b)).otherwise(first)
-    found = (
-        probes.join(F.broadcast(indexed), ["m", "block", "value"])
-        .where((F.bit_count(apart) <= RADIUS) & (F.col("block") == first))
-        .select("doc_id", "win", "item")
-    )
+    near = probes.join(F.broadcast(indexed) if few else indexed, ["m", "block", "value"])
+    # as a table its size is known, and a small one is broadcast
+    near = written(near.where((F.bit_count(apart) <= RADIUS) & (F.col("block") == first)).select("m", "fp", "item"))
+    found = windows.join(near, ["m", "fp"]).select("doc_id", "win", "item")
     own = items.select("item_id", "sh", F.col("key").alias("item"))
     return (
         found.join(F.broadcast(own), "item")
@@ -162,15 +170,15 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     together. Other columns are ignored; empty tables give no rows.
     """
     known = checkpoint(prepared(items, item_col, item_text_col))
-    sizes = known.groupBy("k").count().collect()  # five rows at most
-    total = sum(r["count"] for r in sizes)
+    sizes = known.groupBy("k").agg(F.count("*").alias("items"), F.sum(F.size("sh")).alias("shingles")).collect()  # five rows at most
     texts = docs.select(F.col(id_col).alias("doc_id"), F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("w"))
     ks = sorted(r["k"] for r in sizes) or [SHINGLE]
-    passes = max(1, -(-total // ITEMS))
+    passes = max(1, -(-sum(r["shingles"] for r in sizes) // SHINGLES))
+    few = sum(r["items"] for r in sizes) <= ITEMS * passes
     out = None
     for number in range(passes):
         part = known if passes == 1 else known.where(F.pmod(F.col("key"), F.lit(passes)) == number)
-        links = _pass(texts, part, ks)
+        links = _pass(texts, part, ks, few)
         out = links if out is None else out.unionByName(links)
     return out if passes == 1 else out.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
 
