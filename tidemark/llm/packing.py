@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import small_batches, written
 
 #: Chunks without white space that a worker keeps with their ids, in each of two generations; some 200 bytes each.
-CACHE_CHUNKS = 100_000
+CACHE_CHUNKS = 400_000
 CACHE_BYTES = 40
 _TAIL = b".,;:!?"
 

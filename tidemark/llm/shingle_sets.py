@@ -2,8 +2,7 @@
 
 The prefix filter finds all pairs: if the shingles of all texts are put in one
 order, two sets of a similarity of 4/5 or more share one of the first
-``n // 5 + 1`` shingles of each, and two of the first ``n // 5 + 2``. The order
-is by the number of sets that have a shingle, so a set with ``n // 5 + 1``
+``n // 5 + 1`` shingles of each. The order is by the number of sets that have a shingle, so a set with ``n // 5 + 1``
 shingles of its own shares nothing, and a line of many texts is no meeting place.
 
 Most sets have so many shingles of their own among three tenths of all hashes,
@@ -27,8 +26,6 @@ SHINGLE = 5
 OVER, UNDER = 4, 5
 #: Tenths of the hashes that are counted over all texts.
 TENTHS = 3
-#: Groups at a meeting place from which on it is split by a second shingle.
-CROWD = 16
 
 
 def majority(blocks: list[np.ndarray] | Iterator[np.ndarray]) -> int:
@@ -74,10 +71,9 @@ def _prefix_size() -> Column:
     return (F.col("n") * (UNDER - OVER) / UNDER).cast("int") + 1
 
 
-def _shared(keys: DataFrame) -> DataFrame:
-    """``(key, hub, t, hot)``: keys of ``(key, node)`` that several nodes have, the smallest of them, and all rows."""
-    found = keys.groupBy("key").agg(F.count("*").alias("t"), F.min("node").alias("hub"), F.max("node").alias("last"))
-    found = written(found.where("hub < last").select("key", "hub", "t"))
+def _hot(found: DataFrame) -> DataFrame:
+    """``found`` (with t, the rows of a key) as a table, with ``hot`` for at most ``HOT`` of its keys."""
+    found = written(found)
     total = found.agg(F.sum("t").alias("t")).collect()[0]["t"] or 0
     return found.withColumn("hot", F.col("t") > total / HOT)
 
@@ -92,17 +88,17 @@ def with_company(found: DataFrame, one: DataFrame) -> DataFrame:
 
 
 def prefixes(full: DataFrame) -> DataFrame:
-    """``(key, node, n, place, extra)``: the shingles of prefixes that several sets have, and their places in the order.
+    """``(key, node, n, alone, place)``: the shingles of prefixes that several sets have, and their places in the order.
 
-    ``extra`` is the one after the prefix.
+    Before them in the order are the ``alone`` shingles that no other set has.
     """
     keys = full.select("node", "n", F.explode("sh").alias("key"))
-    shared = split_join(keys, _shared(keys), ["key"], F.col("hot")).select("key", "node", "n", "t")
+    holders = keys.groupBy("key").agg(F.count("*").alias("t")).where("t > 1")
+    shared = split_join(keys, _hot(holders), ["key"], F.col("hot")).select("key", "node", "n", "t")
     own = Window.partitionBy("node")
     alone = F.col("n") - F.count("*").over(own)
-    place = alone + F.row_number().over(own.orderBy("t", "key"))
-    held = shared.withColumn("place", place).withColumn("over", F.col("place") - _prefix_size()).where("over <= 1")
-    return written(held.select("key", "node", "n", F.col("place").cast("int").alias("place"), (F.col("over") == 1).alias("extra")))
+    held = shared.withColumn("alone", alone.cast("int")).withColumn("place", F.col("alone") + F.row_number().over(own.orderBy("t", "key")))
+    return written(held.where(F.col("place") <= _prefix_size()).select("key", "node", "n", "alone", "place"))
 
 
 def similar(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -119,38 +115,40 @@ def similar(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return written(pairs.join(left, "a").join(right, "b").where(enough).select("a", "b"))
 
 
+def meeting_places(held: DataFrame) -> DataFrame:
+    """``(key, hub, hot)`` of the shingles that several prefixes have; the hub is a set with few shingles of its own.
+
+    Of a family of copies with edits that is one with few edits, which most others resemble.
+    """
+    places = held.groupBy("key").agg(F.count("*").alias("t"), F.min_by("node", "place").alias("hub"))
+    return _hot(places.where("t > 1")).drop("t")
+
+
 def star(held: DataFrame, places: DataFrame) -> DataFrame:
-    """Pairs of the smallest member of a place and each other member."""
-    met = split_join(held.where("not extra").select("key", "node"), places, ["key"], F.col("hot"))
-    return met.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    """Pairs of the hub of a place and each other member."""
+    met = split_join(held.select("key", "node"), places, ["key"], F.col("hot"))
+    return met.where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
 
 def across(held: DataFrame, places: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of members of different groups that share a place; crowded places are split by a second shingle.
+    """Pairs of members of different groups that share a place and may be similar enough.
 
     What is linked needs no more pairs, so a large group of near copies costs
-    as many pairs as it has members. A pair comes with every shingle it shares
-    in its prefixes; nothing before the first is shared, so what follows it must
-    be enough for the similarity.
+    as many pairs as it has members. Two sets share at most the shingle they
+    meet at, what follows it in both, and what others have, too, before it. A
+    pair comes with every shingle it shares in its prefixes; nothing before the
+    first is shared, so then what follows it must be enough.
     """
-    columns = ["key", "node", "n", "place"]
-    members = split_join(held.where("not extra").select(*columns), places.select("key", "hot"), ["key"], F.col("hot")).drop("hot")
+    columns = ["key", "node", "n", "alone", "place"]
+    members = split_join(held.select(*columns), places.select("key", "hot"), ["key"], F.col("hot")).drop("hot")
     rooted = written(members.join(roots, "node", "left").select(*columns, F.coalesce("root", "node").alias("root")))
-    stats = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.approx_count_distinct("root").alias("groups"))
-    open_ = written(rooted.join(stats.where("low < high").select("key", (F.col("groups") > CROWD).alias("crowded")), "key"))
-    second = held.select("node", F.col("key").alias("second"))
-    split = open_.where("crowded").join(second, "node").where("second <> key").select("second", *columns, "root")
-    pairs = None
-    for met, on in ((open_.where("not crowded").select(*columns, "root"), ["key"]), (split, ["key", "second"])):
-        other = met.select(*on, F.col("node").alias("b"), F.col("n").alias("bn"), F.col("place").alias("bplace"), F.col("root").alias("broot"))
-        apart = (F.col("node") < F.col("b")) & (F.col("root") != F.col("broot")) & fits(F.col("n"), F.col("bn"))
-        found = met.join(other, on).where(apart).select(F.col("node").alias("a"), "b", "n", "bn", "place", "bplace")
-        pairs = found if pairs is None else pairs.unionByName(found)
-    first = pairs.groupBy("a", "b", "n", "bn").agg(F.min("place").alias("place"), F.min("bplace").alias("bplace"))
-    most = F.least(F.col("n") - F.col("place"), F.col("bn") - F.col("bplace")) + 1
-    return first.where(most * (OVER + UNDER) >= (F.col("n") + F.col("bn")) * OVER).select("a", "b")
-
-
-def meeting_places(held: DataFrame) -> DataFrame:
-    """``(key, hub, hot)`` of the shingles that several prefixes have."""
-    return _shared(held.where("not extra").select("key", "node")).drop("t")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    met = written(rooted.join(mixed, "key"))
+    other = met.select("key", *(F.col(c).alias(f"b{c}") for c in ("node", "n", "alone", "place", "root")))
+    after = F.least(F.col("n") - F.col("place"), F.col("bn") - F.col("bplace")) + 1
+    before = F.least(F.col("place") - F.col("alone"), F.col("bplace") - F.col("balone")) - 1
+    enough = lambda most: most * (OVER + UNDER) >= (F.col("n") + F.col("bn")) * OVER
+    apart = (F.col("node") < F.col("bnode")) & (F.col("root") != F.col("broot"))
+    pairs = met.join(other, "key").where(apart & enough(after + before)).select("node", "bnode", "n", "bn", "place", "bplace")
+    first = pairs.groupBy("node", "bnode", "n", "bn").agg(F.min("place").alias("place"), F.min("bplace").alias("bplace"))
+    return first.where(enough(after)).select(F.col("node").alias("a"), F.col("bnode").alias("b"))
