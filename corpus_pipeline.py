@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, language_id, packing, simhash_dedup, suffix_dedup
-from tidemark.llm.common import checkpoint, table, written
+from tidemark.llm.common import HOT, checkpoint, split_join, table, written
 from tidemark.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -38,13 +38,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     named = docs.select(*COLUMNS, F.xxhash64("text").alias("_text"))
     found = simhash_dedup.similar_groups(named, "_text")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
-    ids = named.groupBy("_text", rank.alias("_rank")).agg(F.count("*").alias("_n"))
-    ids = ids.join(found.withColumnRenamed("id", "_text"), "_text")
+    ids = written(named.groupBy("_text", rank.alias("_rank")).agg(F.count("*").alias("_n")))
+    rows = ids.agg(F.sum("_n").alias("n")).collect()[0]["n"] or 0
+    sizes = ids.groupBy("_text").agg((F.sum("_n") > rows / HOT).alias("_hot"))
+    texts = written(sizes.join(found.withColumnRenamed("id", "_text"), "_text"))
+    ids = written(split_join(ids, texts, ["_text"], F.col("_hot")).drop("_hot"))
     groups = ids.groupBy("group").agg(F.min("_rank").alias("_least"), F.sum("_n").alias("_rows"))
     # only groups of several rows need a choice; as tables, small ones are broadcast
-    ids = written(ids.join(groups.where("_rows > 1"), "group").withColumn("_best", F.col("_rank") == F.col("_least")))
-    rivals = ids.where("_best").groupBy("group").agg(F.sum("_n").alias("_rivals"))
-    ids = ids.join(rivals, "group").withColumn("_several", F.col("_best") & (F.col("_rivals") > 1))
+    groups = written(groups.where("_rows > 1"))
+    ids = written(split_join(ids, groups, ["group"], F.col("_rows") > rows / HOT).withColumn("_best", F.col("_rank") == F.col("_least")))
+    rivals = written(ids.where("_best").groupBy("group").agg(F.sum("_n").alias("_rivals")).where("_rivals > 1"))
+    ids = ids.join(rivals, "group", "left").withColumn("_several", F.col("_best") & F.col("_rivals").isNotNull())
     ids = written(ids.where("not _best or _several").select("_text", F.col("_rank.id").alias("_id"), "group", "_several"))
     here = named.withColumn("_doc", F.col("doc_id"))
     same = lambda x: (F.col("_text") == x["_of"]) & F.col("_doc").eqNullSafe(x["_id"])
