@@ -17,6 +17,8 @@ ARROW_ROWS = 256
 BLOCK = 1 << 16
 #: A key with over this share (one in) of all rows is hot; there can be no more such keys.
 HOT = 1000
+#: Rows of a few numbers each that may be broadcast, some 10 MB; more are joined.
+SMALL = 1 << 18
 #: Bits of a cell's number in the counts of ``Sketch``.
 CELL_BITS = 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -139,12 +141,20 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def small(table: DataFrame) -> DataFrame:
+    """A table of narrow rows, as ``written`` returns it, marked for broadcast if it has no more than ``SMALL`` rows."""
+    return F.broadcast(table) if table.count() <= SMALL else table
+
+
 def split_join(rows: DataFrame, facts: DataFrame, keys: list[str], hot: Column) -> DataFrame:
-    """``rows`` with the fact of their key, a row for each key in ``facts``.
+    """``rows`` with the fact of their key, a row for each key in the table ``facts``.
 
-    Facts for which ``hot`` holds, ``HOT`` at most, are broadcast, so that no
-    task gets all rows of a hot key; the rest meet in a plain join.
+    Small tables are broadcast. Else the facts for which ``hot`` holds, ``HOT``
+    at most, are, so that no task gets all rows of a hot key; the rest meet in
+    a plain join.
     """
+    if facts.count() <= SMALL:
+        return rows.join(F.broadcast(facts), keys)
     few = facts.where(hot)
     apart = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(facts.where(~hot), keys)
     return rows.join(F.broadcast(few), keys).unionByName(apart)

@@ -30,7 +30,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, written
+from tidemark.llm.common import checkpoint, small, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -147,8 +147,7 @@ def _pass(texts: DataFrame, items: DataFrame, ks: list[int], few: bool) -> DataF
     for b in reversed(range(BLOCKS)):
         first = F.when(near_block(b), F.lit(b)).otherwise(first)
     near = probes.join(F.broadcast(indexed) if few else indexed, ["m", "block", "value"])
-    # as a table its size is known, and a small one is broadcast
-    near = written(near.where((F.bit_count(apart) <= RADIUS) & (F.col("block") == first)).select("m", "fp", "item"))
+    near = small(written(near.where((F.bit_count(apart) <= RADIUS) & (F.col("block") == first)).select("m", "fp", "item")))
     found = windows.join(near, ["m", "fp"]).select("doc_id", "win", "item")
     own = items.select("item_id", "sh", F.col("key").alias("item"))
     return (

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import HOT, shingle_hashes, split_join, written
+from tidemark.llm.common import HOT, shingle_hashes, small, split_join, written
 
 SHINGLE = 5
 #: Least similarity, as a fraction of whole numbers, so that the bound itself counts.
@@ -106,10 +106,9 @@ def similar(pairs: DataFrame, full: DataFrame) -> DataFrame:
     x = full.select(F.col("node").alias("a"), F.col("n").alias("an"))
     y = full.select(F.col("node").alias("b"), F.col("n").alias("bn"))
     pairs = written(pairs.distinct().join(x, "a").join(y, "b").where(fits(F.col("an"), F.col("bn"))).select("a", "b"))
-    # tables have a size that is known, and small ones are broadcast
     first, second = written(pairs.select("a").distinct()), written(pairs.select("b").distinct())
-    left = full.select(F.col("node").alias("a"), F.col("sh").alias("x")).join(first, "a", "left_semi")
-    right = full.select(F.col("node").alias("b"), F.col("sh").alias("y")).join(second, "b", "left_semi")
+    left = full.select(F.col("node").alias("a"), F.col("sh").alias("x")).join(small(first), "a", "left_semi")
+    right = full.select(F.col("node").alias("b"), F.col("sh").alias("y")).join(small(second), "b", "left_semi")
     both = F.size(F.array_intersect("x", "y"))
     enough = both * (OVER + UNDER) >= (F.size("x") + F.size("y")) * OVER
     return written(pairs.join(left, "a").join(right, "b").where(enough).select("a", "b"))
@@ -120,7 +119,7 @@ def meeting_places(held: DataFrame) -> DataFrame:
 
     Of a family of copies with edits that is one with few edits, which most others resemble.
     """
-    places = held.groupBy("key").agg(F.count("*").alias("t"), F.min_by("node", "place").alias("hub"))
+    places = held.groupBy("key").agg(F.count("*").alias("t"), F.min_by("node", "alone").alias("hub"))
     return _hot(places.where("t > 1")).drop("t")
 
 

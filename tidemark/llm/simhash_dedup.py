@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import shingle_sets
-from tidemark.llm.common import BLOCK, checkpoint, components, scratch, shingle_hashes, small_batches, written
+from tidemark.llm.common import BLOCK, checkpoint, components, scratch, shingle_hashes, small, small_batches, written
 
 BITS = 64
 WIDE = 256
@@ -299,7 +299,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", radius:
         one = written(found.groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("fp").alias("fp")))
         # only sets that can be similar to another one go on, one text for each
         left = shingle_sets.with_company(found, one)
-        some = texts.join(left.select("id"), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+        some = texts.join(small(left.select("id")), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
         full = written(shingle_sets.sets(some, shingle).select("node", "n", "sh"))
         # texts of one fingerprint, and of linked ones
         firsts = checkpoint(one.where("n > 0").groupBy("fp").agg(F.min("node").alias("first")))
