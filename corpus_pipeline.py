@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, language_id, packing, simhash_dedup, suffix_dedup
-from tidemark.llm.common import HOT, checkpoint, split_join, table, written
+from tidemark.llm.common import HOT, checkpoint, small, split_join, table, written
 from tidemark.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -44,17 +44,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     texts = written(sizes.join(found.withColumnRenamed("id", "_text"), "_text"))
     ids = written(split_join(ids, texts, ["_text"], F.col("_hot")).drop("_hot"))
     groups = ids.groupBy("group").agg(F.min("_rank").alias("_least"), F.sum("_n").alias("_rows"))
-    # only groups of several rows need a choice; as tables, small ones are broadcast
+    # only groups of several rows need a choice
     groups = written(groups.where("_rows > 1"))
     ids = written(split_join(ids, groups, ["group"], F.col("_rows") > rows / HOT).withColumn("_best", F.col("_rank") == F.col("_least")))
-    rivals = written(ids.where("_best").groupBy("group").agg(F.sum("_n").alias("_rivals")).where("_rivals > 1"))
+    rivals = small(written(ids.where("_best").groupBy("group").agg(F.sum("_n").alias("_rivals")).where("_rivals > 1")))
     ids = ids.join(rivals, "group", "left").withColumn("_several", F.col("_best") & F.col("_rivals").isNotNull())
     ids = written(ids.where("not _best or _several").select("_text", F.col("_rank.id").alias("_id"), "group", "_several"))
     here = named.withColumn("_doc", F.col("doc_id"))
     same = lambda x: (F.col("_text") == x["_of"]) & F.col("_doc").eqNullSafe(x["_id"])
-    others = ids.withColumnRenamed("_text", "_of")
-    single = here.join(others.select("_of", "_id"), same(others), "left_anti").select(*COLUMNS)
-    several = others.where("_several")
+    others = small(ids.withColumnRenamed("_text", "_of"))
+    single = here.join(others, same(others), "left_anti").select(*COLUMNS)
+    several = small(ids.withColumnRenamed("_text", "_of").where("_several"))
     best = here.join(several, same(several)).groupBy("group").agg(F.min(F.struct(*COLUMNS)).alias("row"))
     return single.unionByName(best.select("row.*"))
 
