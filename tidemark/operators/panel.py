@@ -142,3 +142,15 @@ def decile_bins(panel: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
     return rows.join(F.broadcast(edges)).withColumn("bin", place).groupBy("bin").agg(
         F.count("*").alias("n"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y")
     )
+
+
+def span(rows: DataFrame, day: str = "day") -> DataFrame:
+    """A10: rows, companies, and the first and the last day."""
+    return rows.agg(F.count("*").alias("n"), F.countDistinct("ticker").alias("companies"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
+
+
+def price_history(prices: DataFrame, companies: DataFrame) -> DataFrame:
+    """Stored bars (company_id, date, ...) with the tickers of their companies; bars of unknown companies go."""
+    names = companies.select(F.col("id").alias("company_id"), "ticker")
+    rest = [c for c in prices.columns if c not in ("company_id", "ticker")]
+    return prices.drop("ticker").join(names, "company_id").select("ticker", *rest)
