@@ -133,21 +133,18 @@ def across(held: DataFrame, places: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs of members of different groups that share a place and may be similar enough.
 
     What is linked needs no more pairs, so a large group of near copies costs
-    as many pairs as it has members. Two sets share at most the shingle they
-    meet at, what follows it in both, and what others have, too, before it. A
-    pair comes with every shingle it shares in its prefixes; nothing before the
-    first is shared, so then what follows it must be enough.
+    as many pairs as it has members. Two similar sets meet at the first shingle
+    they share; nothing before it is shared, so it and what follows it in both
+    must be enough for the similarity. Pairs come only from shingles of which
+    that holds, and these are all up to some place, the first one among them.
     """
-    columns = ["key", "node", "n", "alone", "place"]
+    columns = ["key", "node", "n", "place"]
     members = split_join(held.select(*columns), places.select("key", "hot"), ["key"], F.col("hot")).drop("hot")
     rooted = written(members.join(roots, "node", "left").select(*columns, F.coalesce("root", "node").alias("root")))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     met = written(rooted.join(mixed, "key"))
-    other = met.select("key", *(F.col(c).alias(f"b{c}") for c in ("node", "n", "alone", "place", "root")))
+    other = met.select("key", *(F.col(c).alias(f"b{c}") for c in ("node", "n", "place", "root")))
     after = F.least(F.col("n") - F.col("place"), F.col("bn") - F.col("bplace")) + 1
-    before = F.least(F.col("place") - F.col("alone"), F.col("bplace") - F.col("balone")) - 1
-    enough = lambda most: most * (OVER + UNDER) >= (F.col("n") + F.col("bn")) * OVER
+    enough = after * (OVER + UNDER) >= (F.col("n") + F.col("bn")) * OVER
     apart = (F.col("node") < F.col("bnode")) & (F.col("root") != F.col("broot"))
-    pairs = met.join(other, "key").where(apart & enough(after + before)).select("node", "bnode", "n", "bn", "place", "bplace")
-    first = pairs.groupBy("node", "bnode", "n", "bn").agg(F.min("place").alias("place"), F.min("bplace").alias("bplace"))
-    return first.where(enough(after)).select(F.col("node").alias("a"), F.col("bnode").alias("b"))
+    return met.join(other, "key").where(apart & enough).select(F.col("node").alias("a"), F.col("bnode").alias("b")).distinct()
