@@ -1,7 +1,7 @@
 """Quality rules: base counts, and a calibrated n-gram model over hashed features.
 
 The model is logistic regression over two families of features, each a share of
-its own: hashed words, and hashed runs of ``GRAM`` bytes. It learns from a
+its own: hashed words, and hashed runs of ``GRAM`` characters. It learns from a
 bounded sample of labelled rows (``PER_CLASS`` of either class; of a long text
 ``PIECES`` pieces of ``PIECE`` bytes), and a part that it hasn't seen calibrates
 its scores to probabilities (Platt). Whole texts are scored in Arrow batches and
@@ -28,7 +28,7 @@ PIECES, PIECE = 4, 3000
 STEPS = 120
 #: Fixed thresholds: fewest words, largest share (in percent) of repeated words, least probability of good quality.
 MIN_WORDS, MAX_REPEATED, MIN_QUALITY = 50, 50, 0.5
-#: Words or bytes handled at a time.
+#: Words, bytes or characters handled at a time.
 BLOCK = 1 << 18
 
 _SYMBOL = np.zeros(256, np.int64)
@@ -68,31 +68,38 @@ def repeated(words: list[bytes]) -> int:
 
 
 def features(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of hashed words (first half of the places) and of hashed byte runs (second half)."""
+    """Shares of hashed words (first half of the places) and of hashed runs of characters (second half)."""
     half = DIMENSIONS // 2
     total = np.zeros(DIMENSIONS, np.float32)
     words = raw.split()
     for at in range(0, len(words), BLOCK):
         block = np.fromiter(map(zlib.crc32, words[at : at + BLOCK]), np.int64) & (half - 1)
         total[:half] += np.bincount(block, minlength=half)
-    if len(raw) >= GRAM:
-        for at in range(0, len(raw) - GRAM + 1, BLOCK):
-            total[half:] += np.bincount(_grams(raw, at), minlength=half)
+    text = _characters(raw)
+    for at in range(0, len(text) - GRAM + 1, BLOCK):
+        total[half:] += np.bincount(_grams(text, at), minlength=half)
     place = np.flatnonzero(total)
     value = total[place]
     value[place < half] *= 10 / max(1, len(words))
-    value[place >= half] *= 10 / max(1, len(raw) - GRAM + 1)
+    value[place >= half] *= 10 / max(1, len(text) - GRAM + 1)
     return place, value
 
 
-def _grams(raw: bytes, at: int) -> np.ndarray:
-    """Places (below half the dimensions) of the byte runs that begin in a block."""
-    data = np.frombuffer(raw, np.uint8, min(BLOCK + GRAM - 1, len(raw) - at), at).astype(np.uint32)
+def _characters(raw: bytes) -> bytes | str:
+    """The text by code points; in plain ASCII its bytes are these."""
+    return raw if raw.isascii() else raw.decode("utf-8", "replace")
+
+
+def _grams(text: bytes | str, at: int) -> np.ndarray:
+    """Places (below half the dimensions) of the runs of characters that begin in a block."""
+    block = text[at : at + BLOCK + GRAM - 1]
+    points = np.frombuffer(block, np.uint8) if isinstance(block, bytes) else np.frombuffer(block.encode("utf-32-le"), np.uint32)
+    data = points.astype(np.uint32)
     n = len(data) - GRAM + 1
     run = data[:n].copy()
     for k in range(1, GRAM):
-        run <<= np.uint32(8)
-        run |= data[k : k + n]
+        run *= np.uint32(16777619)
+        run ^= data[k : k + n]
     run *= np.uint32(2654435761)
     run >>= np.uint32(32 - (DIMENSIONS // 2).bit_length() + 1)
     return run.astype(np.int64)
@@ -114,9 +121,10 @@ class Model:
                 block = np.fromiter(map(zlib.crc32, words[at : at + BLOCK]), np.int64) & (half - 1)
                 total += float(self.weights[block].sum(dtype=np.float64))
             score += 10 * total / len(words)
-        if len(raw) >= GRAM:
-            total = sum(float(self.weights[half + _grams(raw, at)].sum(dtype=np.float64)) for at in range(0, len(raw) - GRAM + 1, BLOCK))
-            score += 10 * total / (len(raw) - GRAM + 1)
+        text = _characters(raw)
+        if len(text) >= GRAM:
+            total = sum(float(self.weights[half + _grams(text, at)].sum(dtype=np.float64)) for at in range(0, len(text) - GRAM + 1, BLOCK))
+            score += 10 * total / (len(text) - GRAM + 1)
         return float(_sigmoid(self.slope * score + self.offset))
 
 
