@@ -63,6 +63,16 @@ def test_language_sample_is_bounded(spark):
     assert set(Counter(labels)) == {"a", "b"} and max(Counter(labels).values()) <= 20 * L.WINDOWS
 
 
+def test_every_language_is_learnt(spark, monkeypatch):
+    """Also rare ones; many languages share the bound on rows."""
+    monkeypatch.setattr(L, "ROWS", 1000)
+    lang = F.when(F.col("id") < 3000, "common").when(F.col("id") == 3999, "rare").otherwise(F.concat(F.lit("l"), F.col("id") % 98))
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("words "), F.col("id")).alias("text"), lang.alias("lang"), F.lit(1).alias("_share"))
+    counts = Counter(L.sample(df)[1])
+    assert len(counts) == 100 and counts["rare"] == 1
+    assert max(counts.values()) <= 10
+
+
 def test_licences(spark):
     s = license_scan.SENTENCES
     mit = "MIT License\n\n" + ". ".join(s[k] for k in ("mit-grant", "mit-notice", "mit-as-is", "mit-liability")) + "."
@@ -276,6 +286,24 @@ def test_scores_do_not_depend_on_blocks(monkeypatch):
     assert np.allclose(Q.features(raw)[1], value)
 
 
+@pytest.mark.parametrize("block", [1 << 18, 5])
+def test_runs_are_of_characters(monkeypatch, block):
+    monkeypatch.setattr(Q, "BLOCK", block)
+    half = Q.DIMENSIONS // 2
+
+    def place(run):
+        h = 0
+        for k, c in enumerate(run):
+            h = ord(c) if k == 0 else (h * 16777619 & 0xFFFFFFFF) ^ ord(c)
+        return half + ((h * 2654435761 & 0xFFFFFFFF) >> 17)
+
+    for text in ["", "abc", "日本é", "abcd", "日本語é", "plain words only " * 3, "né 日本語 \U0001f600 ab" * 5]:
+        places, values = Q.features(text.encode())
+        runs = Counter(place(text[i : i + Q.GRAM]) for i in range(len(text) - Q.GRAM + 1))
+        got = {int(p): float(v) for p, v in zip(places, values) if p >= half}
+        assert got == pytest.approx({p: 10 * n / (len(text) - Q.GRAM + 1) for p, n in runs.items()})
+
+
 def test_quality(spark):
     out = {r["doc_id"]: r for r in queries.op9_quality_rules(spark, SF).collect()}
     labels = {r["doc_id"]: r["quality"] for r in table(spark, SF, "labels").collect()}

@@ -7,10 +7,11 @@ The cell has one gate:
 
     z, n = sigmoid(E_z[x] + h U_z), tanh(E_n[x] + h U_n);  h' = z h + (1 - z) n
 
-It is trained in numpy by backpropagation through time on a bounded sample:
-``PER_LANGUAGE`` rows of each of the ``LANGUAGES`` most frequent languages, and
-``WINDOWS`` windows of each row. Rows are sampled by the hash of their id, so
-the sample doesn't depend on partitions.
+It is trained in numpy by backpropagation through time on a bounded sample of
+every language there is: ``PER_LANGUAGE`` rows of each, or equal parts of
+``ROWS`` rows where these are fewer (but ``LEAST`` rows), and ``WINDOWS``
+windows of each row. Rows are sampled by the hash of their id, so the sample
+doesn't depend on partitions.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from tidemark.llm.common import small_batches
 WINDOW = 128
 HIDDEN = 12
 PER_LANGUAGE = 160
-LANGUAGES = 64
+ROWS = 10240
+LEAST = 8
 WINDOWS = 6
 EPOCHS = 14
 BATCH = 128
@@ -213,16 +215,19 @@ def predict(model: Model | None, texts: list[bytes | None]) -> tuple[list[str],
 def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id") -> tuple[list[bytes], list[str]]:
     """Windows and languages of a bounded sample of ``labelled`` (id, text, lang)."""
     rows = labelled.where(F.col(id_col).isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("text") != ""))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    # one row for each language
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return [], []
+    per_language = min(per_language, max(LEAST, ROWS // len(counts)))
     draw = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * per_language / r["count"] + 1e-4)))])
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, 2.0 * per_language / r["count"] + 1e-4)) for r in counts], "lang string, _share double")
     raw = F.col("text").cast("binary")
     room = F.greatest(F.octet_length("text") - WINDOW, F.lit(0))
     picked = (
-        rows.where(F.col("lang").isin([r["lang"] for r in counts]))
-        .where(draw < F.element_at(share, F.col("lang")))
+        rows.select(id_col, "text", "lang")
+        .join(F.broadcast(shares), "lang")
+        .where(draw < F.col("_share"))
         .select(
             "lang",
             F.xxhash64(id_col).alias("draw"),
