@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tidemark.functions import expr
 from tidemark.functions import text as X
@@ -59,17 +60,41 @@ def drain(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upserting(path: str, keys: list[str], update: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """ST4: a writer of micro-batches that gives one table version a batch, so that a batch run twice changes nothing.
+def current(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame:
+    """ST4: the table that ``upserting`` keeps, with its ``bucket``; with ``before``, as it was before that batch.
 
-    Version ``path/v=<batch>`` is the one before with the batch put in.
+    A folder that isn't there yet is an empty table. What is broadcast is one
+    row for each bucket.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    kinds = StructType([*schema.fields, StructField("bucket", IntegerType()), StructField("v", LongType())])
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], kinds).drop("v")
+    rows = spark.read.schema(kinds).parquet(path)
+    if before is not None:
+        rows = rows.where(F.col("v") < before)
+    last = rows.groupBy("bucket").agg(F.max("v").alias("v"))
+    return rows.join(F.broadcast(last), ["bucket", "v"]).select(*schema.names, "bucket")
+
+
+def upserting(path: str, keys: list[str], update: list[str], order: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """ST4: a writer of micro-batches that rewrites only the buckets of keys that a batch names.
+
+    ``path/bucket=<b>/v=<batch>`` is the bucket's version before with the batch
+    put in; ``current`` reads the last of each. A batch that is run again reads
+    what was before it and writes the same, so it changes nothing.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        changes = batch.drop("v")
-        target = changes.drop(order).limit(0) if number == 0 else spark.read.schema(changes.drop(order).schema).parquet(f"{path}/v={number - 1}")
-        writers.upsert(target, changes, keys, update, order).write.mode("overwrite").parquet(f"{path}/v={number}")
+        changes = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        before = current(spark, path, batch.drop(order).schema, number)
+        touched = changes.select("bucket").distinct()
+        target = before.join(F.broadcast(touched), "bucket", "left_semi")
+        out = writers.upsert(target, changes, [*keys, "bucket"], update, order).withColumn("v", F.lit(number).cast("long"))
+        # one task for each bucket, one file each
+        out = out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy("bucket", "v").parquet(path)
 
     return write
 
