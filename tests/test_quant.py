@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 from collections import deque
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats
-from tidemark.operators import backtest, labels, limits, panel, pit, ranks, regime
+from tidemark.operators import backtest, labels, limits, panel, pit, quantiles, ranks, regime
 from tidemark.sources import readers
 
 D = dt.date
@@ -147,6 +148,18 @@ def test_realized_volatility(spark, closes, vol, n):
     assert (got["window_start"] is None) == (vol is None)
 
 
+@pytest.mark.parametrize("ranges", [1, 7, 64])
+def test_quantiles_against_numpy(spark, monkeypatch, ranges):
+    monkeypatch.setattr(quantiles, "cumulated", partial(quantiles.cumulated, ranges=ranges))
+    rng = np.random.default_rng(ranges)
+    shares = [0.0, 0.03, 1 / 3, 0.5, 2 / 3, 1.0]
+    for values in ([], [None], [2.5], [1.0, 1.0, 1.0, 9.0], rng.integers(0, 20, 301).tolist(), rng.standard_normal(500).tolist()):
+        df = spark.createDataFrame([(None if v is None else float(v),) for v in [*values, None]], "x double")
+        real = [v for v in values if v is not None]
+        got = quantiles.quantiles(df, "x", shares).first()["q"]
+        assert got == ([None] * len(shares) if not real else pytest.approx(np.quantile(real, shares).tolist()))
+
+
 def test_known_deviation_and_terciles(spark):
     r = [0.02 * (-1) ** k for k in range(13)]
     closes = np.exp(np.cumsum([0, *r])) * 100

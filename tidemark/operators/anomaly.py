@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.operators import panel as P
+from tidemark.operators.quantiles import quantiles
+from tidemark.sources.storage import checkpoint
 
 TREES, SAMPLE, SEED = 300, 256, 42
 CONTAMINATION = 0.03
@@ -100,12 +102,12 @@ def run_detection(features: DataFrame, contamination: float = CONTAMINATION, key
     Flagged are rows below the contamination quantile of the scores.
     """
     z = [f"z_{f}" for f in P.FEATURES]
-    rows = P.severities(P.zscores(features, key))
+    rows = checkpoint(P.severities(P.zscores(features, key)))
     forest = fit(rows, z, [key, "day"], trees)
     if forest is None:
         return rows.withColumn("score", F.lit(0.0)).withColumn("explanation", F.lit("")).limit(0)
-    scored = score(rows, forest, z)
-    cut = scored.agg(F.percentile("score", F.lit(contamination)).alias("_cut"))
+    scored = checkpoint(score(rows, forest, z))
+    cut = quantiles(scored, "score", [contamination]).select(F.col("q")[0].alias("_cut"))
     flagged = scored.join(F.broadcast(cut)).where(F.col("score") < F.col("_cut")).drop("_cut")
     words = X.sigma_text(F.col(key), F.col("day").cast("string"), F.array(*z), F.col("score"))
     return flagged.withColumn("explanation", words).orderBy("score", key, "day")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr
+from tidemark.operators.quantiles import quantiles
+from tidemark.sources.storage import checkpoint
 
 WINDOW_DAYS, MIN_RETURNS = 30, 10
 #: Days of a bin of the range join.
@@ -45,13 +47,12 @@ def realized_vol(filings: DataFrame, prices: DataFrame, window: int = WINDOW_DAY
 
 def terciles(vols: DataFrame, column: str = "realized_vol") -> DataFrame:
     """One row (tercile_low, tercile_high), exact with linear interpolation."""
-    cuts = F.percentile(column, F.array(F.lit(1 / 3), F.lit(2 / 3)))
-    return vols.agg(cuts.alias("q")).select(F.col("q")[0].alias("tercile_low"), F.col("q")[1].alias("tercile_high"))
+    return quantiles(vols, column, [1 / 3, 2 / 3]).select(F.col("q")[0].alias("tercile_low"), F.col("q")[1].alias("tercile_high"))
 
 
 def label_filings(filings: DataFrame, prices: DataFrame, key: str = "ticker", source: str = "adjusted_close") -> DataFrame:
     """Volatility, terciles and label of every filing; filings without volatility have a null label."""
-    vols = realized_vol(filings, prices, key=key)
+    vols = checkpoint(realized_vol(filings, prices, key=key))
     cuts = terciles(vols)
     return (
         vols.join(F.broadcast(cuts))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr
+from tidemark.operators.quantiles import quantiles
+from tidemark.sources.storage import checkpoint
 
 FEATURES = ["news_n", "news_neg", "neg_ratio", "abs_ret"]
 MIN_DAYS = 8
@@ -135,9 +137,8 @@ def well_covered(panel: DataFrame, n: int = 50, key: str = "ticker") -> DataFram
 
 def decile_bins(panel: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
     """Means over bins between the exact quantiles of ``x``; equal edges make one bin, the lowest bin holds its lower edge."""
-    rows = panel.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
-    cuts = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-    edges = rows.agg(F.array_distinct(F.percentile("x", cuts)).alias("edges"))
+    rows = checkpoint(panel.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null"))
+    edges = quantiles(rows, "x", [k / bins for k in range(bins + 1)]).select(F.array_distinct("q").alias("edges"))
     place = F.greatest(F.size(F.filter("edges", lambda e: e < F.col("x"))), F.lit(1)) - 1
     return rows.join(F.broadcast(edges)).withColumn("bin", place).groupBy("bin").agg(
         F.count("*").alias("n"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y")

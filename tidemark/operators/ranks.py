@@ -1,8 +1,7 @@
 """Rank statistics. Ranks are windows and sums are aggregates; only p-values are Python.
 
 A rank over a whole column can't be a window without partitions (all rows would
-meet in one task). ``global_rank`` counts distinct values instead, deals them
-into ranges, and adds up the ranges' totals.
+meet in one task). ``global_rank`` takes the sums of ``quantiles.cumulated``.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import stats
 from tidemark.operators import panel as P
+from tidemark.operators.quantiles import cumulated
 from tidemark.sources.storage import checkpoint
 
 
@@ -23,25 +23,8 @@ def average_rank(column: str, *keys: str) -> Column:
 
 
 def global_rank(rows: DataFrame, column: str, name: str, ranges: int = 64) -> DataFrame:
-    """W05 over all rows: ``rows`` with the average rank of ``column`` (and ``name_ties``, how many share it).
-
-    Values are counted, dealt into ranges by quantiles (a bounded sketch), and
-    ranked inside them after the totals of lower ranges. What one task holds is
-    a range of distinct values.
-    """
-    counts = checkpoint(rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n")))
-    cuts = counts.agg(F.percentile_approx("_v", [k / ranges for k in range(1, ranges)], 1000).alias("_cuts"))
-    ranged = counts.join(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("_range").agg(F.sum("_n").alias("_t")).select(
-        F.col("_range").alias("_r"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before")
-    )
-    inside = Window.partitionBy("_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        ranged.withColumn("_upto", F.sum("_n").over(inside))
-        .join(F.broadcast(totals), F.col("_range") == F.col("_r"))
-        .select("_v", (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(name), F.col("_n").alias(f"{name}_ties"))
-    )
+    """W05 over all rows: ``rows`` with the average rank of ``column`` (and ``name_ties``, how many share it)."""
+    ranked = cumulated(rows, column, ranges).select("_v", (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name), F.col("_n").alias(f"{name}_ties"))
     return rows.join(ranked, rows[column] == ranked["_v"]).drop("_v")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import expr, stats
 from tidemark.operators import ranks
+from tidemark.operators.quantiles import quantiles
 from tidemark.sources.storage import checkpoint
 
 FEATURES = ["mean_negative", "max_negative", "risk_density", "mean_neutral", "mean_positive"]
@@ -67,7 +68,10 @@ def correlations(rows: DataFrame, block: str, features: list[str] | None = None)
 
 
 def analyze(rows: DataFrame) -> DataFrame:
-    """All filings, confident ones, without financials, and company averages (mean_negative alone)."""
+    """All filings, confident ones, without financials, company averages (mean_negative alone), and sectors.
+
+    A sector's row has its name as ``feature``, and the means of ``mean_negative`` and volatility.
+    """
     rows = checkpoint(rows)
     average = company_averages(rows)
     last = ranks.with_p(ranks.spearman(average, "mean_negative", "realized_vol"))
@@ -76,11 +80,12 @@ def analyze(rows: DataFrame) -> DataFrame:
         correlations(confident(rows), "confident"),
         correlations(rows.where(~expr.is_financial(F.col("sector"))), "ex_financials"),
     ]
+    sector = sector_view(rows).select(F.lit("sector").alias("block"), F.col("sector").alias("feature"), "n", "mean_neg", "mean_vol")
     out = reduce(DataFrame.unionByName, blocks)
     none = [F.lit(None).cast("double").alias(c) for c in ("h", "h_p", "low", "medium", "high")]
     return out.unionByName(
         last.select(F.lit("company_average").alias("block"), F.lit("mean_negative").alias("feature"), "rho", "p", "n", *none, F.lit(None).cast("string").alias("trend"))
-    )
+    ).unionByName(sector, allowMissingColumns=True)
 
 
 def build_changes(rows: DataFrame) -> DataFrame:
@@ -93,19 +98,26 @@ def build_changes(rows: DataFrame) -> DataFrame:
 
 def change_summary(changes: DataFrame) -> DataFrame:
     """Observations, companies, median gap and pairs off the yearly cycle."""
-    return changes.agg(
+    changes = checkpoint(changes.select("ticker", "gap_days"))
+    counts = changes.agg(
         F.count("*").alias("n"),
         F.countDistinct("ticker").alias("companies"),
-        F.median("gap_days").alias("median_gap"),
         F.count(F.when((F.col("gap_days") < 200) | (F.col("gap_days") > 500), 1)).alias("off_cycle"),
     )
+    median = quantiles(changes, "gap_days", [0.5]).select(F.col("q")[0].alias("median_gap"))
+    return counts.join(F.broadcast(median)).select("n", "companies", "median_gap", "off_cycle")
 
 
 def rose_fell(changes: DataFrame) -> DataFrame:
-    """A20."""
-    return changes.groupBy(F.when(F.col("d_mean_negative") > 0, "rose").otherwise("fell").alias("direction")).agg(
-        F.count("*").alias("n"), F.median("realized_vol").alias("median_vol"), F.median("d_realized_vol").alias("median_d_vol")
-    )
+    """For each direction that occurs, its number and the medians of volatility and of its change."""
+    direction = F.when(F.col("d_mean_negative") > 0, "rose").otherwise("fell").alias("direction")
+    changes = checkpoint(changes.select(direction, "realized_vol", "d_realized_vol"))
+    out = []
+    for name in ("fell", "rose"):
+        rows = changes.where(F.col("direction") == name)
+        vol, d_vol = (quantiles(rows, c, [0.5]).select(F.col("q")[0].alias(m)) for c, m in (("realized_vol", "median_vol"), ("d_realized_vol", "median_d_vol")))
+        out.append(rows.groupBy("direction").agg(F.count("*").alias("n")).join(F.broadcast(vol)).join(F.broadcast(d_vol)))
+    return reduce(DataFrame.unionByName, out)
 
 
 def analyze_change(changes: DataFrame) -> DataFrame:
