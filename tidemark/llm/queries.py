@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import (
     chat_format,
+    collocations,
+    cover_dedup,
     decontaminate,
+    hard_negatives,
     language_id,
     license_scan,
     packing,
@@ -136,6 +139,91 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), length=2048, end_id=1)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def _op11_sql() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    grams = " UNION ALL ".join(
+        f"SELECT lang, array_to_string(w[i:i + {k - 1}], ' ') AS phrase FROM (SELECT lang, w, unnest(range(1, len(w) - {k} + 2)) AS i FROM pieces)" for k in range(1, 5)
+    )
+    return rf"""
+        WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{upper}', '{lower}') AS t FROM documents),
+        split AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?
+-
+]')) AS piece FROM texts),
+        pieces AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM split),
+        f AS (SELECT lang, phrase, count(*) AS n FROM ({grams}) GROUP BY lang, phrase HAVING count(*) >= 30),
+        totals AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+        candidates AS (SELECT lang, phrase, string_split(phrase, ' ') AS w, n AS a FROM f WHERE contains(phrase, ' ')),
+        cuts AS (SELECT lang, phrase, w, a, unnest(range(1, len(w))) AS k FROM candidates),
+        scored AS (
+            SELECT c.lang, c.phrase, c.a, c.k, x.n AS l, y.n AS r, (2000000::HUGEINT * c.a) // (x.n + y.n) AS score
+            FROM cuts c
+            JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+            JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+        worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inside AS (
+            SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS most
+            FROM (SELECT lang, w, a, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT lang, w, a, unnest(range(2, len(w))) AS k FROM candidates))
+            GROUP BY ALL),
+        kept AS (
+            SELECT w.* FROM worst w LEFT JOIN inside i ON i.lang = w.lang AND i.phrase = w.phrase
+            WHERE i.most IS NULL OR 100 * i.most < 80 * w.a),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT r.lang, rank, phrase, a, l, r, CAST(t.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000"""
+
+
+def op12_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = cover_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=13)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _op12_sql() -> str:
+    return r"""
+        WITH texts AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
+        windows AS (
+            SELECT row, doc_id, i, array_to_string(w[i:i + 12], ' ') AS words
+            FROM (SELECT row, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM texts)),
+        first AS (SELECT words, min(doc_id) AS first_id FROM windows GROUP BY words),
+        gone AS (
+            SELECT DISTINCT row, p FROM (
+                SELECT row, unnest(range(i, i + 13)) AS p FROM windows JOIN first USING (words) WHERE first_id < coalesce(doc_id, 9223372036854775807))),
+        each AS (SELECT row, w[p] AS word, p FROM (SELECT row, w, unnest(range(1, len(w) + 1)) AS p FROM texts)),
+        kept AS (
+            SELECT row, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS words
+            FROM each ANTI JOIN gone USING (row, p) GROUP BY row)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+        FROM texts LEFT JOIN kept USING (row)"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding"))
+
+
+def _op13_sql() -> str:
+    return """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   [floor(256 * x::DOUBLE) FOR x IN embedding] AS q
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        scores AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+        positives AS (SELECT * FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.id AS negative_id,
+               p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN scores n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+        WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)
+        QUALIFY row_number() OVER w <= 3"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
@@ -147,7 +235,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
+    "op11_collocations": op11_collocations,
+    "op12_cover_dedup": op12_cover_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: Only what DuckDB can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op2_chat_format": _op2_sql(), "op3_license_scan": license_scan.sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": _op2_sql(),
+    "op3_license_scan": license_scan.sql(),
+    "op11_collocations": _op11_sql(),
+    "op12_cover_dedup": _op12_sql(),
+    "op13_hard_negatives": _op13_sql(),
+}
