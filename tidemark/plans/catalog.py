@@ -14,6 +14,7 @@ from tidemark.functions import expr, stats
 from tidemark.functions import text as X
 from tidemark.operators import anomaly, backtest, evidence, explain, ingest, labels, limits, modelops, panel, pit, ranks, regime, validate
 from tidemark.plans import surrogate as S
+from tidemark.plans.catalog_streams import admitted_sql, shown
 from tidemark.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -656,10 +657,10 @@ def c17(spark, sf):
 # ---- limits, text, models --------------------------------------------------
 
 
-@query("st1_rate_limiter")
+@query("st1_rate_limiter", admitted_sql("SELECT user_id AS key, ts, event_id AS id FROM events", 3, 24 * 3600))
 def st1(spark, sf):
     rows = S.table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"))
-    return limits.admit(rows, limit=3, window=24 * 3600.0).select("key", "id", "allowed", "retry_after")
+    return shown(limits.admit(rows, limit=3, window=24 * 3600.0))
 
 
 @query("x04_html_text")

@@ -2,50 +2,18 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tidemark.functions import expr
 from tidemark.functions import text as X
-from tidemark.operators import limits
-from tidemark.sources import writers
-
-
-def limited(
-    requests: DataFrame, limit: int | None, window: float = limits.HOUR, key: str = "key", time: str = "ts", id: str = "id", late: str = "1 hour"
-) -> DataFrame:
-    """ST1, ST2 as a stream: the state of a key is the times of its allowed requests, ``limit`` at most.
-
-    Requests of a trigger are taken in order of time and id; those ``late`` or
-    more behind go. A key's state goes when it was quiet for two windows of the
-    requests' own time.
-    """
-    kind = dict(requests.dtypes)[key]
-
-    def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        hits = deque(state.get[0] if state.exists else [])
-        rows = pd.concat(list(batches)).sort_values([time, id])
-        out = [limits.check(hits, limit, window, t.timestamp()) for t in rows[time]]
-        state.update((list(hits),))
-        quiet = int(1000 * (rows[time].iloc[-1].timestamp() + 2 * window))
-        state.setTimeoutTimestamp(max(quiet, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(
-            {key: name[0], id: rows[id].to_numpy(), time: rows[time].to_numpy(), "allowed": [x[0] for x in out], "retry_after": pd.array([x[1] for x in out], "Int32")}
-        )
-
-    kinds = dict(requests.dtypes)
-    return requests.withWatermark(time, late).groupBy(key).applyInPandasWithState(
-        run, f"{key} {kind}, {id} {kinds[id]}, {time} {kinds[time]}, allowed boolean, retry_after int", "hits array<double>", "append", GroupStateTimeout.EventTimeTimeout
-    )
+from tidemark.sources import storage
+from tidemark.streaming.keyed import KeyedTable as KeyedTable
+from tidemark.streaming.keyed import current as current
+from tidemark.streaming.keyed import upserting as upserting  # ST4
+from tidemark.streaming.limiter import limited as limited  # ST1, ST2
 
 
 def score_articles(articles: DataFrame, scorer: X.Scorer = X.lexicon_scores) -> DataFrame:
@@ -60,41 +28,11 @@ def drain(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame:
-    """ST4: the table that ``upserting`` keeps, with its ``bucket``; with ``before``, as it was before that batch.
-
-    A folder that isn't there yet is an empty table. What is broadcast is one
-    row for each bucket.
-    """
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    kinds = StructType([*schema.fields, StructField("bucket", IntegerType()), StructField("v", LongType())])
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        return spark.createDataFrame([], kinds).drop("v")
-    rows = spark.read.schema(kinds).parquet(path)
-    if before is not None:
-        rows = rows.where(F.col("v") < before)
-    last = rows.groupBy("bucket").agg(F.max("v").alias("v"))
-    return rows.join(F.broadcast(last), ["bucket", "v"]).select(*schema.names, "bucket")
-
-
-def upserting(path: str, keys: list[str], update: list[str], order: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
-    """ST4: a writer of micro-batches that rewrites only the buckets of keys that a batch names.
-
-    ``path/bucket=<b>/v=<batch>`` is the bucket's version before with the batch
-    put in; ``current`` reads the last of each. A batch that is run again reads
-    what was before it and writes the same, so it changes nothing.
-    """
+def numbered(path: str) -> Callable[[DataFrame, int], None]:
+    """ST3: a writer for ``drain``: each batch is a folder, and one that is run again replaces its own, so every row is there once."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        changes = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        before = current(spark, path, batch.drop(order).schema, number)
-        touched = changes.select("bucket").distinct()
-        target = before.join(F.broadcast(touched), "bucket", "left_semi")
-        out = writers.upsert(target, changes, [*keys, "bucket"], update, order).withColumn("v", F.lit(number).cast("long"))
-        # one task for each bucket, one file each
-        out = out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        out.partitionBy("bucket", "v").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
@@ -104,17 +42,49 @@ def once(articles: DataFrame, key: str = "url", time: str = "published_at", late
     return articles.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def daily(news: DataFrame, key: str = "ticker", late: str = "2 days", zone_offset: str = "0 hours") -> DataFrame:
-    """ST5: features by company and day, each day once it can't change any more."""
-    rows = news.withWatermark("published_at", late)
-    day = F.window("published_at", "1 day", startTime=zone_offset)
+def day_end(ts: Column, zone: str) -> Column:
+    """The moment at which the calendar day of a UTC time ends in a zone; days of a change of time have 23 or 25 hours."""
+    return F.to_utc_timestamp(F.date_add(expr.local_day(ts, zone), 1).cast("timestamp"), zone)
+
+
+def daily(news: DataFrame, key: str = "ticker", late: str = "2 days", zone: str = "UTC", time: str = "published_at") -> DataFrame:
+    """ST5, D01: features by company and calendar day of ``zone``, each day once it can't change any more.
+
+    A day is closed when a row of a day that ends ``late`` or more after it has
+    been seen; rows of closed days that come later go. Rows without a time have
+    no day and go.
+    """
+    rows = news.where(F.col(time).isNotNull()).withColumn("_end", day_end(F.col(time), zone)).withWatermark("_end", late)
     return (
-        rows.groupBy(day, key)
-        .agg(F.count("*").alias("news_n"), F.avg("neg").alias("news_neg"), F.avg((F.col("label") == "negative").cast("double")).alias("neg_ratio"))
-        .select(key, F.to_date("window.start").alias("date"), "news_n", "news_neg", "neg_ratio")
+        rows.groupBy("_end", key)
+        .agg(
+            F.count("*").alias("news_n"),
+            F.round(F.avg("neg"), 6).alias("news_neg"),
+            F.round(F.avg((F.col("label") == "negative").cast("double")), 6).alias("neg_ratio"),
+        )
+        .select(key, F.date_sub(expr.local_day(F.col("_end"), zone), 1).alias("date"), "news_n", "news_neg", "neg_ratio")
     )
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_each: int = 100) -> DataFrame:
     """A folder of Parquet files as a stream, so many files a trigger."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_each).parquet(path)
+
+
+def pages(table: DataFrame, key: str, size: int = 2000) -> DataFrame:
+    """``table`` with ``page``: ``size`` rows each, in the order of a key that is unique and not null.
+
+    Rows are dealt into ranges of the key; a range's first number comes from the
+    totals of those before it, so no task orders all rows.
+    """
+    dealt = storage.checkpoint(table.repartitionByRange(key).withColumn("_range", F.spark_partition_id()))
+    totals = dealt.groupBy("_range").agg(F.count("*").alias("n"))  # a row for each range
+    before = totals.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+    return dealt.join(F.broadcast(before.drop("n")), "_range").withColumn("page", F.floor((F.col("before") + own) / size)).drop("before", "_range")
+
+
+def next_page(table: DataFrame, key: str, after: int | None, size: int = 2000) -> DataFrame:
+    """The page behind the bookmark ``after``, by its key: the scan skips what is before it."""
+    rest = table if after is None else table.where(F.col(key) > after)
+    return rest.orderBy(key).limit(size)
