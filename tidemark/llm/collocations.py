@@ -29,23 +29,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import HOT, LOWER, scratch, shared_dir, small, small_batches, split_join
+from tidemark.llm.prefix_hash import Hashed, forget, segments, words
 
 #: Where texts are split into pieces, and what is between the words of a piece.
 SPLIT, BLANKS = rb"[.,;:!?\x0A-\x0D]", rb"[\x20\x09]+"
 LONGEST = 4
 #: Rows in an Arrow batch of pieces or phrases, and bytes of pieces taken together.
 ROWS = 8192
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Memory of a task's duckdb, and rows that a task counts before it hands on what it has.
-MEMORY, FLUSH = "250MB", 2_000_000
+MEMORY, FLUSH = "160MB", 1_000_000
 #: Words for a bucket of phrases.
 BUCKET_WORDS = 1 << 23
 #: Bits for each frequent phrase, and at most (32 MB).
 BITS, MOST_BITS = 16, 28
+#: Parts of phrases with their counts that may be broadcast, some 10 MB; more are joined.
+FACTS = 1 << 16
 #: Parts that the phrases of one language are dealt into before the first are taken.
 SALT = 16
 UNKNOWN = "und"
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 _COUNTS = "lang string, phrase string, n long"
 
 
@@ -84,21 +86,10 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _word_hashes(words: list[bytes], lang: str) -> np.ndarray:
+def _salts(langs: list[str]) -> np.ndarray:
     import xxhash
 
-    seed = xxhash.xxh64_intdigest(lang.encode())
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w, seed) for w in words), np.uint64, len(words))
-
-
-def _gram_hashes(h: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of the ``size`` words from each place on."""
-    out = h[: len(h) - size + 1].copy()
-    for k in range(1, size):
-        out = (out ^ (out >> np.uint64(29))) * _MIX + h[k : len(h) - size + 1 + k]
-    out ^= out >> np.uint64(32)
-    return out * _MIX
+    return np.array([xxhash.xxh64_intdigest(x.encode()) for x in langs], np.uint64)
 
 
 class _Bits:
@@ -139,50 +130,67 @@ class _Store:
         self._new()
 
     def close(self) -> None:
+        import gc
+
         self.db.close()
+        forget()  # tasks have tables of their own, and workers outlive tasks
+        gc.collect()
         if self.folder and os.path.isdir(self.folder):
             import shutil
 
             shutil.rmtree(self.folder, ignore_errors=True)
 
 
-def _of_language(pieces: list[bytes], n: np.ndarray, lang: str, size: int, bits: _Bits | None) -> pa.Table:
-    words = [p.split(b" ") for p in pieces]
-    ends = np.cumsum([len(w) for w in words])
-    flat = [w for ws in words for w in ws]
-    owner = np.repeat(np.arange(len(pieces)), np.diff(ends, prepend=0))
-    at = np.arange(max(len(flat) - size + 1, 0))
-    at = at[at + size <= ends[owner[at]]]
+def _chunk(pieces: list[bytes], langs: np.ndarray, names: list[str], n: np.ndarray, size: int, bits: _Bits | None) -> pa.Table:
+    """Counts of the n-grams of some pieces; ``langs`` are places in ``names``. Equal are those with 128 equal bits of hashes."""
+    raw = b"\n".join(pieces)
+    starts, stops, closing = words(raw)
+    last = np.flatnonzero(closing)
+    owner = np.cumsum(closing) - closing
+    at = np.flatnonzero(np.arange(len(starts)) + size - 1 <= last[owner])
+    hashed, salt = Hashed(np.frombuffer(raw, np.uint8)), _salts(names)[langs][owner]
     if bits and len(at):
-        fit = bits.has(_gram_hashes(_word_hashes(flat, lang), size - 1))
-        at = at[fit[at] & fit[at + 1]]
-    found = [flat[i] for i in at.tolist()] if size == 1 else [b" ".join(flat[i : i + size]) for i in at.tolist()]
-    sums = pa.table({"phrase": pa.array(found, pa.binary()), "n": pa.array(n[owner[at]])}).group_by("phrase").aggregate([("n", "sum")])
-    return pa.table({"lang": pa.array([lang] * sums.num_rows, pa.string()), "phrase": sums["phrase"].cast(pa.string()), "n": sums["n_sum"]})
+        left = bits.has(hashed.ranges(starts[at], stops[at + size - 2], salt[at]))
+        at = at[left]
+        at = at[bits.has(hashed.ranges(starts[at + 1], stops[at + size - 1], salt[at]))]
+    first, second = (hashed.ranges(starts[at], stops[at + size - 1], salt[at], lane) for lane in (0, 1))
+    order = np.argsort(first, kind="stable")
+    if len(at) > 1 and ((first[order][1:] == first[order][:-1]) & (second[order][1:] != second[order][:-1])).any():
+        order = np.lexsort((second, first))
+    new = np.flatnonzero(np.diff(first[order], prepend=~first[order][:1]) | np.diff(second[order], prepend=~second[order][:1]))
+    sums = np.add.reduceat(n[owner[at]][order], new) if len(at) else np.zeros(0, np.int64)
+    one = at[order[new]]
+    phrases = [raw[x:y] for x, y in zip(starts[one].tolist(), stops[one + size - 1].tolist())]
+    lang = pa.array(names, pa.string()).take(pa.array(langs[owner[one]]))
+    return pa.table({"lang": lang, "phrase": pa.array(phrases, pa.binary()).cast(pa.string()), "n": pa.array(sums)})
 
 
 def _grams(batches: Iterator[pa.RecordBatch], size: int, bits: _Bits | None, folder: str | None) -> Iterator[pa.RecordBatch]:
     """``(lang, phrase, n)`` of the n-grams of this bucket of pieces ``(lang, piece, n)``."""
-    store, held, weight = _Store(folder), [], 0
+    store = _Store(folder)
+    pieces: list[bytes] = []
+    langs: list[int] = []
+    n: list[int] = []
+    names: dict[str, int] = {}
+    weight = 0
 
     def count() -> None:
-        table = pa.Table.from_batches(held)
-        lang = table["lang"].to_numpy(zero_copy_only=False)
-        pieces, n = table["piece"].to_pylist(), table["n"].to_numpy()
-        for x in dict.fromkeys(lang.tolist()):
-            own = np.flatnonzero(lang == x)
-            store.add(_of_language([pieces[i] for i in own.tolist()], n[own], x, size, bits))
+        store.add(_chunk(pieces, np.array(langs), list(names), np.array(n), size, bits))
 
     try:
         for batch in batches:
-            held.append(batch)
-            weight += batch.nbytes
-            if weight >= CHUNK:
-                count()
-                held, weight = [], 0
+            for lang, piece, times in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                for part in (piece,) if len(piece) <= CHUNK else segments(piece, size, CHUNK):
+                    pieces.append(part)
+                    langs.append(names.setdefault(lang, len(names)))
+                    n.append(times)
+                    weight += len(part) + 1
+                    if weight >= CHUNK:
+                        count()
+                        pieces, langs, n, names, weight = [], [], [], {}, 0
             if store.rows >= FLUSH:
                 yield from store.take()
-        if held:
+        if pieces:
             count()
         yield from store.take()
     finally:
@@ -200,28 +208,30 @@ def _sums(batches: Iterator[pa.RecordBatch], least: int, folder: str | None) ->
         store.close()
 
 
-def _frequent_bits(frequent: DataFrame, size: int) -> tuple[np.ndarray, int]:
+def _frequent_bits(frequent: DataFrame) -> tuple[np.ndarray, int]:
     """What ``_Bits`` needs. At most 2**``MOST_BITS`` bits, whatever the number of phrases; set by tasks, gathered as words of 64."""
     wanted = max(frequent.count(), 1) * BITS
     power = int(min(MOST_BITS, max(16, np.ceil(np.log2(wanted)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.zeros(1 << (power - 6), np.uint64)
+        set_ = np.zeros(1 << (power - 6), np.uint64)
         for batch in batches:
-            lang = batch.column(0).to_numpy(zero_copy_only=False)
+            names = batch.column(0).unique().to_pylist()
+            salt = _salts(names)[pa.array(batch.column(0)).dictionary_encode().indices.to_numpy()]
             phrases = batch.column(1).to_pylist()
-            for x in dict.fromkeys(lang.tolist()):
-                flat = [w for i in np.flatnonzero(lang == x).tolist() for w in phrases[i].split(b" ")]
-                at = _gram_hashes(_word_hashes(flat, x), size)[::size] >> np.uint64(64 - power)
-                np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-        block = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(words[block].view(np.int64))], names=["block", "bits"])
+            ends = np.cumsum([len(x) for x in phrases])
+            hashed = Hashed(np.frombuffer(b"".join(phrases), np.uint8), 1)
+            at = hashed.ranges(np.concatenate(([0], ends[:-1])), ends, salt) >> np.uint64(64 - power)
+            np.bitwise_or.at(set_, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        forget()
+        block = np.flatnonzero(set_)
+        yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(set_[block].view(np.int64))], names=["block", "bits"])
 
     parts = frequent.select("lang", F.col("phrase").cast("binary")).mapInArrow(run, "block int, bits long")
     found = parts.groupBy("block").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(1 << (power - 6), np.int64)
-    words[found["block"].to_numpy()] = found["bits"].to_numpy()
-    return words.view(np.uint64), power
+    out = np.zeros(1 << (power - 6), np.int64)
+    out[found["block"].to_numpy()] = found["bits"].to_numpy()
+    return out.view(np.uint64), power
 
 
 def _spill_folder(spark: SparkSession) -> str | None:
@@ -244,8 +254,8 @@ def frequent_phrases(pieces: DataFrame, total: int, least: int, longest: int) ->
     found: list[DataFrame] = []
     source = pieces.select("lang", F.col("piece").cast("binary"), "n", "words")
     for size in range(1, longest + 1):
-        words, power = _frequent_bits(found[-1], size - 1) if found else (None, 0)
-        sent = spark.sparkContext.broadcast(words)
+        bits, power = _frequent_bits(found[-1]) if found else (None, 0)
+        sent = spark.sparkContext.broadcast(bits)
         with scratch(spark) as keep:
             own = source.where(F.col("words") >= size).select("lang", "piece", "n")
             parts = own.mapInArrow(lambda b, k=size, s=sent, p=power: _grams(b, k, None if k == 1 else _Bits(s.value, p), folder), _COUNTS)
@@ -256,8 +266,8 @@ def frequent_phrases(pieces: DataFrame, total: int, least: int, longest: int) ->
 
 def _scored(candidates: DataFrame, known: DataFrame, factor: int, keep) -> DataFrame:
     """``(lang, phrase, a, l, r, score)``: the cut of the lowest score, of several the first."""
-    words = F.split("phrase", " ")
-    cuts = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.size(words) - 1)))
+    last = F.size(F.split("phrase", " ")) - 1
+    cuts = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), last)))
     cuts = cuts.withColumn("first", F.expr("substring_index(phrase, ' ', k)"))
     cuts = cuts.withColumn("rest", F.expr("substring(phrase, length(first) + 2)"))
     cuts = keep(cuts)
@@ -266,7 +276,7 @@ def _scored(candidates: DataFrame, known: DataFrame, factor: int, keep) -> DataF
     total = answers.agg(F.sum("asks").alias("t")).collect()[0]["t"] or 0
     for part, name in (("first", "l"), ("rest", "r")):
         facts = answers.select("lang", F.col("part").alias(part), F.col("f").alias(name), "asks")
-        cuts = split_join(cuts, facts, ["lang", part], F.col("asks") > total / HOT).drop("asks")
+        cuts = split_join(cuts, facts, ["lang", part], F.col("asks") > total / HOT, FACTS).drop("asks")
     exact = f"cast((cast({factor} as decimal(18, 0)) * cast(a as decimal(19, 0))) div cast(l + r as decimal(20, 0)) as long)"
     best = F.min(F.struct(F.expr(exact).alias("score"), "k", "l", "r")).alias("best")
     return cuts.groupBy("lang", "phrase").agg(F.first("a").alias("a"), best).select("lang", "phrase", "a", "best.l", "best.r", "best.score")
@@ -311,12 +321,12 @@ def mine(
         long = found[1].select("lang", "phrase", F.col("n").alias("a"))
         for table in found[2:]:
             long = long.unionByName(table.select("lang", "phrase", F.col("n").alias("a")))
-        words = F.split("phrase", " ")
+        split = F.split("phrase", " ")
         inside = None
         for size in range(2, longest):  # parts of this size in longer phrases
-            starts = F.sequence(F.lit(1), F.size(words) - size + 1)
-            part = F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))  # noqa: B023  called at once
-            one = long.where(F.size(words) > size).select("lang", F.explode(part).alias("phrase"), "a")
+            starts = F.sequence(F.lit(1), F.size(split) - size + 1)
+            part = F.transform(starts, lambda i: F.array_join(F.slice(split, i, F.lit(size)), " "))  # noqa: B023  called at once
+            one = long.where(F.size(split) > size).select("lang", F.explode(part).alias("phrase"), "a")
             inside = one if inside is None else inside.unionByName(one)
         with scratch(spark) as keep:
             scored = _scored(long, known, factor, keep)

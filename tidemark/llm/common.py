@@ -146,14 +146,14 @@ def small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= SMALL else table
 
 
-def split_join(rows: DataFrame, facts: DataFrame, keys: list[str], hot: Column) -> DataFrame:
+def split_join(rows: DataFrame, facts: DataFrame, keys: list[str], hot: Column, most: int = SMALL) -> DataFrame:
     """``rows`` with the fact of their key, a row for each key in the table ``facts``.
 
-    Small tables are broadcast. Else the facts for which ``hot`` holds, ``HOT``
+    Tables of up to ``most`` rows are broadcast. Else the facts for which ``hot`` holds, ``HOT``
     at most, are, so that no task gets all rows of a hot key; the rest meet in
     a plain join.
     """
-    if facts.count() <= SMALL:
+    if facts.count() <= most:
         return rows.join(F.broadcast(facts), keys)
     few = facts.where(hot)
     apart = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(facts.where(~hot), keys)
