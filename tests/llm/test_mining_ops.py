@@ -73,6 +73,19 @@ def test_cover_other_sizes(spark, repeated):
         cover_dedup.remove_repeats(docs, length=5, period=6)
 
 
+def test_anchors_of_long_texts(monkeypatch):
+    """In parts or whole, a text has the same anchors at the same places, three of seven."""
+    rng = random.Random(4)
+    texts = [" ".join(str(rng.randint(0, 999)) for _ in range(n)).encode() for n in (5, 13, 14, 400, 90)]
+    whole = [np.concatenate(x) for x in zip(*cover_dedup._anchors(texts, 13, 7))]
+    for chunk in (1, 30, 200):
+        monkeypatch.setattr(cover_dedup, "CHUNK", chunk)
+        parts = [np.concatenate(x) for x in zip(*cover_dedup._anchors(texts, 13, 7))]
+        assert all((x == y).all() for x, y in zip(whole, parts))
+    places = [(k, p) for k, t in enumerate(texts) for p in range(len(t.split()) - 6) if len(t.split()) >= 13 and p % 7 in (0, 1, 3)]
+    assert list(zip(whole[0].tolist(), whole[1].tolist())) == places
+
+
 def test_cover_of_nothing(spark):
     assert cover_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
@@ -166,6 +179,26 @@ def test_store_hands_on_sums(tmp_path, monkeypatch):
     assert list(tmp_path.iterdir()) == []
 
 
+def test_long_pieces_in_segments(monkeypatch):
+    """A piece longer than what is taken together: its n-grams are counted once, those across segments too."""
+    rng = random.Random(8)
+    pieces = [" ".join(rng.choice("abc") * rng.choice([1, 1, 30]) for _ in range(k)) for k in (1, 2, 3, 60, 200)]
+    for size in range(1, 5):
+        for chunk in (1, 10, 50, 100_000):
+            monkeypatch.setattr(collocations, "CHUNK", chunk)
+            batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 5, "piece": [p.encode() for p in pieces], "n": pa.array([3] * 5, pa.int64())})
+            got = Counter()
+            for out in collocations._grams(iter([batch]), size, None, None):
+                for r in out.to_pylist():
+                    got[r["phrase"]] += r["n"]
+            want = Counter()
+            for p in pieces:
+                w = p.split(" ")
+                for i in range(len(w) - size + 1):
+                    want[" ".join(w[i : i + size])] += 3
+            assert got == want, (size, chunk)
+
+
 def test_exact_scores(spark):
     """Products over 64 bits."""
     big = 7_000_000_000_000

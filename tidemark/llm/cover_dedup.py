@@ -29,12 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import HOT, SMALL, scratch, small_batches, split_join
+from tidemark.llm.prefix_hash import Hashed, forget, segments, words
 
 LENGTH = 13
 PERIOD = 7
+#: Bytes of texts hashed at a time.
+CHUNK = 1 << 20
 #: Stands for a null id, which comes after all others.
 LAST = (1 << 63) - 1
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def difference_cover(period: int) -> tuple[int, ...]:
@@ -47,45 +49,65 @@ def difference_cover(period: int) -> tuple[int, ...]:
     raise ValueError("the period must be positive")
 
 
-def _anchors(words: list[bytes], length: int, period: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the cover, and hashes of the ``length - period + 1`` words from there; none in texts without a window."""
-    import xxhash
+def _anchors(texts: list[bytes], length: int, period: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For some of the texts at a time: their numbers, places in the cover, and hashes of the words from there.
 
-    if len(words) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    A hash is that of ``length - period + 1`` words. Texts without a window have
+    none; long ones come in parts.
+    """
     wide = length - period + 1
-    digest = xxhash.xxh3_64_intdigest
-    h = np.fromiter(map(digest, words), np.uint64, len(words))
-    places = np.arange(len(words) - wide + 1)
-    places = places[np.isin(places % period, difference_cover(period))]
-    out = np.zeros(len(places), np.uint64)
-    for k in range(wide):
-        out = (out ^ (out >> np.uint64(29))) * _MIX + h[places + k]
-    out ^= out >> np.uint64(32)
-    return places, out.view(np.int64)
+    in_cover = np.isin(np.arange(period), difference_cover(period))
+    parts: list[bytes] = []
+    owner: list[int] = []
+    base: list[int] = []
+    weight = 0
+
+    def found() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw = b"\n".join(parts)
+        starts, stops, closing = words(raw)
+        last = np.flatnonzero(closing)
+        part = np.cumsum(closing) - closing
+        first = np.concatenate(([0], last[:-1] + 1))
+        each = np.arange(len(starts))
+        place = each - first[part] + np.array(base)[part]
+        at = each[(each + wide - 1 <= last[part]) & in_cover[place % period]]
+        a = Hashed(np.frombuffer(raw, np.uint8), 1).ranges(starts[at], stops[at + wide - 1])
+        return np.array(owner)[part[at]], place[at].astype(np.int32), a.view(np.int64)
+
+    for k, raw in enumerate(texts):
+        text = b" ".join(raw.split())
+        count = text.count(b" ") + 1
+        if count < length:
+            continue
+        done = 0
+        for piece in (text,) if len(text) <= CHUNK else segments(text, wide, CHUNK):
+            parts.append(piece)
+            owner.append(k)
+            base.append(done)
+            done += (piece.count(b" ") + 1) - (wide - 1)
+            weight += len(piece) + 1
+            if weight >= CHUNK:
+                yield found()
+                parts, owner, base, weight = [], [], [], 0
+    if parts:
+        yield found()
 
 
 def _numbers(batches: Iterator[pa.RecordBatch], length: int, period: int) -> Iterator[pa.RecordBatch]:
-    """``(a, id)``: the different anchors of each text."""
+    """``(a, id)``: the anchors of texts."""
     for batch in batches:
-        ids, found = batch.column(0).to_numpy(zero_copy_only=False), []
-        for raw in batch.column(1).to_pylist():
-            found.append(np.unique(_anchors(raw.split(), length, period)[1]))
-        if found:
-            index = np.repeat(ids, [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(index)], names=["a", "id"])
+        for owner, _, a in _anchors(batch.column(1).to_pylist(), length, period):
+            yield pa.RecordBatch.from_arrays([pa.array(a), batch.column(0).take(pa.array(owner))], names=["a", "id"])
+    forget()
 
 
 def _places(batches: Iterator[pa.RecordBatch], length: int, period: int) -> Iterator[pa.RecordBatch]:
     """``(a, id, th, at)``: all anchors with their texts and places."""
     for batch in batches:
-        found = [_anchors(raw.split(), length, period) for raw in batch.column(1).to_pylist()]
-        if found:
-            index = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]))
-            a, at = (np.concatenate([x[k] for x in found]) for k in (1, 0))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a), batch.column(0).take(index), batch.column(2).take(index), pa.array(at.astype(np.int32))], names=["a", "id", "th", "at"]
-            )
+        for owner, at, a in _anchors(batch.column(1).to_pylist(), length, period):
+            index = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(a), batch.column(0).take(index), batch.column(2).take(index), pa.array(at)], names=["a", "id", "th", "at"])
+    forget()
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int, period: int) -> Iterator[pa.RecordBatch]:
@@ -95,14 +117,16 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int, period: int) -> Ite
     digest = xxhash.xxh3_128_digest
     for batch in batches:
         for k, (raw, at) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-            words = raw.split()
-            last = len(words) - length
+            text = b" ".join(raw.split())
+            begins, ends, _ = words(text)
+            last = len(begins) - length
             mark = np.zeros(last + 2, np.int32)
             at = np.array(at)
             np.add.at(mark, np.maximum(at - period + 1, 0), 1)
             np.add.at(mark, np.minimum(at, last) + 1, -1)
             starts = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-            hashes = np.frombuffer(b"".join(digest(b" ".join(words[s : s + length])) for s in starts.tolist()), np.int64).reshape(-1, 2)
+            pairs = zip(begins[starts].tolist(), ends[starts + length - 1].tolist())
+            hashes = np.frombuffer(b"".join([digest(text[x:y]) for x, y in pairs]), np.int64).reshape(-1, 2)
             same = pa.array(np.full(len(starts), k))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), batch.column(2).take(same), batch.column(3).take(same), pa.array(starts.astype(np.int32))],
@@ -117,9 +141,9 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
         _, raws, lows, starts, ids = (batch.column(k).to_pylist() for k in range(5))
         n_words, spans, kept = [], [], []
         for raw, low, found, own in zip(raws, lows, starts, ids):
-            words = raw.split()
+            all_ = raw.split()
             if low is not None and own > low:
-                cut = [(0, len(words))] if len(words) >= length else []
+                cut = [(0, len(all_))] if len(all_) >= length else []
             else:
                 cut = []
                 for s in sorted(found or ()):
@@ -129,11 +153,11 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
                         cut.append((s, s + length))
             rest, done = [], 0
             for x, y in cut:
-                rest += words[done:x]
+                rest += all_[done:x]
                 done = y
-            n_words.append(len(words))
+            n_words.append(len(all_))
             spans.append([{"start": x, "stop": y} for x, y in cut])
-            kept.append(b" ".join(rest + words[done:]))
+            kept.append(b" ".join(rest + all_[done:]))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pair), pa.array(kept, pa.binary()).cast(pa.string())],
             names=["doc_id", "n_words", "spans", "kept"],
