@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr
+from tidemark.operators.asof import asof
 from tidemark.operators.quantiles import quantiles
 from tidemark.sources.storage import checkpoint
 
@@ -43,15 +44,11 @@ def news_days(news: DataFrame, zone: str = "America/New_York", key: str = "ticke
 def roll_forward(days: DataFrame, calendar: DataFrame, key: str = "ticker", day: str = "pub_day") -> DataFrame:
     """``day`` (the first calendar day at or after, by key) for each row of ``days``; rows after the last go.
 
-    Both sides are merged and read once in order of days, so the join never
-    holds more than one row for each row it reads.
+    A key's rows are merged by month, so a key with most rows is many tasks.
     """
     others = [c for c in days.columns if c not in (key, day)]
-    left = days.select(key, F.col(day).alias("_at"), F.lit(None).cast("date").alias("_trade"), F.struct(*others).alias("_row") if others else F.struct(F.lit(1)).alias("_row"))
-    right = calendar.select(key, F.col("day").alias("_at"), F.col("day").alias("_trade"), F.lit(None).cast(dict(left.dtypes)["_row"]).alias("_row"))
-    ahead = Window.partitionBy(key).orderBy("_at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    both = left.unionByName(right).withColumn("_trade", F.min("_trade").over(ahead))
-    return both.where("_row is not null and _trade is not null").select(key, F.col("_trade").alias("day"), F.col("_at").alias(day), "_row.*")
+    found = asof(days, calendar.select(key, F.col("day").alias("_trade")), key, day, "_trade", ["_trade"])
+    return found.select(key, F.col("_trade").alias("day"), day, *others)
 
 
 def daily_features(rolled: DataFrame, key: str = "ticker", day: str = "day") -> DataFrame:

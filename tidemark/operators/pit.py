@@ -7,6 +7,8 @@ import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import asof
+
 
 class PointInTime:
     """A table of dated rows that is only read through a cutoff."""
@@ -18,6 +20,10 @@ class PointInTime:
         """Rows of the day and before (T04: order is asked for where it is needed)."""
         return self._rows.where(F.col(self._day) <= F.to_date(F.lit(str(day))))
 
+    def last_before(self, cutoffs: DataFrame, at: str, take: list[str], days: int = asof.WIDTH) -> DataFrame:
+        """The last row of the key at or before each cutoff (key, ``at``, ...), nulls where there is none; rows after a cutoff are never seen."""
+        return asof.asof(cutoffs, self._rows, self._key, at, self._day, take, forward=False, how="left", days=days)
+
     def bars(self, key: str, day: datetime.date | str) -> DataFrame:
         """A key's rows up to a day, oldest first; an unknown key has none."""
         return self.as_of(day).where(F.col(self._key) == key).orderBy(self._day)

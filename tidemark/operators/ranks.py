@@ -6,12 +6,15 @@ meet in one task). ``global_rank`` takes the sums of ``quantiles.cumulated``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats
 from tidemark.operators import panel as P
-from tidemark.operators.quantiles import cumulated
+from tidemark.operators import rankings
+from tidemark.operators.quantiles import cumulated, quantiles
 from tidemark.sources.storage import checkpoint
 
 
@@ -58,9 +61,10 @@ def spearman_by(rows: DataFrame, key: str, x: str, y: str, least: int = 8) -> Da
 
 def spearman_summary(rows: DataFrame, key: str, x: str, y: str, least: int = 8) -> DataFrame:
     """Median rho, the share above zero and the number of companies."""
-    return spearman_by(rows, key, x, y, least).agg(
-        F.median("rho").alias("median_rho"), F.avg((F.col("rho") > 0).cast("double")).alias("share_positive"), F.count("*").alias("companies")
-    )
+    each = checkpoint(spearman_by(rows, key, x, y, least).select("rho"))
+    found = each.agg(F.avg((F.col("rho") > 0).cast("double")).alias("share_positive"), F.count("*").alias("companies"))
+    median = quantiles(each, "rho", [0.5]).select(F.col("q")[0].alias("median_rho"))
+    return found.join(F.broadcast(median)).select("median_rho", "share_positive", "companies")
 
 
 def kruskal(rows: DataFrame, feature: str, group: str) -> DataFrame:
@@ -91,41 +95,59 @@ def mann_whitney(rows: DataFrame, value: str, first: Column, least: int = 5) ->
     return out.select(F.when((F.col("n1") >= least) & (F.col("n2") >= least), u).alias("u"), "n1", "n2", "ties")
 
 
-def panel_block(panel: DataFrame, x: str, y: str, title: str, key: str = "ticker") -> DataFrame:
-    """Pooled, within-company and per-company rank correlation of two columns, as rows (title, metric, value)."""
-    rows = panel.dropna(subset=[x, y])
-    z = panel.withColumns({"zx": F.round(P.zscore(x, key), 9), "zy": F.round(P.zscore(y, key), 9)})
-    pooled = with_p(spearman(rows, x, y)).select(F.lit("pooled").alias("metric"), "rho", "p", "n")
-    within = with_p(spearman(z, "zx", "zy")).select(F.lit("within").alias("metric"), "rho", "p", "n")
-    each = spearman_summary(rows, key, x, y)
-    median = each.select(F.lit("median").alias("metric"), F.col("median_rho").alias("rho"), F.lit(None).cast("double").alias("p"), F.col("companies").alias("n"))
-    share = each.select(F.lit("share_positive").alias("metric"), F.col("share_positive").alias("rho"), F.lit(None).cast("double").alias("p"), F.col("companies").alias("n"))
-    return pooled.unionByName(within).unionByName(median).unionByName(share).select(F.lit(title).alias("title"), "*")
+def zscored(rows: DataFrame, groups: list[str], columns: dict[str, str]) -> DataFrame:
+    """W04 for large groups: ``columns`` (name: column) by group, rounded so that equal days tie; null where the column is.
+
+    Means and deviations are sums, made before anything is shuffled.
+    """
+    made = [f(c).alias(f"_{n}_{name}") for name, c in columns.items() for n, f in (("mean", F.avg), ("sd", F.stddev_pop))]
+    sums = rows.groupBy(*groups).agg(*made)
+    out = {}
+    for name, c in columns.items():
+        sd, gap = F.col(f"_sd_{name}"), F.col(c) - F.col(f"_mean_{name}")
+        out[name] = F.round(F.when(sd > 0, F.try_divide(gap, sd)).otherwise(F.col(c) * 0.0), 9)
+    return rows.join(sums, groups).withColumns(out).drop(*sums.drop(*groups).columns)
+
+
+def panel_blocks(blocks: DataFrame, key: str = "ticker") -> DataFrame:
+    """For each ``title`` of (title, key, x, y) pooled, within-company and per-company rank correlation, as rows (title, metric, rho, p, n)."""
+    blocks = checkpoint(blocks)
+    z = zscored(blocks, ["title", key], {"zx": "x", "zy": "y"})
+    pairs = blocks.select("title", F.lit("pooled").alias("metric"), F.lit(None).cast("string").alias("of"), "x", "y")
+    pairs = pairs.unionByName(z.select("title", F.lit("within").alias("metric"), F.lit(None).cast("string").alias("of"), F.col("zx").alias("x"), F.col("zy").alias("y")))
+    pairs = pairs.unionByName(blocks.select("title", F.lit("each").alias("metric"), F.col(key).cast("string").alias("of"), "x", "y"))
+    rho = checkpoint(rankings.study(["title", "metric", "of"], pairs)[0])
+    whole = with_p(rho.where("metric <> 'each'")).select("title", "metric", "rho", "p", "n")
+    each = rho.where("metric = 'each' and n >= 8 and rho is not null")
+    none = F.lit(None).cast("double").alias("p")
+    # titles without such a company have a row of nulls
+    titles = blocks.select("title").distinct()
+    share = titles.join(each.groupBy("title").agg(F.avg((F.col("rho") > 0).cast("double")).alias("rho"), F.count("*").alias("n")), "title", "left")
+    share = share.withColumn("n", F.coalesce("n", F.lit(0)))
+    median = rankings.quantiles_by(each, ["title"], [0.5], "rho").select("title", F.col("q")[0].alias("median"))
+    median = share.join(median, "title", "left").select("title", F.lit("median").alias("metric"), F.col("median").alias("rho"), none, "n")
+    return whole.unionByName(median).unionByName(share.select("title", F.lit("share_positive").alias("metric"), "rho", none, "n"))
 
 
 def coverage_sweep(panel: DataFrame, thresholds: tuple[int, ...] = (1, 3, 5, 10, 20), key: str = "ticker") -> DataFrame:
     """Within-company correlation of negativity and |return| over company-days with at least so many articles.
 
-    A row for each threshold; rho is null below 30 days or five companies.
+    A row for each threshold that a day reaches; rho is null below 30 days or five companies.
     z-scores are made anew in each subset, and rounded so that equal days tie.
     """
-    panel = checkpoint(panel.select(key, "news_n", "news_neg", "abs_ret"))
-    each = panel.withColumn("min_n", F.explode(F.array(*map(F.lit, thresholds)))).where("news_n >= min_n")
+    panel = panel.select(key, "news_n", "news_neg", "abs_ret")
+    each = checkpoint(panel.withColumn("min_n", F.explode(F.array(*map(F.lit, thresholds)))).where("news_n >= min_n"))
     counts = each.groupBy("min_n").agg(F.count("*").alias("days"), F.countDistinct(key).alias("companies"))
-    out = None
-    for threshold in thresholds:
-        rows = each.where(F.col("min_n") == threshold)
-        z = rows.withColumns({c: F.round(P.zscore(v, key), 9) for c, v in (("zx", "news_neg"), ("zy", "abs_ret"))})
-        one = spearman(z, "zx", "zy").select(F.lit(threshold).alias("min_n"), "rho")
-        out = one if out is None else out.unionByName(one)
+    z = zscored(each, ["min_n", key], {"x": "news_neg", "y": "abs_ret"})
+    rho = rankings.study(["min_n"], z.select("min_n", "x", "y"))[0].select("min_n", "rho")
     enough = (F.col("days") >= 30) & (F.col("companies") >= 5)
-    return counts.join(F.broadcast(out), "min_n").select("min_n", "days", "companies", F.when(enough, F.col("rho")).alias("rho"))
+    return counts.join(rho, "min_n", "left").select("min_n", "days", "companies", F.when(enough, F.col("rho")).alias("rho"))
 
 
 def analyze_panel(panel: DataFrame, key: str = "ticker") -> DataFrame:
     """All blocks of the panel study as rows (title, metric, rho, p, n)."""
-    panel = checkpoint(panel)
-    top = checkpoint(P.well_covered(panel, 50, key))
+    panel = checkpoint(panel.select(key, "news_n", "news_neg", "abs_ret", "fwd_vol"))
+    top = P.well_covered(panel, 50, key)
     blocks = [
         (panel, "news_neg", "abs_ret", "co-movement: sentiment"),
         (panel, "news_n", "abs_ret", "co-movement: volume"),
@@ -134,8 +156,8 @@ def analyze_panel(panel: DataFrame, key: str = "ticker") -> DataFrame:
         (top, "news_neg", "abs_ret", "well covered: sentiment"),
         (top, "news_n", "abs_ret", "well covered: volume"),
     ]
-    out = None
+    out = []
     for rows, x, y, title in blocks:
-        one = panel_block(rows.dropna(subset=["fwd_vol"]) if y == "fwd_vol" else rows, x, y, title, key)
-        out = one if out is None else out.unionByName(one)
-    return out
+        rows = rows.dropna(subset=["fwd_vol"]) if y == "fwd_vol" else rows
+        out.append(rows.select(F.lit(title).alias("title"), key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
+    return panel_blocks(reduce(DataFrame.unionByName, out), key)

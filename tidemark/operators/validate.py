@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr, stats
-from tidemark.operators import ranks
+from tidemark.operators import rankings, ranks
 from tidemark.operators.quantiles import quantiles
 from tidemark.sources.storage import checkpoint
 
@@ -55,16 +55,17 @@ def bucket_means(rows: DataFrame, features: list[str] | None = None) -> DataFram
     return wide.withColumn("trend", F.when(F.col("high") > F.col("low"), "UP").otherwise("DOWN"))
 
 
-def correlations(rows: DataFrame, block: str, features: list[str] | None = None) -> DataFrame:
-    """A row for each feature (block, feature, rho, p, n, h, h_p, low, medium, high, trend)."""
-    kruskal_p = stats.columns()["chi2_tail"]
-    means = bucket_means(rows, features)
-    out = []
-    for f in features or FEATURES:
-        rho = ranks.with_p(ranks.spearman(rows, f, "realized_vol"))
-        h = ranks.kruskal(rows, f, "vol_label").withColumn("h_p", kruskal_p("h", F.col("groups") - 1)).select("h", "h_p")
-        out.append(rho.join(F.broadcast(h)).select(F.lit(block).alias("block"), F.lit(f).alias("feature"), "rho", "p", "n", "h", "h_p"))
-    return reduce(DataFrame.unionByName, out).join(F.broadcast(means), "feature")
+def correlations(blocks: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """For each ``block`` and feature (rho, p, n, h, h_p, low, medium, high, trend), all from one ranking."""
+    names = features or FEATURES
+    each = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in names])
+    long = checkpoint(blocks.select("block", "vol_label", F.col("realized_vol").alias("y"), F.explode(each).alias("f")).select("block", "f.feature", "f.x", "y", "vol_label"))
+    groups = ["block", "feature"]
+    rho, sums = rankings.study(groups, long.select(*groups, "x", "y"), long.select(*groups, "x", F.col("vol_label").alias("label")))
+    h = rankings.kruskal_of(sums, groups).withColumn("h_p", stats.columns()["chi2_tail"]("h", F.col("labels") - 1)).select(*groups, "h", "h_p")
+    means = long.groupBy(*groups).agg(*[F.avg(F.when(F.col("vol_label") == b, F.col("x"))).alias(b) for b in ("low", "medium", "high")])
+    means = means.withColumn("trend", F.when(F.col("high") > F.col("low"), "UP").otherwise("DOWN"))
+    return means.join(ranks.with_p(rho), groups, "left").join(h, groups, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def analyze(rows: DataFrame) -> DataFrame:
@@ -72,20 +73,17 @@ def analyze(rows: DataFrame) -> DataFrame:
 
     A sector's row has its name as ``feature``, and the means of ``mean_negative`` and volatility.
     """
-    rows = checkpoint(rows)
-    average = company_averages(rows)
-    last = ranks.with_p(ranks.spearman(average, "mean_negative", "realized_vol"))
-    blocks = [
-        correlations(rows, "all"),
-        correlations(confident(rows), "confident"),
-        correlations(rows.where(~expr.is_financial(F.col("sector"))), "ex_financials"),
-    ]
+    rows = checkpoint(rows.select("ticker", "sector", "n_sentences", "vol_label", F.col("realized_vol").cast("double").alias("realized_vol"), *FEATURES))
+    average = company_averages(rows).select(F.lit("company_average").alias("block"), "mean_negative", "realized_vol")
+    held = [rows, confident(rows), rows.where(~expr.is_financial(F.col("sector")))]
+    columns = ["vol_label", "realized_vol", *FEATURES]
+    blocks = [b.select(F.lit(name).alias("block"), *columns) for b, name in zip(held, ("all", "confident", "ex_financials"))]
+    # company averages are one more block with one feature
+    found = correlations(reduce(DataFrame.unionByName, [*blocks, average.select("block", F.lit(None).cast("string").alias("vol_label"), "realized_vol", "mean_negative", *[F.lit(None).cast("double").alias(f) for f in FEATURES if f != "mean_negative"])]))
+    last = F.col("block") == "company_average"
+    found = found.where(~last | (F.col("feature") == "mean_negative")).withColumn("trend", F.when(~last, F.col("trend")))
     sector = sector_view(rows).select(F.lit("sector").alias("block"), F.col("sector").alias("feature"), "n", "mean_neg", "mean_vol")
-    out = reduce(DataFrame.unionByName, blocks)
-    none = [F.lit(None).cast("double").alias(c) for c in ("h", "h_p", "low", "medium", "high")]
-    return out.unionByName(
-        last.select(F.lit("company_average").alias("block"), F.lit("mean_negative").alias("feature"), "rho", "p", "n", *none, F.lit(None).cast("string").alias("trend"))
-    ).unionByName(sector, allowMissingColumns=True)
+    return found.select("block", "feature", "rho", "p", "n", "h", "h_p", "low", "medium", "high", "trend").unionByName(sector, allowMissingColumns=True)
 
 
 def build_changes(rows: DataFrame) -> DataFrame:
@@ -112,23 +110,29 @@ def rose_fell(changes: DataFrame) -> DataFrame:
     """For each direction that occurs, its number and the medians of volatility and of its change."""
     direction = F.when(F.col("d_mean_negative") > 0, "rose").otherwise("fell").alias("direction")
     changes = checkpoint(changes.select(direction, "realized_vol", "d_realized_vol"))
-    out = []
-    for name in ("fell", "rose"):
-        rows = changes.where(F.col("direction") == name)
-        vol, d_vol = (quantiles(rows, c, [0.5]).select(F.col("q")[0].alias(m)) for c, m in (("realized_vol", "median_vol"), ("d_realized_vol", "median_d_vol")))
-        out.append(rows.groupBy("direction").agg(F.count("*").alias("n")).join(F.broadcast(vol)).join(F.broadcast(d_vol)))
-    return reduce(DataFrame.unionByName, out)
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in ("realized_vol", "d_realized_vol")])
+    long = changes.select("direction", F.explode(each).alias("v")).select("direction", "v.column", "v.value")
+    medians = rankings.quantiles_by(long, ["direction", "column"], [0.5]).groupBy("direction").agg(
+        *[F.max(F.when(F.col("column") == c, F.col("q")[0])).alias(m) for c, m in (("realized_vol", "median_vol"), ("d_realized_vol", "median_d_vol"))]
+    )
+    return changes.groupBy("direction").agg(F.count("*").alias("n")).join(medians, "direction", "left")
 
 
 def analyze_change(changes: DataFrame) -> DataFrame:
     """Rank correlations of changes with level and change of volatility, and Mann-Whitney tests: (test, x, y, statistic, p, n)."""
-    out, changes = [], checkpoint(changes)
-    for f in CHANGES:
-        for y in ("realized_vol", "d_realized_vol"):
-            rho = ranks.with_p(ranks.spearman(changes, f, y))
-            out.append(rho.select(F.lit("spearman").alias("test"), F.lit(f).alias("x"), F.lit(y).alias("y"), F.col("rho").alias("statistic"), "p", "n"))
+    ys = ("realized_vol", "d_realized_vol")
+    changes = checkpoint(changes.select(*CHANGES, *ys))
+    cell = lambda x, y: F.struct(F.lit(x).alias("name"), F.lit(y).alias("against"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    pairs = changes.select(F.explode(F.array(*[cell(f, y) for f in CHANGES for y in ys])).alias("c")).select("c.*")
+    direction = F.when(F.col("d_mean_negative") > 0, "rose").otherwise("fell").alias("label")
+    splits = changes.select(direction, F.explode(F.array(*[F.struct(F.lit("rose").alias("name"), F.lit(y).alias("against"), F.col(y).cast("double").alias("x")) for y in ys])).alias("c"))
+    groups = ["name", "against"]
+    rho, sums = rankings.study(groups, pairs, splits.select("c.*", "label"))
+    of_pairs = ranks.with_p(rho).select(F.lit("spearman").alias("test"), F.col("name").alias("x"), F.col("against").alias("y"), F.col("rho").alias("statistic"), "p", "n")
     p = stats.columns()["mann_whitney_p"]
-    for y in ("realized_vol", "d_realized_vol"):
-        u = ranks.mann_whitney(changes, y, F.col("d_mean_negative") > 0)
-        out.append(u.select(F.lit("mann_whitney").alias("test"), F.lit("rose").alias("x"), F.lit(y).alias("y"), F.col("u").alias("statistic"), p("u", "n1", "n2", "ties").alias("p"), (F.col("n1") + F.col("n2")).alias("n")))
-    return reduce(DataFrame.unionByName, out)
+    u = rankings.mann_whitney_of(sums, groups, "rose")
+    of_splits = u.select(
+        F.lit("mann_whitney").alias("test"), F.col("name").alias("x"), F.col("against").alias("y"), F.col("u").alias("statistic"),
+        p("u", "n1", "n2", "ties").alias("p"), (F.col("n1") + F.col("n2")).alias("n"),
+    )
+    return of_pairs.unionByName(of_splits)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import expr, stats
 from tidemark.functions import text as X
-from tidemark.operators import anomaly, backtest, evidence, explain, ingest, labels, limits, modelops, panel, pit, ranks, regime, validate
+from tidemark.operators import anomaly, asof, backtest, evidence, explain, ingest, labels, limits, modelops, panel, pit, ranks, regime, validate
 from tidemark.plans import surrogate as S
 from tidemark.plans.catalog_streams import admitted_sql, shown
 from tidemark.sources import readers, writers
@@ -101,6 +101,32 @@ def a01(spark, sf):
     return panel.calendar_features(S.news(spark, sf))
 
 
+@query(
+    "j03_asof_trades_of_events",
+    """WITH e AS (SELECT event_id, user_id % 7 AS k, ts FROM events), t AS (SELECT user_id % 7 AS k, ts, event_id AS next_id FROM events WHERE event_type = 'purchase')
+       SELECT e.event_id, t.next_id FROM e ASOF LEFT JOIN (SELECT k, ts, min(next_id) AS next_id FROM t GROUP BY k, ts) t ON e.k = t.k AND e.ts <= t.ts""",
+)
+def j03_events(spark, sf):
+    """The next purchase of a group of users after each event: few keys with very many rows."""
+    rows = S.table(spark, sf, "events").select("event_id", (F.col("user_id") % 7).alias("k"), "ts", "event_type")
+    bought = rows.where("event_type = 'purchase'").select("k", F.col("ts").alias("at"), F.col("event_id").alias("next_id"))
+    return asof.asof(rows.select("event_id", "k", "ts"), bought, "k", "ts", "at", ["next_id"], how="left", days=1, parts=4).select("event_id", "next_id")
+
+
+@query(
+    "j04_asof_last_bar",
+    S.with_(S.LONG)
+    + """SELECT f.o_orderkey AS id, b.date, b.close FROM (SELECT o_orderkey, c_mktsegment AS ticker, CAST(o_orderdate AS DATE) - 400 AS at FROM orders JOIN customer ON c_custkey = o_custkey) f
+         ASOF LEFT JOIN bars b ON f.ticker = b.ticker AND f.at >= b.date""",
+)
+def j04_last(spark, sf):
+    """The last close known 400 days before each order."""
+    names = S.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("ticker"))
+    orders = S.table(spark, sf, "orders").join(names, "o_custkey")
+    cutoffs = orders.select(F.col("o_orderkey").alias("id"), "ticker", F.date_sub(F.to_date("o_orderdate"), 400).alias("at"))
+    return pit.PointInTime(S.long_prices(spark, sf)).last_before(cutoffs, "at", ["date", "close"]).select("id", "date", "close")
+
+
 @query("j03_asof_forward_roll", S.with_(S.NEWS, S.PRICES, S.ROLLED) + "SELECT ticker, day, count(*) AS articles FROM rolled GROUP BY ALL")
 def j03(spark, sf):
     days = panel.news_days(S.news(spark, sf), "UTC")
@@ -204,9 +230,63 @@ def a21(spark, sf):
     return ranks.coverage_sweep(full_panel(spark, sf)).withColumn("rho", F.round("rho", 4))
 
 
-@query("c07_panel_study")
+#: Steps of Simpson's rule for p-values in SQL.
+_STEPS = 4000
+
+
+def _simpson(upto: str, density: str) -> str:
+    """The integral from 0 to ``upto`` of a density of u."""
+    weights = f"(CASE WHEN k = 0 OR k = {_STEPS} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)"
+    return f"({upto}) / {3 * _STEPS}.0 * list_sum([{weights} * {density.replace('u', f'(({upto}) * k / {_STEPS}.0)')} FOR k IN range({_STEPS + 1})])"
+
+
+def t_sql(rho: str, n: str) -> str:
+    """The two-sided p of a rank correlation by Student's t, integrated."""
+    t = f"(abs({rho}) * sqrt(({n} - 2) / (1 - {rho} * {rho})))"
+    area = _simpson(t, f"pow(1 + u * u / ({n} - 2), -({n} - 1) / 2.0)")
+    scale = f"exp(lgamma(({n} - 1) / 2.0) - lgamma(({n} - 2) / 2.0)) / sqrt(pi() * ({n} - 2))"
+    return f"CASE WHEN {rho} IS NULL OR {n} < 3 THEN NULL WHEN abs({rho}) >= 1 THEN 0.0 ELSE greatest(0.0, 1 - 2 * {scale} * {area}) END"
+
+
+def normal_sql(z: str) -> str:
+    """The two-sided p of a normal deviate, integrated."""
+    return f"CASE WHEN ({z}) <= 0 THEN 1.0 ELSE greatest(0.0, 1 - 2 / sqrt(2 * pi()) * {_simpson(z, 'exp(-u * u / 2)')}) END"
+
+
+_BLOCKS = [
+    ("co-movement: sentiment", "news_neg", "abs_ret", "TRUE"),
+    ("co-movement: volume", "news_n", "abs_ret", "TRUE"),
+    ("lead: sentiment", "news_neg", "fwd_vol", "fwd_vol IS NOT NULL"),
+    ("lead: volume", "news_n", "fwd_vol", "fwd_vol IS NOT NULL"),
+    ("well covered: sentiment", "news_neg", "abs_ret", "ticker IN (SELECT ticker FROM best)"),
+    ("well covered: volume", "news_n", "abs_ret", "ticker IN (SELECT ticker FROM best)"),
+]
+
+
+@query(
+    "c07_panel_study",
+    S.with_(
+        *S.BASE[:-1],
+        S.PANEL,
+        "best AS (SELECT ticker, sum(news_n) AS a FROM panel GROUP BY ticker ORDER BY a DESC, ticker LIMIT 50)",
+        "panel9 AS (SELECT ticker, news_n, round(news_neg, 9) AS news_neg, round(abs_ret, 9) AS abs_ret, round(fwd_vol, 9) AS fwd_vol FROM panel)",
+        "blocks AS (" + " UNION ALL ".join(f"SELECT '{t}' AS title, ticker, {x}::DOUBLE AS x, {y}::DOUBLE AS y FROM panel9 WHERE {w}" for t, x, y, w in _BLOCKS) + ")",
+        f"zs AS (SELECT title, round({S.z('x', 'PARTITION BY title, ticker')}, 9) AS x, round({S.z('y', 'PARTITION BY title, ticker')}, 9) AS y FROM blocks)",
+        """pairs AS (SELECT title, 'pooled' AS metric, '' AS ticker, x, y FROM blocks UNION ALL SELECT title, 'within', '', x, y FROM zs
+                     UNION ALL SELECT title, 'each', ticker, x, y FROM blocks)""",
+        f"r AS (SELECT title, metric, ticker, {rank_sql('x', 'title, metric, ticker')} AS rx, {rank_sql('y', 'title, metric, ticker')} AS ry FROM pairs WHERE x IS NOT NULL AND y IS NOT NULL)",
+        """rho AS (SELECT title, metric, ticker, CASE WHEN count(*) >= 5 AND stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS rho, count(*) AS n
+                   FROM r GROUP BY ALL)""",
+        """each AS (SELECT title, median(rho) AS m, avg(CASE WHEN rho > 1e-12 THEN 1.0 ELSE 0.0 END) AS s, count(*) AS n
+                    FROM rho WHERE metric = 'each' AND n >= 8 AND rho IS NOT NULL GROUP BY title)""",
+        f"""found AS (SELECT title, metric, rho, {t_sql('rho', 'n')} AS p, n FROM rho WHERE metric <> 'each'
+                      UNION ALL SELECT title, 'median', m, NULL, n FROM each UNION ALL SELECT title, 'share_positive', s, NULL, n FROM each)""",
+    )
+    + f"SELECT title, metric, {r6_sql('rho', 'p')}, n FROM found",
+)
 def c07(spark, sf):
-    return ranks.analyze_panel(full_panel(spark, sf))
+    rows = full_panel(spark, sf).withColumn("fwd_vol", F.round("fwd_vol", 9))
+    return ranks.analyze_panel(rows).select("title", "metric", *r6("rho", "p"), "n")
 
 
 # ---- labels and validation -------------------------------------------------
@@ -348,15 +428,71 @@ def f07(spark, sf):
     return validate.confident(study(spark, sf)).select("filing_id")
 
 
-@query("c05_signal_validation")
+_C05 = {"mean_negative": "mean_negative", "max_negative": "max_negative", "risk_density": "risk_density", "mean_neutral": "risk_density", "mean_positive": "1 - mean_negative"}
+
+
+@query(
+    "c05_signal_validation",
+    S.with_(
+        *_LABELLED,
+        "wide AS (SELECT 'all' AS block, * FROM study UNION ALL SELECT 'confident', * FROM study WHERE n_sentences >= 50 UNION ALL SELECT 'ex_financials', * FROM study WHERE NOT contains(lower(ticker), 'financ'))",
+        "long AS ("
+        + " UNION ALL ".join(f"SELECT block, '{f}' AS feature, ({c})::DOUBLE AS x, realized_vol AS y, vol_label FROM wide" for f, c in _C05.items())
+        + """ UNION ALL SELECT 'company_average', 'mean_negative', avg(mean_negative), avg(realized_vol), NULL FROM study GROUP BY ticker)""",
+        f"r AS (SELECT *, {rank_sql('x', 'block, feature')} AS rx, {rank_sql('y', 'block, feature')} AS ry, count(*) OVER (PARTITION BY block, feature, x) AS t FROM long)",
+        """rho AS (SELECT block, feature, count(*) AS n, CASE WHEN count(*) >= 5 AND stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS rho,
+                          avg(x) FILTER (WHERE vol_label = 'low') AS low, avg(x) FILTER (WHERE vol_label = 'medium') AS medium, avg(x) FILTER (WHERE vol_label = 'high') AS high
+                   FROM r GROUP BY ALL)""",
+        "sums AS (SELECT block, feature, vol_label, sum(rx) AS s, count(*) AS k, sum(t * t - 1) AS t FROM r WHERE vol_label IS NOT NULL GROUP BY ALL)",
+        "one AS (SELECT block, feature, sum(s * s / k) AS q, sum(k)::DOUBLE AS m, sum(t)::DOUBLE AS t, count(*) AS g FROM sums GROUP BY ALL)",
+        "h AS (SELECT block, feature, g, (12 * q / (m * (m + 1)) - 3 * (m + 1)) / (1 - t / (m * m * m - m)) AS h FROM one WHERE g >= 2)",
+        f"""found AS (
+            SELECT rho.block, rho.feature, rho, {t_sql('rho', 'n')} AS p, n, h, CASE WHEN g = 3 THEN exp(-h / 2) WHEN g = 2 THEN {normal_sql('sqrt(h)')} END AS h_p, low, medium, high,
+                   CASE WHEN rho.block <> 'company_average' THEN CASE WHEN high > low THEN 'UP' ELSE 'DOWN' END END AS trend, NULL::DOUBLE AS mean_neg, NULL::DOUBLE AS mean_vol
+            FROM rho LEFT JOIN h ON h.block = rho.block AND h.feature = rho.feature
+            UNION ALL SELECT 'sector', ticker, NULL, NULL, count(*), NULL, NULL, NULL, NULL, NULL, NULL, avg(mean_negative), avg(realized_vol) FROM study GROUP BY ticker)""",
+    )
+    + f"SELECT block, feature, n, trend, {r6_sql('rho', 'p', 'h', 'h_p', 'low', 'medium', 'high', 'mean_neg', 'mean_vol')} FROM found",
+)
 def c05(spark, sf):
     rows = study(spark, sf).withColumns({"sector": F.col("ticker"), "mean_neutral": F.col("risk_density"), "mean_positive": 1 - F.col("mean_negative")})
-    return validate.analyze(rows)
+    numbers = r6("rho", "p", "h", "h_p", "low", "medium", "high", "mean_neg", "mean_vol")
+    return validate.analyze(rows).select("block", "feature", "n", "trend", *numbers)
+
+
+_MOVED = """moved AS (
+    SELECT round(d_mean_negative, 12) AS d_mean_negative, round(d_risk_density, 12) AS d_risk_density, d_n_sentences,
+           realized_vol, round(d_realized_vol, 9) AS d_realized_vol
+    FROM (
+        SELECT realized_vol, mean_negative - lag(mean_negative) OVER w AS d_mean_negative, risk_density - lag(risk_density) OVER w AS d_risk_density,
+               n_sentences - lag(n_sentences) OVER w AS d_n_sentences, realized_vol - lag(realized_vol) OVER w AS d_realized_vol
+        FROM study WINDOW w AS (PARTITION BY ticker ORDER BY filed_date, filing_id)) WHERE d_mean_negative IS NOT NULL AND d_realized_vol IS NOT NULL)"""
+_YS = ("realized_vol", "d_realized_vol")
 
 
-@query("c06_change_validation")
+@query(
+    "c06_change_validation",
+    S.with_(
+        *_LABELLED,
+        _MOVED,
+        "pairs AS (" + " UNION ALL ".join(f"SELECT '{f}' AS x, '{y}' AS y, {f}::DOUBLE AS a, {y} AS b FROM moved" for f in validate.CHANGES for y in _YS) + ")",
+        f"r AS (SELECT x, y, {rank_sql('a', 'x, y')} AS ra, {rank_sql('b', 'x, y')} AS rb FROM pairs)",
+        "rho AS (SELECT x, y, corr(ra, rb) AS rho, count(*) AS n FROM r GROUP BY ALL)",
+        "sides AS (" + " UNION ALL ".join(f"SELECT '{y}' AS y, d_mean_negative > 0 AS rose, {y} AS v FROM moved" for y in _YS) + ")",
+        f"ranked AS (SELECT y, rose, {rank_sql('v', 'y')} AS r, count(*) OVER (PARTITION BY y, v) AS t FROM sides)",
+        """u AS (SELECT y, sum(r) FILTER (WHERE rose) - n1 * (n1 + 1) / 2.0 AS u, n1, n2, sum(t * t - 1)::DOUBLE AS ties
+                 FROM ranked JOIN (SELECT y, count(*) FILTER (WHERE rose) AS n1, count(*) FILTER (WHERE NOT rose) AS n2 FROM ranked GROUP BY y) USING (y) GROUP BY y, n1, n2)""",
+        """z AS (SELECT *, (greatest(u, n1 * n2 - u) - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1.0)))) AS z FROM u)""",
+        f"""found AS (SELECT 'spearman' AS test, x, y, rho AS statistic, {t_sql('rho', 'n')} AS p, n FROM rho
+                      UNION ALL SELECT 'mann_whitney', 'rose', y, u, {normal_sql('z')}, n1 + n2 FROM z)""",
+    )
+    + f"SELECT test, x, y, {r6_sql('statistic', 'p')}, n FROM found",
+)
 def c06(spark, sf):
-    return validate.analyze_change(changes(spark, sf))
+    """Differences are rounded, so that equal ones tie."""
+    rounded = {"d_mean_negative": 12, "d_risk_density": 12, "d_realized_vol": 9}
+    rows = changes(spark, sf).withColumns({c: F.round(c, k) for c, k in rounded.items()})
+    return validate.analyze_change(rows).select("test", "x", "y", *r6("statistic", "p"), "n")
 
 
 # ---- alerts and evidence ---------------------------------------------------
