@@ -90,6 +90,20 @@ def test_cover_of_nothing(spark):
     assert cover_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_lookup_of_hot_keys(spark):
+    """Rows of hot keys get their facts from a broadcast, others from a join; nulls get none."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.common import lookup
+
+    rows = spark.createDataFrame([(k % 3 if k < 90 else k if k < 120 else None, k) for k in range(130)], "a long, v long").repartition(4)
+    facts = spark.createDataFrame([(0, "x", 30), (1, "y", 30), (95, "z", 1), (500, "w", 99)], "a long, f string, t long")
+    want = {(k, "xy"[k % 3]) for k in range(90) if k % 3 < 2} | {(95, "z")}
+    for most in (0, 100):
+        got = lookup(rows, facts, ["a"], F.col("t") > 10, most).collect()
+        assert {(r["v"], r["f"]) for r in got} == want and len(got) == len(want)
+
+
 def test_difference_cover():
     assert cover_dedup.difference_cover(7) == (0, 1, 3)
     for period in range(1, 14):

@@ -160,6 +160,23 @@ def split_join(rows: DataFrame, facts: DataFrame, keys: list[str], hot: Column,
     return rows.join(F.broadcast(few), keys).unionByName(apart)
 
 
+def lookup(rows: DataFrame, facts: DataFrame, keys: list[str], hot: Column, most: int = SMALL) -> DataFrame:
+    """As ``split_join``, for rows that are dear to make: they are made once.
+
+    Rows of hot keys have their facts from a broadcast and are dealt out in the
+    join that the others need. Nulls in keys match nothing.
+    """
+    if facts.count() <= most:
+        return rows.join(F.broadcast(facts), keys)
+    others = [c for c in facts.columns if c not in keys]
+    few = facts.where(hot).select(*keys, F.struct(F.lit(True).alias("is"), *others).alias("_hot"))
+    known = facts.where(~hot).select(*keys, F.lit(0).cast("long").alias("_salt"), F.struct(F.lit(True).alias("is"), *others).alias("_fact"))
+    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(HOT)) + 1
+    met = rows.join(F.broadcast(few), keys, "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), spread).otherwise(0))
+    met = met.join(known, [*keys, "_salt"], "left").withColumn("_fact", F.coalesce("_hot", "_fact")).where("_fact is not null")
+    return met.select(*rows.columns, *[F.col(f"_fact.{c}").alias(c) for c in others])
+
+
 def shingle_hashes(raw: bytes, shingle: int, seed: int = 42) -> Iterator[np.ndarray]:
     """XXH64 values of all ``shingle`` words in a row (ASCII lower case, space-joined), block by block.
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import HOT, SMALL, scratch, small_batches, split_join
+from tidemark.llm.common import HOT, SMALL, lookup, scratch, small_batches
 from tidemark.llm.prefix_hash import Hashed, forget, segments, words
 
 LENGTH = 13
@@ -102,16 +102,16 @@ def _numbers(batches: Iterator[pa.RecordBatch], length: int, period: int) -> Ite
 
 
 def _places(batches: Iterator[pa.RecordBatch], length: int, period: int) -> Iterator[pa.RecordBatch]:
-    """``(a, id, th, at)``: all anchors with their texts and places."""
+    """``(a, id, text, at)``: all anchors with their texts and places."""
     for batch in batches:
         for owner, at, a in _anchors(batch.column(1).to_pylist(), length, period):
             index = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(a), batch.column(0).take(index), batch.column(2).take(index), pa.array(at)], names=["a", "id", "th", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), batch.column(0).take(index), batch.column(2).take(index), pa.array(at)], names=["a", "id", "text", "at"])
     forget()
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int, period: int) -> Iterator[pa.RecordBatch]:
-    """``(h1, h2, id, th, start)`` for the windows about the places ``at``; ``(raw, at, id, th)`` come in."""
+    """``(h1, h2, id, text, start)`` for the windows about the places ``at``; ``(raw, at, id, text)`` come in."""
     import xxhash
 
     digest = xxhash.xxh3_128_digest
@@ -130,7 +130,7 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int, period: int) -> Ite
             same = pa.array(np.full(len(starts), k))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), batch.column(2).take(same), batch.column(3).take(same), pa.array(starts.astype(np.int32))],
-                names=["h1", "h2", "id", "th", "start"],
+                names=["h1", "h2", "id", "text", "start"],
             )
 
 
@@ -186,6 +186,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("raw"))
     rows = rows.select("doc_id", "raw", F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.unhex(F.md5("raw")).alias("th"))
+    # an id and 60 bits of its text stand for a row; copies are known by 128 bits
+    text = F.conv(F.substring(F.md5("raw"), 1, 15), 16, 10).cast("long").alias("text")
     with scratch(spark) as keep_all:
         # leaving copies out spares work and changes nothing, so a table of any size will do: the hot ones at most
         copies = keep_all(rows.groupBy("th").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1"))
@@ -193,28 +195,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
             total = rows.count()
             copies = copies.where(F.col("n") > total / HOT)
         copies = F.broadcast(copies.select("th", "low"))
-        single = rows.join(copies, "th", "left").where("low is null or id = low").select("id", "raw", "th")
+        single = rows.join(copies, "th", "left").where("low is null or id = low").select("id", "raw", text)
         with scratch(spark):
             with scratch(spark) as keep:
                 numbers = single.select("id", "raw").mapInArrow(lambda b: _numbers(b, length, period), "a long, id long")
                 sums = numbers.groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("t"))
                 shared = keep(sums.where("lo < hi").select("a", "t"))
             with scratch(spark) as keep:
-                places = single.mapInArrow(lambda b: _places(b, length, period), "a long, id long, th binary, at int")
-                met = split_join(places, shared, ["a"], _hot(shared))
-                at = keep(met.groupBy("th", "id").agg(F.collect_set("at").alias("at")))
+                places = single.mapInArrow(lambda b: _places(b, length, period), "a long, id long, text long, at int")
+                met = lookup(places, shared, ["a"], _hot(shared))
+                at = keep(met.groupBy("text", "id").agg(F.collect_set("at").alias("at")))
             with scratch(spark) as keep:
-                about = keep(single.join(at, ["th", "id"]).select("raw", "at", "id", "th"))
+                about = keep(single.join(at, ["text", "id"]).select("raw", "at", "id", "text"))
             with scratch(spark) as keep:
-                windows = about.mapInArrow(lambda b: _windows(b, length, period), "h1 long, h2 long, id long, th binary, start int")
+                windows = about.mapInArrow(lambda b: _windows(b, length, period), "h1 long, h2 long, id long, text long, start int")
                 sums = windows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("t"))
                 earlier = keep(sums.where("lo < hi").select("h1", "h2", "lo", "t"))
-            gone = split_join(windows, earlier, ["h1", "h2"], _hot(earlier)).where("lo < id")
-            spans = keep_all(gone.groupBy("th", "id").agg(F.collect_set("start").alias("starts")))
+            gone = lookup(windows, earlier, ["h1", "h2"], _hot(earlier)).where("lo < id")
+            spans = keep_all(gone.groupBy("text", "id").agg(F.collect_set("start").alias("starts")))
     known = rows.join(copies, "th", "left")
     later = F.coalesce(F.col("id") > F.col("low"), F.lit(False))
     # what is known to be a copy needs no look at the spans
-    first = known.where(~later).join(spans, ["th", "id"], "left")
+    first = known.where(~later).withColumn("text", text).join(spans, ["text", "id"], "left")
     rest = known.where(later).withColumn("starts", F.lit(None).cast("array<int>"))
     columns = ["doc_id", "raw", "low", "starts", "id"]
     cut = first.select(*columns).unionByName(rest.select(*columns))
