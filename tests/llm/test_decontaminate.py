@@ -66,8 +66,26 @@ def test_matches_are_those_of_brute_force(spark, monkeypatch, seed, shingles, br
     assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
     rows = D.judge(df, it).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(i for i, _ in docs)
-    hit = {d for d, _ in want}
-    assert all(r["contaminated"] == (r["doc_id"] in hit) for r in rows)
+    # row for row, also of rows that share an id or have none
+    own = {k for k, _ in brute([(k, t) for k, (_, t) in enumerate(docs)], items)}
+    assert Counter((r["doc_id"], r["contaminated"]) for r in rows) == Counter((i, k in own) for k, (i, _) in enumerate(docs))
+
+
+def test_clean_rows_beside_contaminated_ones(spark):
+    """Two rows without an id, and two that share one: only those that hold an item are named."""
+    item = " ".join(f"w{k}" for k in range(30))
+    rows = [(None, item), (None, "nothing of the kind here at all"), (1, f"before {item} after"), (1, "clean as well"), (2, None)]
+    got = D.judge(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id int, text string")).collect()
+    assert Counter((r["doc_id"], r["contaminated"], r["n_items"]) for r in got) == Counter([(None, True, 1), (None, False, 0), (1, True, 1), (1, False, 0), (2, False, 0)])
+
+
+def test_items_that_resemble_each_other(spark):
+    """A window that many items reach is held as one row against all of them."""
+    words = [f"w{k}" for k in range(30)]
+    items = [(k, " ".join(words[:k] + ["other", "words"] + words[k + 2 :])) for k in range(20)]
+    docs = [(1, " ".join(words))]
+    got = {(r["doc_id"], r["item_id"]) for r in D.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")).collect()}
+    assert got == set(brute(docs, items))
 
 
 def test_items_with_parts_in_another_order_are_found(spark):

@@ -41,6 +41,8 @@ WIDTH = 64 // BLOCKS
 #: Shingles of the items of a pass, and items whose index is broadcast.
 SHINGLES = 1 << 19
 ITEMS = 2000
+#: Parts that the rows of a text are dealt into where they meet what is known of it.
+PARTS = 16
 
 
 def words(text: Column) -> Column:
@@ -128,6 +130,8 @@ def _pass(texts: DataFrame, items: DataFrame, ks: list[int], few: bool) -> DataF
     for k in ks:
         one = _windows(texts, items, k)
         windows = one if windows is None else windows.unionByName(one)
+    # a window that several items reach is one row
+    windows = windows.dropDuplicates(["doc_id", "m", "win"])
     # kept as a table: conditions on fingerprints would else be pushed, with all that makes them, into the scan's join
     windows = checkpoint(windows.withColumn("fp", simhash(F.col("win"))))
     flips = [sum(1 << b for b in c) for e in range(RADIUS // BLOCKS + 1) for c in combinations(range(WIDTH), e)]
@@ -165,8 +169,8 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     Words are lower-case runs of letters and digits; shingles have five, and an
     item of fewer words is one shingle. Windows lie inside the text; a text
     shorter than an item is one window. Null texts and texts or items without
-    words match nothing. Ids may repeat or be null: their texts are taken
-    together. Other columns are ignored; empty tables give no rows.
+    words match nothing. A number that several texts share stands for all of
+    them; ``judge`` takes row for row. Other columns are ignored; empty tables give no rows.
     """
     known = checkpoint(prepared(items, item_col, item_text_col))
     sizes = known.groupBy("k").agg(F.count("*").alias("items"), F.sum(F.size("sh")).alias("shingles")).collect()  # five rows at most
@@ -182,14 +186,21 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     return out if passes == 1 else out.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
 
 
-def judge(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **columns: str) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, ``contaminated``, ``n_items``, ``item_ids`` (sorted) and ``similarity`` (best, else null)."""
-    found = matches(docs, items, id_col, **columns).groupBy("doc_id").agg(
+def judge(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, ``contaminated``, ``n_items``, ``item_ids`` (sorted) and ``similarity`` (best, else null).
+
+    Each row is judged by its own text, whatever its id: rows may share an id or
+    have none. 128 bits of a text stand for it, so equal texts fare alike.
+    """
+    named = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("_of"), F.col(text_col).alias("text"))
+    found = matches(named.select("_of", "text"), items, id_col="_of", **columns).groupBy("doc_id").agg(
         F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.max("similarity").alias("similarity")
     )
-    hit = found.select(F.col("doc_id").alias("_hit"), "item_ids", "similarity")
-    ids = docs.select(F.col(id_col).alias("doc_id"))
-    joined = ids.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left")
+    # rows of a text that very many have are dealt into parts, which each meet what is known of it
+    hit = checkpoint(found.select(F.col("doc_id").alias("_of"), "item_ids", "similarity"))
+    hit = hit.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    rows = named.select("doc_id", "_of", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("_part"))
+    joined = rows.join(hit, ["_of", "_part"], "left")
     none = F.array().cast(dict(hit.dtypes)["item_ids"])
     return joined.select(
         "doc_id",
