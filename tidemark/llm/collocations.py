@@ -32,7 +32,9 @@ from tidemark.llm.common import HOT, LOWER, scratch, shared_dir, small, small_ba
 from tidemark.llm.prefix_hash import Hashed, forget, segments, words
 
 #: Where texts are split into pieces, and what is between the words of a piece.
-SPLIT, BLANKS = rb"[.,;:!?\x0A-\x0D]", rb"[\x20\x09]+"
+SPLIT, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
+#: In lower case, with one byte for all ends of pieces, and one for blanks.
+PLAIN = bytes(10 if c in SPLIT else 32 if c in BLANKS else c for c in LOWER)
 LONGEST = 4
 #: Rows in an Arrow batch of pieces or phrases, and bytes of pieces taken together.
 ROWS = 8192
@@ -64,26 +66,23 @@ def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(lang, piece, n, words)`` from ``(lang, raw)``: words of a piece are joined by single spaces."""
-    import re
-
-    split, blanks = re.compile(SPLIT).split, re.compile(BLANKS).sub
     for batch in batches:
-        found: Counter[tuple[str, bytes]] = Counter()
+        found: dict[str, Counter[bytes]] = {}
         for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for piece in split(raw.translate(LOWER)):
-                piece = blanks(b" ", piece).strip(b" ")
-                if piece:
-                    found[lang, piece] += 1
-        langs, texts = zip(*found) if found else ((), ())
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(langs, pa.string()),
-                pa.array(texts, pa.binary()).cast(pa.string()),
-                pa.array(list(found.values()), pa.int64()),
-                pa.array([x.count(b" ") + 1 for x in texts], pa.int64()),
-            ],
-            names=["lang", "piece", "n", "words"],
-        )
+            pieces = [b" ".join(p.split()) for p in raw.translate(PLAIN).split(b"\n")]
+            found.setdefault(lang, Counter()).update(pieces)
+        for lang, counts in found.items():
+            counts.pop(b"", None)
+            texts = list(counts)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([lang] * len(texts), pa.string()),
+                    pa.array(texts, pa.binary()).cast(pa.string()),
+                    pa.array(list(counts.values()), pa.int64()),
+                    pa.array([x.count(b" ") + 1 for x in texts], pa.int64()),
+                ],
+                names=["lang", "piece", "n", "words"],
+            )
 
 
 def _salts(langs: list[str]) -> np.ndarray:
@@ -169,29 +168,40 @@ def _grams(batches: Iterator[pa.RecordBatch], size: int, bits: _Bits | None, fol
     """``(lang, phrase, n)`` of the n-grams of this bucket of pieces ``(lang, piece, n)``."""
     store = _Store(folder)
     pieces: list[bytes] = []
-    langs: list[int] = []
-    n: list[int] = []
-    names: dict[str, int] = {}
+    owner: list[np.ndarray] = []
     weight = 0
+    names: dict[str, int] = {}
+    times: list[np.ndarray] = []
 
     def count() -> None:
-        store.add(_chunk(pieces, np.array(langs), list(names), np.array(n), size, bits))
+        nonlocal pieces, owner, times, weight
+        if pieces:
+            store.add(_chunk(pieces, np.concatenate(owner), list(names), np.concatenate(times), size, bits))
+        pieces, owner, times, weight = [], [], [], 0
 
     try:
         for batch in batches:
-            for lang, piece, times in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                for part in (piece,) if len(piece) <= CHUNK else segments(piece, size, CHUNK):
-                    pieces.append(part)
-                    langs.append(names.setdefault(lang, len(names)))
-                    n.append(times)
-                    weight += len(part) + 1
-                    if weight >= CHUNK:
-                        count()
-                        pieces, langs, n, names, weight = [], [], [], {}, 0
+            lang = pa.array(batch.column(0)).dictionary_encode()
+            code = np.array([names.setdefault(x, len(names)) for x in lang.dictionary.to_pylist()], np.int64)[lang.indices.to_numpy()]
+            found, n = batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            if max(map(len, found), default=0) > CHUNK:  # long ones come in parts
+                parts = [list(segments(x, size, CHUNK)) for x in found]
+                each = np.repeat(np.arange(len(found)), list(map(len, parts)))
+                found, code, n = [y for x in parts for y in x], code[each], n[each]
+            sizes = np.cumsum([len(x) + 1 for x in found])
+            at = 0
+            while at < len(found):
+                upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHUNK - weight)))
+                pieces += found[at:upto]
+                owner.append(code[at:upto])
+                times.append(n[at:upto])
+                weight += int(sizes[upto - 1] - (sizes[at - 1] if at else 0))
+                at = upto
+                if weight >= CHUNK or at < len(found):
+                    count()
             if store.rows >= FLUSH:
                 yield from store.take()
-        if pieces:
-            count()
+        count()
         yield from store.take()
     finally:
         store.close()
