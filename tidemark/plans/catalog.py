@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import expr, stats
+from tidemark.functions import expr, sentences, stats
 from tidemark.functions import text as X
 from tidemark.operators import anomaly, asof, backtest, evidence, explain, ingest, labels, limits, modelops, panel, pit, ranks, regime, validate
 from tidemark.plans import surrogate as S
@@ -809,6 +809,42 @@ def c19(spark, sf):
     return ingest.extract(S.table(spark, sf, "pages").select("page_id", "html"))
 
 
+def _bare_sql(token: str) -> str:
+    plain = f"""regexp_replace(regexp_replace(lower({token}), '^["''“‘(\\[]+', ''), '["''”’)\\],;:]+$', '')"""
+    return f"(CASE WHEN NOT regexp_matches({plain}, '^-?[.,]?\\d[\\d.,-]*$') THEN {plain} WHEN {plain}[-1] = '.' THEN '#number.' ELSE '#number' END)"
+
+
+_LOG = lambda k, n, p: f"(CASE WHEN {k} > 0 THEN {k} * ln({p}) ELSE 0 END + CASE WHEN {n} - {k} > 0 THEN ({n} - {k}) * ln(1 - {p}) ELSE 0 END)"
+
+
+@query(
+    "x07_abbreviation_scores",
+    f"""WITH t AS (SELECT unnest(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) AS t FROM documents),
+        b AS (SELECT {_bare_sql('t')} AS b FROM t),
+        w AS (SELECT CASE WHEN b[-1] = '.' AND NOT regexp_matches(b, '^[.]+$') THEN b[:-2] ELSE b END AS word, b[-1] = '.' AND NOT regexp_matches(b, '^[.]+$') AS p FROM b WHERE b <> ''),
+        c AS (SELECT word, count(*) FILTER (WHERE p) AS k, count(*) AS n FROM w GROUP BY word HAVING count(*) FILTER (WHERE p) > 0),
+        totals AS (SELECT count(*) AS tokens, count(*) FILTER (WHERE p) AS periods FROM w),
+        s AS (SELECT *, periods / tokens AS r, length(word) - length(replace(word, '.', '')) AS inside, length(replace(word, '.', '')) AS letters FROM c, totals WHERE regexp_matches(word, '\\pL'))
+        SELECT word, k AS with_period, n - k AS without_period,
+               round(-2 * ({_LOG('k', 'n', 'r')} - {_LOG('k', 'n', '0.99::DOUBLE')}) * exp(-letters) * (inside + 1) * pow(letters, -(n - k)::DOUBLE), 6) AS score
+        FROM s""".replace("\\\\", "\\"),
+)
+def x07_scores(spark, sf):
+    """What the corpus says of words that come with a period."""
+    pairs = sentences.pair_counts(S.table(spark, sf, "documents").select("text"), "text")
+    scored = sentences.abbreviation_scores(sentences.word_counts(pairs))
+    return scored.select("word", "with_period", "without_period", F.round("score", 6).alias("score"))
+
+
+@query("x07_unsupervised_sentences")
+def x07_unsupervised(spark, sf):
+    """Sentences of the pages' and documents' own abbreviations; tests hold the tables and the cuts against cases written by hand."""
+    docs = S.table(spark, sf, "documents").select("doc_id", "text")
+    model = sentences.fit(docs, "text")
+    rows = docs.select("doc_id", F.explode(sentences.split(F.col("text"), model, most=2_000_000_000)).alias("s"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.sum(F.length("s")).alias("chars"))
+
+
 @query(
     "x07_sentences",
     """WITH s AS (SELECT doc_id, unnest(string_split_regex(replace(regexp_replace(text, '([.!?])[ \\t\\r\\n\\f\\v]+', '\\1\u0001', 'g'), '\u0001', chr(1)), chr(1))) AS s FROM documents)
