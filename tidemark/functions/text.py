@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import expr
+from tidemark.functions import expr, wordpiece
 
 
 class _Text(HTMLParser):
@@ -84,42 +84,35 @@ def risk_section(text: str) -> Section:
 
 
 def first_json(text: str) -> str:
-    """The first balanced JSON object of an answer, without a code fence; else the answer itself."""
+    """X12 for one answer (see ``expr.first_json``)."""
     s = text.strip()
     if s.startswith("```"):
         s = re.sub(r"^json", "", s.strip("`"), flags=re.I).strip()
     at = s.find("{")
-    depth = 0
-    for m in re.finditer(r'"(?:[^"\\]|\\.)*"|[{}]', s[max(at, 0) :], re.S):
-        depth += {"{": 1, "}": -1}.get(m[0], 0)
-        if depth == 0 and m[0] == "}":
-            return s[at : at + m.end()]
-    return s if at < 0 else s[at:]
+    if at < 0:
+        return s
+    depth, quoted = 0, False
+    for m in re.finditer(r'\\.|["{}\\]', s[at:], re.S):
+        c = ("" if quoted else m[0][1]) if len(m[0]) == 2 else m[0]
+        quoted ^= c == '"'
+        if not quoted and c in ("{", "}"):
+            depth += 1 if c == "{" else -1
+            if depth == 0:
+                return s[at : at + m.end()]
+    return s[at:]
 
 
 def word_pieces(text: str, vocabulary: dict[str, int], most: int = 512) -> tuple[list[int], list[int], list[int]]:
-    """Greedy word pieces (ids, mask, types), cut to ``most`` with the closing mark kept."""
-    ids = [vocabulary["[CLS]"]]
-    for word in re.findall(r"\w+|[^\w\s]", text.lower()):
-        at, pieces = 0, []
-        while at < len(word):
-            for end in range(len(word), at, -1):
-                piece = ("##" if at else "") + word[at:end]
-                if piece in vocabulary:
-                    pieces.append(vocabulary[piece])
-                    at = end
-                    break
-            else:
-                pieces = [vocabulary["[UNK]"]]
-                break
-        ids += pieces
-    ids = [*ids[: most - 1], vocabulary["[SEP]"]]
+    """Word pieces (ids, mask, types), cut to ``most`` with the closing mark kept."""
+    ids = wordpiece.WordPieces(vocabulary).encode(text, most)
     return ids, [1] * len(ids), [0] * len(ids)
 
 
 # A small word list, for scores without a model file.
-NEGATIVE = "loss losses decline declined risk risks adverse lawsuit litigation impairment default weak fraud breach error recall fall fell".split()
-POSITIVE = "gain gains growth profit record strong improve improved beat success award purchase rise rose upgrade".split()
+NEGATIVE = [
+    "loss", "losses", "decline", "declined", "risk", "risks", "adverse", "lawsuit", "litigation", "impairment", "default", "weak", "fraud", "breach", "error", "recall", "fall", "fell",
+]
+POSITIVE = ["gain", "gains", "growth", "profit", "record", "strong", "improve", "improved", "beat", "success", "award", "purchase", "rise", "rose", "upgrade"]
 
 
 def lexicon_scores(texts: list[str]) -> list[tuple[float, float, float]]:
@@ -207,12 +200,7 @@ def html_text(html: str) -> Column:
 
 def json_object(text: str) -> Column:
     """X12 over a column."""
-
-    @F.pandas_udf("string")
-    def run(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda x: None if x is None else first_json(x))
-
-    return run(text)
+    return expr.first_json(F.col(text))
 
 
 def item_1a(html: str) -> Column:
@@ -249,9 +237,4 @@ def sigma_text(ticker: Column, day: Column, z: Column, score: Column) -> Column:
 
 def vocabulary_pieces(text: Column, vocabulary: dict[str, int], most: int = 512) -> Column:
     """X19 over a column: an array of ids."""
-
-    @F.pandas_udf("array<long>")
-    def encoded(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: word_pieces(x or "", vocabulary, most)[0])
-
-    return encoded(text)
+    return wordpiece.encoded(text, vocabulary, most)

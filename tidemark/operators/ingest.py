@@ -58,6 +58,23 @@ def ingest(tickers: DataFrame, ciks: DataFrame, filings: DataFrame, n: int = 3)
     return rows.withColumn("status", status).drop("_status")
 
 
+def ticker_summaries(tickers: DataFrame, ciks: DataFrame, filings: DataFrame, n: int = 3) -> DataFrame:
+    """A row for each ticker asked for: not_found, no_10k or ok, how many filings were stored, and their quality.
+
+    ``filings`` (cik, accession_number, filed_date, html) have a null html where
+    none could be fetched; these aren't stored and say ``fetch_failed``. Tickers
+    that are asked for twice are one row.
+    """
+    found = resolve(tickers.select(F.upper("ticker").alias("ticker")).distinct(), ciks)
+    newest = latest_filings(filings, None, n).withColumn("_gone", F.col("html").isNull())
+    done = extract(newest).withColumn("status", F.when(F.col("_gone"), "fetch_failed").otherwise(F.col("status")))
+    one = F.struct(F.col("accession_number").alias("accession"), F.col("filed_date").alias("filed"), "status", "length", "flags")
+    each = done.groupBy("cik").agg(F.count(F.when(~F.col("_gone"), 1)).alias("_stored"), F.array_sort(F.collect_list(one)).alias("quality"))
+    rows = found.join(each, "cik", "left")
+    status = F.when(F.col("status") == "not_found", F.col("status")).when(F.col("quality").isNull(), "no_10k").otherwise("ok")
+    return rows.select("ticker", status.alias("status"), F.coalesce("_stored", F.lit(0)).alias("filings_stored"), "quality")
+
+
 def quality_report(results: DataFrame) -> DataFrame:
     """Totals by status, how many have flags, and the share that can be used."""
     is_status = lambda s: F.count(F.when(F.col("status") == s, 1))
