@@ -1,5 +1,6 @@
 """Language, licences, URLs and quality: held-out accuracy, brute force and edge cases."""
 
+import math
 import random
 import re
 import zlib
@@ -200,10 +201,99 @@ def test_templates_of_bad_pages_are_blocked(spark):
     assert by == {("shop.org", "/ad/<n>.html", "block"), ("shop.org", "/wiki/page<n>", "allow"), ("many.org", "/<*>/a", "allow")}
 
 
-def test_merge_joins_what_is_alike():
-    assert set(url_filter.merge([("a", 100, 90), ("b", 50, 44), ("c", 0, 0)]).values()) == {"<*>"}
-    assert url_filter.merge([("a", 100, 90), ("b", 100, 5), ("c", 100, 6), ("d", 0, 0)]) == {"a": "a", "b": "{b|c}", "c": "{b|c}", "d": "d"}
-    assert url_filter.merge([("a", 0, 0), ("b", 0, 0)]) == {"a": "<*>", "b": "<*>"} and url_filter.merge([("a", 3, 1)]) == {"a": "a"}
+def stands_out(n, b, all_n, all_b, tested):
+    gain = lambda k, m: (k * math.log(k * all_n / (m * all_b)) if k else 0) + ((m - k) * math.log((m - k) * all_n / (m * (all_n - all_b))) if m - k else 0)
+    return n > 0 and 0 < all_b < all_n and gain(b, n) + gain(all_b - b, all_n - n) > math.log(tested * 2 / url_filter.CHANCE)
+
+
+def brute_names(branches):
+    """Names for ``{segment: (labelled, bad)}``, branch after branch."""
+    all_n, all_b = sum(n for n, _ in branches.values()), sum(b for _, b in branches.values())
+    tested = sum(n > 0 for n, _ in branches.values())
+    apart = [s for s, (n, b) in branches.items() if stands_out(n, b, all_n, all_b, tested)]
+    clusters = []
+    for s in sorted(apart, key=lambda s: (branches[s][1] / branches[s][0], branches[s], s)):
+        n, b = branches[s]
+        if clusters and url_filter._alike(clusters[-1][1], clusters[-1][2], n, b):
+            names, m, c = clusters[-1]
+            clusters[-1] = ([*names, s], m + n, c + b)
+        else:
+            clusters.append(([s], n, b))
+    out = {s: s if len(names) == 1 else f"{{{min(names)}|+{len(names) - 1}}}" for names, _, _ in clusters for s in names}
+    rest = [s for s in branches if s not in out]
+    return out | {s: s if len(rest) == 1 else "<*>" for s in rest}
+
+
+def brute_tree(rows, path=()):
+    """Templates of a host for ``{segments: (labelled, bad)}``, branch after branch and segment after segment."""
+    out = {segs: path for segs, rest in rows if not rest}
+    rows = [x for x in rows if x[1]]
+    if not rows:
+        return out
+    if not out and len({rest[0] for _, rest in rows}) == 1:  # all go on alike
+        return brute_tree([(segs, rest[1:]) for segs, rest in rows], (*path, rows[0][1][0]))
+    branches = {}
+    for segs, rest in rows:
+        n, b = branches.get(rest[0], (0, 0))
+        branches[rest[0]] = (n + COUNTS[segs][0], b + COUNTS[segs][1])
+    names = brute_names(branches)
+    for name in set(names.values()):
+        out |= brute_tree([(segs, rest[1:]) for segs, rest in rows if names[rest[0]] == name], (*path, name))
+    return out
+
+
+COUNTS = {}
+
+
+def test_one_rule_at_every_width(spark):
+    """A branch of ten labels, six bad, among others of three: told apart neither from 31 others nor from 32."""
+    for width in (2, 31, 32, 33, 40):
+        pages, labels = [], []
+        for k in range(width):
+            for j in range(10):
+                pages.append((10 * k + j, f"http://h.org/{chr(97 + k % 26)}{'x' * (k // 26)}/p"))
+                labels.append((10 * k + j, j < (6 if k == 0 else 3)))
+        out = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), [], spark.createDataFrame(labels, "page_id long, bad boolean")).collect()
+        assert {(r["template"], r["verdict"]) for r in out} == {("/<*>/p", "allow")}, width
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_whole_tree_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pages, labels = [], []
+    for i in range(1500):
+        host = rng.choice(["a.org", "b.org"])
+        parts = [rng.choice(["x", "y", "z", "w" + chr(97 + rng.randrange(20))]) for _ in range(rng.randint(0, 4))]
+        pages.append((i, f"http://{host}/{'/'.join(parts)}"))
+        if rng.random() < 0.7:
+            labels.append((i, rng.random() < (0.9 if parts[:1] == ["x"] or parts[1:2] == ["wa"] else 0.2)))
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    out = url_filter.judge(df, [], spark.createDataFrame(labels, "page_id long, bad boolean")).collect()
+    bad = dict(labels)
+    seen = Counter()
+    for host in ("a.org", "b.org"):
+        own = [(i, tuple(u.split("/", 3)[3].split("/"))) for i, u in pages if u.startswith(f"http://{host}/")]
+        COUNTS.clear()
+        for i, segs in own:
+            n, b = COUNTS.get(segs, (0, 0))
+            COUNTS[segs] = (n + (i in bad), b + bad.get(i, False))
+        want = {segs: "/" + "/".join(t) for segs, t in brute_tree([(segs, segs) for segs in COUNTS]).items()}
+        sums = {}
+        for segs, t in want.items():
+            n, b = sums.get(t, (0, 0))
+            sums[t] = (n + COUNTS[segs][0], b + COUNTS[segs][1])
+        whole = (sum(bad.values()) + 1) / (len(bad) + 2)
+        of_host = [bad[i] for i, _ in own if i in bad]
+        share = (sum(of_host) + url_filter.SMOOTHING * whole) / (len(of_host) + url_filter.SMOOTHING)
+        got = {r["page_id"]: r for r in out}
+        for i, segs in own:
+            n, b = sums[want[segs]]
+            purity = (b + url_filter.SMOOTHING * share) / (n + url_filter.SMOOTHING)
+            blocked = n >= url_filter.LEAST and purity >= url_filter.PURITY
+            assert got[i]["template"] == want[segs], (segs, COUNTS[segs])
+            assert got[i]["purity"] == pytest.approx(purity) and got[i]["verdict"] == ("block" if blocked else "allow")
+            seen[got[i]["verdict"]] += 1
+    assert min(seen["block"], seen["allow"]) > 100
 
 
 def test_wide_nodes_keep_what_stands_out(spark):
@@ -240,15 +330,13 @@ def test_deep_paths_are_told_apart(spark):
 
 
 def test_counts_are_merged_as_branches_are():
+    """Branches with equal counts at once, or one after another."""
     rng = random.Random(3)
     for _ in range(200):
-        counts = {(n := rng.randint(1, 60), rng.randint(0, n)): 1 for _ in range(rng.randint(1, 20))}
-        found = url_filter.merge_counts([(*c, 1) for c in counts])
-        # segments in the order of ties
-        names = {f"{n:03d}-{b:03d}": k for (n, b), k in zip(counts, found)}
-        merged = url_filter.merge([(x, int(x[:3]), int(x[4:])) for x in names])
-        assert len(set(names.values())) == len(set(merged.values()))
-        assert len({(names[x], merged[x]) for x in names}) == len(set(found))
+        counts = {(n := rng.randint(1, 60), rng.randint(0, n)): rng.randint(1, 3) for _ in range(rng.randint(1, 20))}
+        found = url_filter.merge_counts([(*c, many) for c, many in counts.items()])
+        single = url_filter.merge_counts([(*c, 1) for c, many in counts.items() for _ in range(many)])
+        assert single == [k for k, many in zip(found, counts.values()) for _ in range(many)]
 
 
 def brute_counts(text):

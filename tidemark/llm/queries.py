@@ -95,9 +95,10 @@ URL_RULES = [
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels are those of the row with the page's number: bad if of low quality."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
-    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, labels)
+    """A page is bad, for the labels that templates are judged by, if its own html has three runs of junk marks or more."""
+    pages = table(spark, sf_dir, "pages")
+    labels = pages.select("page_id", (F.regexp_count("html", F.lit(r"\*{3}|#{3}|%{3}")) >= 3).alias("bad"))
+    return url_filter.judge(pages.select("page_id", "url"), URL_RULES, labels)
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,16 +3,16 @@
 Paths are cut into segments, and numbers, hashes and the like inside them become
 wildcards. Equal templates are counted before any shuffle. The tree is then
 walked from the root to its full depth, from one node with several branches to
-the next: segments that all paths of a node share are passed at once. Branches whose shares of bad labels
-don't differ significantly (two-proportion z) are merged, so that the labels of
-a few branches speak for those like them. Among over ``FAN`` branches some
-differ by chance: there those that differ from all the rest together (likelihood
-ratio, ``CHANCE`` over all branches tested) are merged in the same way, and the
-rest, with the branches that have no labels, is one wildcard. Python gets
-``FAN`` branches at most, or a node's different pairs of labels and bad labels,
-which grow much slower than its branches. A template is rejected if its share of bad labels,
-smoothed towards that of its host and, above it, of all pages, is ``PURITY`` or
-more.
+the next: segments that all paths of a node share are passed at once. Some
+branches differ by chance, the more the more there are: those whose shares of bad
+labels differ from all the rest of their node together (likelihood ratio,
+``CHANCE`` over all branches tested) stand out, whatever the node's width. Of
+these, such as don't differ from each other (two-proportion z) are merged. The rest,
+with the branches that have no labels, is one wildcard, or keeps its name if it
+is a single branch. Python gets a node's different pairs of labels and bad
+labels, which grow much slower than its branches. A template is rejected if its
+share of bad labels, smoothed towards that of its host and, above it, of all
+pages, is ``PURITY`` or more.
 """
 
 from __future__ import annotations
@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpoint
 
-FAN = 32
 Z = 1.96
-#: Odds that any branch of a wide node is told apart by chance.
+#: Odds that any branch of a node is told apart by chance.
 CHANCE = 0.05
 SMOOTHING = 4.0
 LEAST = 3
@@ -75,7 +74,11 @@ def _alike(n: int, b: int, labelled: int, bad: int) -> bool:
 
 
 def merge_counts(counts: list[tuple[int, int, int]]) -> list[int]:
-    """Numbers of the clusters for ``(labelled, bad, branches that have just these)``, by the rule of ``merge``."""
+    """Numbers of the clusters for ``(labelled, bad, branches that have just these)``.
+
+    Branches are sorted by their share of bad labels, and neighbours are joined
+    while their shares don't differ.
+    """
     out, n, b, number = [0] * len(counts), 0, 0, 0
     for i in sorted(range(len(counts)), key=lambda i: (counts[i][1] / counts[i][0], counts[i])):
         labelled, bad, many = counts[i]
@@ -97,9 +100,11 @@ def stands_out(labelled: Column, bad: Column, all_labelled: Column, all_bad: Col
     return F.coalesce((labelled > 0) & (apart > F.log(tested * 2 / F.lit(CHANCE))), F.lit(False))
 
 
-def _wide(kids: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(host, path, seg, name)`` for branches of wide nodes that stand out."""
-    tested = kids.join(nodes, ["host", "path"])
+def _named(kids: DataFrame) -> DataFrame:
+    """``(host, path, seg, name)`` for all branches ``kids`` (host, path, seg, labelled, bad)."""
+    nodes = kids.groupBy("host", "path").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"), F.count(F.when(F.col("labelled") > 0, 1)).alias("tested"))
+    mixed = nodes.where((F.col("b") > 0) & (F.col("b") < F.col("n")))
+    tested = kids.join(mixed, ["host", "path"])
     own = checkpoint(tested.where(stands_out(*map(F.col, ("labelled", "bad", "n", "b", "tested")))).select("host", "path", "seg", "labelled", "bad"))
 
     @F.arrow_udf("array<struct<labelled:long,bad:long,cluster:int>>")
@@ -115,34 +120,11 @@ def _wide(kids: DataFrame, nodes: DataFrame) -> DataFrame:
     told = own.join(to.select("host", "path", "to.*"), ["host", "path", "labelled", "bad"])
     names = told.groupBy("host", "path", "cluster").agg(F.min("seg").alias("first"), F.count("*").alias("size"))
     name = F.when(F.col("size") == 1, F.col("first")).otherwise(F.concat(F.lit("{"), "first", F.lit("|+"), (F.col("size") - 1).cast("string"), F.lit("}")))
-    return told.join(names, ["host", "path", "cluster"]).select("host", "path", "seg", name.alias("name"))
-
-
-def merge(branches: list[tuple[str, int, int]]) -> dict[str, str]:
-    """Names of the merged branches for ``(segment, labelled, bad)``.
-
-    Labelled branches are sorted by their share of bad labels, and neighbours
-    are joined while their shares don't differ. Branches without labels join in
-    if all others became one; else they stay alone.
-    """
-    clusters: list[tuple[list[str], int, int]] = []
-    for name, labelled, bad in sorted((x for x in branches if x[1]), key=lambda x: (x[2] / x[1], x[0])):
-        if clusters:
-            names, n, b = clusters[-1]
-            if _alike(n, b, labelled, bad):
-                clusters[-1] = ([*names, name], n + labelled, b + bad)
-                continue
-        clusters.append(([name], labelled, bad))
-    blank = [x[0] for x in branches if not x[1]]
-    if len(clusters) <= 1:
-        clusters = [([x[0] for x in branches], 0, 0)]
-        blank = []
-    out = {x: x for x in blank}
-    for names, _, _ in clusters:
-        whole = len(names) == len(branches) > 1
-        joined = "<*>" if whole else names[0] if len(names) == 1 else "{" + "|".join(sorted(names)) + "}"
-        out |= dict.fromkeys(names, joined)
-    return out
+    apart = told.join(names, ["host", "path", "cluster"]).select("host", "path", "seg", name.alias("name"))
+    rest = kids.join(apart, ["host", "path", "seg"], "left")
+    alone = rest.groupBy("host", "path").agg(F.count(F.when(F.col("name").isNull(), 1)).alias("alike"))
+    other = F.when(F.col("alike") == 1, F.col("seg")).otherwise(F.lit("<*>"))
+    return rest.join(alone, ["host", "path"]).select("host", "path", "seg", F.coalesce("name", other).alias("name"))
 
 
 def _to_branches(tree: DataFrame) -> DataFrame:
@@ -168,7 +150,7 @@ def _to_branches(tree: DataFrame) -> DataFrame:
     )
 
 
-def templates(pages: DataFrame, labels: DataFrame | None, fan: int = FAN) -> DataFrame:
+def templates(pages: DataFrame, labels: DataFrame | None) -> DataFrame:
     """``(host, segs, template, labelled, purity)`` for the hosts and segments of ``pages`` (page_id, host, segs).
 
     ``labels`` is (page_id, bad boolean): several labels of a page are bad if
@@ -186,14 +168,6 @@ def templates(pages: DataFrame, labels: DataFrame | None, fan: int = FAN) -> Dat
         .withColumns({"rest": F.col("segs"), "path": F.array().cast("array<string>")})
     )
 
-    @F.arrow_udf("array<struct<seg:string,name:string>>")
-    def merged(groups: pa.Array) -> pa.Array:
-        out = []
-        for kids in groups.to_pylist():
-            names = merge([(k["seg"], k["labelled"], k["bad"]) for k in kids])
-            out.append([{"seg": a, "name": b} for a, b in names.items()])
-        return pa.array(out, pa.list_(pa.struct([("seg", pa.string()), ("name", pa.string())])))
-
     done = None
     while True:
         deep = checkpoint(_to_branches(tree)).withColumn("seg", F.try_element_at("rest", F.lit(1)))
@@ -203,19 +177,8 @@ def templates(pages: DataFrame, labels: DataFrame | None, fan: int = FAN) -> Dat
         if not deep.limit(1).count():
             break
         kids = deep.groupBy("host", "path", "seg").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-        nodes = kids.groupBy("host", "path").agg(
-            F.count("*").alias("fan"), F.sum("labelled").alias("n"), F.sum("bad").alias("b"), F.count(F.when(F.col("labelled") > 0, 1)).alias("tested")
-        )
-        small = (
-            kids.join(nodes.where(F.col("fan") <= fan).select("host", "path"), ["host", "path"])
-            .groupBy("host", "path")
-            .agg(F.array_sort(F.collect_list(F.struct("seg", "labelled", "bad"))).alias("kids"))
-            .select("host", "path", F.explode(merged("kids")).alias("to"))
-            .select("host", "path", F.col("to.seg").alias("seg"), F.col("to.name").alias("name"))
-        )
-        wide = _wide(kids, nodes.where((F.col("fan") > fan) & (F.col("b") > 0) & (F.col("b") < F.col("n"))).drop("fan"))
-        named = deep.join(small.unionByName(wide), ["host", "path", "seg"], "left")
-        path = F.concat("path", F.array(F.coalesce("name", F.lit("<*>"))))
+        named = deep.join(_named(kids), ["host", "path", "seg"])
+        path = F.concat("path", F.array("name"))
         tree = checkpoint(named.select("host", "segs", "labelled", "bad", F.slice("rest", F.lit(2), F.size("rest")).alias("rest"), path.alias("path")))
     tree = checkpoint(done.withColumn("template", F.concat(F.lit("/"), F.array_join("path", "/"))))
     whole = tree.agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")).select(
