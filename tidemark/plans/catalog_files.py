@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Callable
-from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,18 +67,29 @@ def s04(spark, sf):
     return readers.constituents(readers.csv(spark, through_csv(spark, raw, ignoreLeadingWhiteSpace=False), schemas.CONSTITUENTS_CSV))
 
 
-@query("s05_sector_table", "SELECT * FROM (VALUES ('CUSTOMER#1', 'Energy'), ('CUSTOMER#2', 'Financials')) t(ticker, sector)")
+_SECTORS = {"Customer#000000002": "Financials", "Customer#000000001": "Energy", "Customer#000000005": "Health Care"}
+
+
+@query(
+    "s05_sector_table",
+    "SELECT c_name AS ticker, CASE c_name "
+    + " ".join(f"WHEN '{t}' THEN '{x}'" for t, x in _SECTORS.items())
+    + " ELSE c_mktsegment END AS sector FROM customer",
+)
 def s05(spark, sf):
-    return readers.sector_table(spark, {"CUSTOMER#2": "Financials", "CUSTOMER#1": "Energy"})
+    """The sectors of a literal table for the companies that it knows."""
+    known = readers.sector_table(spark, _SECTORS).withColumnRenamed("sector", "known")
+    rows = S.companies(spark, sf).join(F.broadcast(known), "ticker", "left")
+    return rows.select("ticker", F.coalesce("known", "sector").alias("sector"))
 
 
-@query("s06_cik_map", "SELECT upper(n_name) AS ticker, lpad(n_nationkey::VARCHAR, 10, '0') AS cik FROM nation")
+@query("s06_cik_map", "SELECT upper(c_name) AS ticker, lpad(c_custkey::VARCHAR, 10, '0') AS cik FROM customer")
 def s06(spark, sf):
-    """The format is one JSON object of all, so a table of 25 rows is made one."""
-    entry = F.struct(F.col("n_nationkey").cast("string").alias("key"), F.struct(F.col("n_nationkey").cast("string").alias("cik_str"), F.lower("n_name").alias("ticker"), F.col("n_name").alias("title")).alias("value"))
-    whole = S.table(spark, sf, "nation").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    """Objects of fifty entries each."""
+    entry = F.struct(F.col("id").cast("string").alias("key"), F.struct(F.col("id").cast("string").alias("cik_str"), F.lower("name").alias("ticker"), F.col("name").alias("title")).alias("value"))
+    each = S.companies(spark, sf).groupBy(F.expr("id div 50")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).select("value")
     path = scratch_path(spark)
-    whole.write.text(path)
+    each.write.text(path)
     return readers.ticker_to_cik(spark.read.text(path))
 
 
@@ -141,13 +151,13 @@ def s14(spark, sf):
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
-    """A parity file of the benchmark's items: ids are the item's number, logits what it makes of it."""
+    """Parity objects of the benchmark's items, ten each: ids are the item's number, logits what it makes of it."""
     k = F.col("item_id")
     logits = F.array((k % 7).cast("float"), (k % 5).cast("float"), (k % 3).cast("float"))
     one = F.struct(F.coalesce("text", F.lit("")).alias("text"), F.array(k, k + 1).alias("input_ids"), F.array(F.lit(1).cast("long")).alias("attention_mask"), F.array(F.lit(0).cast("long")).alias("token_type_ids"), logits.alias("logits"), F.create_map(F.lit("negative"), F.lit(0.5)).alias("probs"))
     path = scratch_path(spark)
-    S.table(spark, sf, "benchmark").agg(F.collect_list(one).alias("samples")).write.json(path)  # the format is one object
-    return readers.parity_samples(spark, path)
+    S.table(spark, sf, "benchmark").groupBy(F.expr("item_id div 10")).agg(F.collect_list(one).alias("samples")).select("samples").write.json(path)
+    return readers.parity_samples(spark, path, multi_line=False)
 
 
 @query("s15_parity_samples", "SELECT coalesce(text, '') AS text, item_id AS first_id, (item_id % 7)::DOUBLE AS logit, 0.5::DOUBLE AS negative FROM benchmark")
@@ -237,11 +247,19 @@ def k12(spark, sf):
     return readers.csv(spark, path, "ticker string, date date, close double")
 
 
-@query("k14_sql_dump", """SELECT 'INSERT INTO region (r_regionkey, r_name) VALUES (' || r_regionkey || ', ''' || replace(r_name, '''', '''''') || ''') ON CONFLICT DO NOTHING;' AS statement FROM region""")
+@query(
+    "k14_sql_dump",
+    """WITH r AS (SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_name || '''s' END AS name, c_custkey % 2 = 0 AS even FROM customer)
+       SELECT 'INSERT INTO companies (id, name, even, cited) VALUES (' || c_custkey || ', ' || CASE WHEN name IS NULL THEN 'NULL' ELSE '''' || replace(name, '''', '''''') || '''' END
+              || CASE WHEN even THEN ', TRUE, ' ELSE ', FALSE, ' END || '''{' || c_custkey || ',1}'') ON CONFLICT DO NOTHING;' AS statement FROM r
+       UNION ALL SELECT 'SELECT setval(pg_get_serial_sequence(''companies'', ''id''), COALESCE((SELECT MAX(id) FROM companies), 1));'""",
+)
 def k14(spark, sf):
-    """Also X20; the dump is for small tables and refuses others."""
-    lines = writers.sql_dump([("region", S.table(spark, sf, "region").select("r_regionkey", "r_name"))])
-    return spark.createDataFrame([(x,) for x in lines], "statement string")
+    """Also X20: written by the tasks as text files, and read back."""
+    name = F.when(F.col("id") % 7 != 0, F.concat("name", F.lit("'s")))
+    rows = S.companies(spark, sf).select("id", name.alias("name"), (F.col("id") % 2 == 0).alias("even"), F.array("id", F.lit(1)).alias("cited"))
+    folders = writers.sql_dump_files([("companies", rows)], scratch_path(spark))
+    return spark.read.text(folders).withColumnRenamed("value", "statement")
 
 
 # ---- filters, joins, reports -----------------------------------------------
@@ -433,16 +451,12 @@ def m17(spark, sf):
     return S.table(spark, sf, "events").select(F.col("event_id").alias("id"), expr.clamp(F.col("value"), 10.0, 50.0).alias("value"))
 
 
-_GRID = ", ".join(f"({k}, {round(NormalDist().cdf(k / 20), 8)!r})" for k in range(-70, 71))
-
-
-@query("m07_normal_grid", f"SELECT k, p::DOUBLE AS p, round(k / 20.0, 6)::DOUBLE AS back FROM (VALUES {_GRID}) t(k, p)")
+@query("m07_normal_grid", "SELECT event_id AS k, (event_id % 9999 + 1) / 10000.0::DOUBLE AS p, round((event_id % 9999 + 1) / 10000.0::DOUBLE, 8) AS back FROM events")
 def m07(spark, sf):
-    """M06 and M07 against literal values."""
+    """To deviates and back; the tests hold both against literal values."""
     c = stats.columns()
-    rows = spark.range(-70, 71).select(F.col("id").cast("int").alias("k"), (F.col("id") / 20).alias("x"))
-    rows = rows.withColumn("p", c["normal_cdf"]("x"))
-    return rows.select("k", F.round("p", 8).alias("p"), F.round(c["inverse_normal_cdf"]("p"), 6).alias("back"))
+    rows = S.table(spark, sf, "events").select(F.col("event_id").alias("k"), ((F.col("event_id") % 9999 + 1) / 10000).alias("p"))
+    return rows.select("k", "p", F.round(c["normal_cdf"](c["inverse_normal_cdf"]("p")), 8).alias("back"))
 
 
 @query("r10_int_lists", "SELECT event_id AS id, '{' || event_id || ',' || user_id || '}' AS literal, [event_id, user_id]::VARCHAR AS back FROM events")

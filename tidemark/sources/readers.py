@@ -104,9 +104,9 @@ def unprocessed(articles: DataFrame) -> DataFrame:
     return articles.where(~F.coalesce("processed", F.lit(False)))
 
 
-def parity_samples(spark: SparkSession, path: str) -> DataFrame:
-    """The samples of a parity file as rows."""
-    return spark.read.schema(schemas.PARITY).option("multiLine", True).json(path).select(F.inline("samples"))
+def parity_samples(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """The samples of parity files as rows; an object is a file, or a line if not ``multi_line``."""
+    return spark.read.schema(schemas.PARITY).option("multiLine", multi_line).json(path).select(F.inline("samples"))
 
 
 def bar_counts(bars: DataFrame) -> DataFrame:

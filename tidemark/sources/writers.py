@@ -10,15 +10,16 @@ import hashlib
 import secrets
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
-def upsert(target: DataFrame, changes: DataFrame, keys: list[str], update: list[str], order: str) -> DataFrame:
+def upsert(target: DataFrame, changes: DataFrame, keys: list[str], update: list[str], order: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """``changes`` applied in the order of column ``order``.
 
     A new key keeps the first values of its changes, but for ``update`` columns,
     which are those of the last change; a known key has only these replaced.
+    A null in columns to ``keep`` replaces nothing.
     """
     others = [c for c in target.columns if c not in keys]
     first = [F.min_by(F.struct(*others), F.col(order)).alias("_first")]
@@ -31,19 +32,16 @@ def upsert(target: DataFrame, changes: DataFrame, keys: list[str], update: list[
         kept = F.when(F.col("_old").isNotNull(), F.col(f"_old.{c}")).otherwise(F.col(f"_first.{c}"))
         if c in update:
             kept = F.when(F.col("_last").isNotNull(), F.col(f"_last.{c}")).otherwise(kept)
+        if c in keep:
+            kept = F.coalesce(kept, F.col(f"_old.{c}"))
         columns.append(kept.alias(c))
     return joined.select(*keys, *columns).select(*target.columns)
 
 
 def upsert_companies(target: DataFrame, changes: DataFrame, order: str = "seq") -> DataFrame:
     """By cik; the ticker of a known company stays. A null sector or code keeps what is known."""
-    out = upsert(target, changes, ["cik"], [c for c in ("name", "sector", "sic_code") if c in target.columns], order)
-    kept = target.select("cik", *[F.col(c).alias(f"_{c}") for c in ("sector", "sic_code") if c in target.columns])
-    both = out.join(kept, "cik", "left")
-    for c in ("sector", "sic_code"):
-        if c in target.columns:
-            both = both.withColumn(c, F.coalesce(c, f"_{c}"))
-    return both.select(*target.columns)
+    update = [c for c in ("name", "sector", "sic_code") if c in target.columns]
+    return upsert(target, changes, ["cik"], update, order, keep=("sector", "sic_code"))
 
 
 def upsert_filings(target: DataFrame, changes: DataFrame, order: str = "seq") -> DataFrame:
@@ -76,20 +74,23 @@ def upsert_explanations(target: DataFrame, changes: DataFrame, order: str = "seq
 
 def replace_partition(df: DataFrame, path: str, partition: str) -> int:
     """The partitions that ``df`` has are replaced, others stay; the rows written are counted again."""
-    spark = df.sparkSession
-    values = [r[0] for r in df.select(partition).distinct().collect()]  # the partitions of one write
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-    return _counted(df, spark.read.schema(df.schema).parquet(path).where(F.col(partition).isin(values)))
+    seen = Observation()
+    rows = df.observe(seen, F.count(F.lit(1)).alias("n"), F.collect_set(partition).alias("values"))  # the partitions of one write
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    return _counted(seen, found.where(F.col(partition).isin(list(seen.get["values"]))))
 
 
 def rebuild(df: DataFrame, path: str) -> int:
     """A table made anew; the rows written are counted again."""
-    df.write.mode("overwrite").parquet(path)
-    return _counted(df, df.sparkSession.read.schema(df.schema).parquet(path))
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    return _counted(seen, df.sparkSession.read.schema(df.schema).parquet(path))
 
 
-def _counted(wanted: DataFrame, found: DataFrame) -> int:
-    n, m = wanted.count(), found.count()
+def _counted(seen: Observation, found: DataFrame) -> int:
+    """What was counted while it was written, against what is there: the plan runs once."""
+    n, m = seen.get["n"], found.count()
     if n != m:
         raise RuntimeError(f"{m} rows of {n} were written")
     return m
@@ -147,21 +148,51 @@ def sql_literal(value) -> str:
     return "'" + str(value).replace("'", "''") + "'"
 
 
-def sql_dump(tables: list[tuple[str, DataFrame]], limit: int = 100_000):
-    """Insert statements of small tables in the order given, then their sequences set anew. A table over ``limit`` rows is refused."""
-    for name, df in tables:
-        if df.limit(limit + 1).count() > limit:
-            raise ValueError(f"{name} has over {limit} rows; copy it by jdbc_copy")
-        for row in df.orderBy(df.columns[0]).toLocalIterator():
-            yield f"INSERT INTO {name} ({', '.join(df.columns)}) VALUES ({', '.join(map(sql_literal, row))}) ON CONFLICT DO NOTHING;"
-        if "id" in df.columns:
-            yield f"SELECT setval(pg_get_serial_sequence('{name}', 'id'), COALESCE((SELECT MAX(id) FROM {name}), 1));"
+def literal(column: str, kind: str) -> Column:
+    """K14, X20 over a column: a value as an SQL literal."""
+    c = F.col(column)
+    if kind == "boolean":
+        out = F.when(c, "TRUE").otherwise("FALSE")
+    elif kind.startswith("array"):
+        out = F.concat(F.lit("'{"), F.array_join(c.cast("array<string>"), ","), F.lit("}'"))
+    elif kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+        out = c.cast("string")
+    else:
+        out = F.concat(F.lit("'"), F.replace(c.cast("string"), F.lit("'"), F.lit("''")), F.lit("'"))
+    return F.when(c.isNull(), "NULL").otherwise(out)
+
+
+def sql_statements(df: DataFrame, name: str) -> DataFrame:
+    """An insert (``statement``) for each row of a table of any size."""
+    values = F.concat_ws(", ", *[literal(c, kind) for c, kind in df.dtypes])
+    head = F.lit(f"INSERT INTO {name} ({', '.join(df.columns)}) VALUES (")
+    return df.select(F.concat(head, values, F.lit(") ON CONFLICT DO NOTHING;")).alias("statement"))
+
 
+def _sequence(name: str, df: DataFrame) -> list[str]:
+    return [f"SELECT setval(pg_get_serial_sequence('{name}', 'id'), COALESCE((SELECT MAX(id) FROM {name}), 1));"] if "id" in df.columns else []
 
-def jdbc_copy(tables: list[tuple[str, DataFrame]], url: str, **options: str) -> None:
-    """Tables appended to another database in the order given."""
+
+def sql_dump_files(tables: list[tuple[str, DataFrame]], path: str) -> list[str]:
+    """A folder of text files for each table, to be run in the order of the folders returned; its sequence is set anew last."""
+    out = []
+    for number, (name, df) in enumerate(tables):
+        out.append(f"{path}/{number:02d}_{name}")
+        sql_statements(df, name).write.mode("overwrite").text(out[-1])
+        if last := _sequence(name, df):
+            out.append(f"{path}/{number:02d}_{name}_sequence")
+            df.sparkSession.createDataFrame([(x,) for x in last], "statement string").write.mode("overwrite").text(out[-1])
+    return out
+
+
+def sql_dump(tables: list[tuple[str, DataFrame]], limit: int = 100_000):
+    """K14 for small tables: their statements one after another. A table over ``limit`` rows is refused; ``sql_dump_files`` takes any."""
     for name, df in tables:
-        df.write.format("jdbc").options(url=url, dbtable=name, **options).mode("append").save()
+        if df.limit(limit + 1).count() > limit:
+            raise ValueError(f"{name} has over {limit} rows; use sql_dump_files")
+        for row in sql_statements(df.orderBy(df.columns[0]), name).toLocalIterator():
+            yield row["statement"]
+        yield from _sequence(name, df)
 
 
 def set_sectors(companies: DataFrame, sectors: DataFrame) -> DataFrame:
