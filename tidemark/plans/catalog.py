@@ -751,19 +751,67 @@ def a24(spark, sf):
     return backtest.totals(momentum_days(spark, sf), "ticker").select("ticker", "days", *r6("net_return", "total_cost"), "n_position_changes")
 
 
-@query("m08_psr")
+_TRIALS = (5, 10, 20, 40)
+
+
+def phi_sql(z: str) -> str:
+    """The normal distribution function, integrated."""
+    return f"(0.5 + sign({z}) / sqrt(2 * pi()) * {_simpson(f'abs({z})', 'exp(-u * u / 2)')})"
+
+
+def _moments_sql(source: str, keys: str) -> str:
+    return f"""m AS (SELECT {keys}, avg(net_return) AS mean, stddev_pop(net_return) AS sd FROM {source} GROUP BY ALL),
+        s AS (SELECT {keys}, count(*) AS n, mean, sd, mean / sd AS sharpe, avg(((net_return - mean) / sd) ** 3) AS skewness, avg(((net_return - mean) / sd) ** 4) AS kurtosis
+              FROM {source} JOIN m USING ({keys}) GROUP BY {keys}, mean, sd)"""
+
+
+def psr_sql(luck: str) -> str:
+    return phi_sql(f"((sharpe - {luck}) * sqrt(n - 1) / sqrt(1 - skewness * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe))")
+
+
+@query(
+    "m08_psr",
+    S.with_(
+        *_BACKTEST,
+        _moments_sql("run", "ticker"),
+        "t AS (SELECT ticker, CAST(sum(cost) AS DOUBLE) AS total_cost, count(*) FILTER (WHERE position <> before) AS n_position_changes FROM run GROUP BY ticker)",
+        f"found AS (SELECT s.*, total_cost, n_position_changes, sharpe * sqrt(252) AS annualised_sharpe, {psr_sql('0.0')} AS psr FROM s JOIN t USING (ticker))",
+    )
+    + f"SELECT ticker, n, n_position_changes, {r6_sql('sharpe', 'skewness', 'kurtosis', 'total_cost', 'annualised_sharpe', 'psr')} FROM found",
+)
 def m08(spark, sf):
-    return backtest.report(momentum_days(spark, sf), "ticker")
+    found = backtest.report(momentum_days(spark, sf), "ticker")
+    return found.select("ticker", "n", "n_position_changes", *r6("sharpe", "skewness", "kurtosis", "total_cost", "annualised_sharpe", "psr"))
 
 
-@query("m10_dsr")
+@query(
+    "m10_dsr",
+    S.with_(
+        S.LONG,
+        *[
+            f"""held{k} AS (SELECT *, CASE WHEN close > lag(close, {k}) OVER w THEN 1.0 ELSE 0.0 END AS position, lead(date) OVER w AS next_date, lead(close) OVER w AS next_close
+                FROM bars WHERE date <= DATE '{END}' WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+            days{k} AS (SELECT ticker, {k} AS lag, position, ln(next_close) - ln(close) AS raw, coalesce(lag(position) OVER (PARTITION BY ticker ORDER BY date), 0) AS before
+                FROM held{k} WHERE date >= DATE '{START}' AND next_date IS NOT NULL)"""
+            for k in _TRIALS
+        ],
+        "trials AS (" + " UNION ALL ".join(f"SELECT ticker, lag, raw * position - 0.0005 * abs(position - before) AS net_return FROM days{k}" for k in _TRIALS) + ")",
+        _moments_sql("trials", "ticker, lag"),
+        "v AS (SELECT ticker, count(*) AS n_trials, var_pop(sharpe) AS trial_variance FROM s GROUP BY ticker)",
+        "best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY sharpe DESC, lag) = 1)",
+        # what luck gives over four trials of variance 1, as a literal
+        f"found AS (SELECT ticker, n_trials, trial_variance, lag AS best_lag, sharpe AS best_sharpe, {psr_sql('0.0')} AS psr, {psr_sql(f'sqrt(trial_variance) * {stats.expected_max_sharpe(len(_TRIALS), 1.0)!r}')} AS dsr FROM best JOIN v USING (ticker))",
+    )
+    + f"SELECT ticker, n_trials, best_lag, {r6_sql('trial_variance', 'best_sharpe', 'psr', 'dsr')} FROM found",
+)
 def m10(spark, sf):
+    """Also M09 and A27."""
     bars = S.long_prices(spark, sf)
     days = None
-    for n in (5, 10, 20, 40):
+    for n in _TRIALS:
         one = backtest.backtest(bars, backtest.momentum(n), START, END).withColumn("lag", F.lit(n))
         days = one if days is None else days.unionByName(one)
-    return backtest.trials(days, "ticker", "lag")
+    return backtest.trials(days, "ticker", "lag").select("ticker", "n_trials", "best_lag", *r6("trial_variance", "best_sharpe", "psr", "dsr"))
 
 
 def fixed_params(spark: SparkSession, sf: str) -> DataFrame:
@@ -884,9 +932,26 @@ def f17(spark, sf):
     return S.table(spark, sf, "events").select("event_id", expr.signal(F.col("props"), "k").alias("k"))
 
 
-@query("c10_document_scores")
+_WORD_LISTS = {name: ", ".join(f"'{w}'" for w in words) for name, words in (("p", X.POSITIVE), ("n", X.NEGATIVE))}
+
+
+@query(
+    "c10_document_scores",
+    f"""WITH c AS (SELECT doc_id, string_split_regex(replace(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\r\\n\\f\\v]+', '\\1\u0001', 'g'), '\u0001', chr(1)), chr(1)) AS s FROM documents),
+        t AS (SELECT doc_id, [x FOR x IN [trim(y, ' ') FOR y IN s] IF length(x) >= 20] AS s FROM c),
+        e AS (SELECT doc_id, len(s) > 400 AS capped, unnest(s[:400]) AS x FROM t),
+        w AS (SELECT doc_id, capped, regexp_extract_all(lower(x), '[a-z]+') AS w FROM e),
+        k AS (SELECT doc_id, capped, len([x FOR x IN w IF x IN ({_WORD_LISTS["p"]})]) AS p, len([x FOR x IN w IF x IN ({_WORD_LISTS["n"]})]) AS n, len(w) / 20.0 AS l FROM w),
+        g AS (SELECT doc_id, capped, p / (p + n + 1 + l) AS p, n / (p + n + 1 + l) AS n, 1 - (p + n) / (p + n + 1 + l) AS z FROM k),
+        a AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n_sentences, avg(n) AS mean_negative, max(n) AS max_negative, avg(CASE WHEN n >= 0.5 THEN 1.0 ELSE 0.0 END) AS risk_density,
+                     avg(z) AS mean_neutral, avg(p) AS mean_positive FROM g GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_sentences, 0) AS n_sentences, {r6_sql("mean_negative", "max_negative", "risk_density", "mean_neutral", "mean_positive")}
+        FROM documents LEFT JOIN a USING (doc_id)""",
+)
 def c10(spark, sf):
-    return X.score_documents(S.table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    """Also A03: the cap of 400 sentences is the score's own."""
+    found = X.score_documents(S.table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    return found.select("doc_id", "n_sentences", *r6("mean_negative", "max_negative", "risk_density", "mean_neutral", "mean_positive"))
 
 
 @query("c08_explanation_gate")
@@ -995,11 +1060,12 @@ def f08(spark, sf):
     return rows.select("ticker", "days").distinct()
 
 
-@query("m06_normal_cdf")
+@query("m06_normal_cdf", f"SELECT vec_id, round(x, 6) AS x, round({phi_sql('x')}, 9) AS p, round(x, 6) AS back FROM (SELECT vec_id, embedding[1]::DOUBLE AS x FROM embeddings)")
 def m06(spark, sf):
     """The distribution function and its inverse over scores."""
     c = stats.columns()
     rows = S.table(spark, sf, "embeddings").select("vec_id", F.element_at("embedding", 1).cast("double").alias("x"))
-    return rows.withColumn("p", c["normal_cdf"]("x")).withColumn("back", F.round(c["inverse_normal_cdf"]("p"), 6))
+    rows = rows.withColumn("p", c["normal_cdf"]("x")).withColumn("back", F.round(c["inverse_normal_cdf"]("p"), 6))
+    return rows.select("vec_id", *r6("x"), *r9("p"), "back")
 
 
