@@ -196,7 +196,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     for pattern, by in JOINED:
         text = F.regexp_replace(text, pattern, by)
     lines = lambda s: F.filter(F.transform(F.split(s, LINE), normalised), lambda x: x != "")
-    known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
+    # a map is searched in sequence, a set of literals is hashed: only what is known is looked up
+    known = lambda x: F.when(x.isin(list(KNOWN)), F.try_element_at(table, x))
     rules = F.array(*[F.struct(F.lit(_pattern(ids)).alias("ids"), F.lit(name).alias("name")) for name, ids in RULES])
     start = F.struct(F.col("_sequence").alias("rest"), F.array().cast("array<string>").alias("found"))
     found = F.aggregate(
@@ -216,11 +218,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         n = F.size(own)
         rows = F.transform(
             F.sequence(F.greatest(F.lit(1), n - LONGEST + 1), F.greatest(F.lit(1), n)),
-            lambda i: F.struct(i.alias("at"), F.try_element_at(known, F.array_join(F.slice(own, i, F.greatest(n, F.lit(1))), " ")).alias("name")),
+            lambda i: F.struct(i.alias("at"), known(F.array_join(F.slice(own, i, F.greatest(n, F.lit(1))), " ")).alias("name")),
         )
         best = F.try_element_at(F.filter(rows, lambda x: x["name"].isNotNull()), F.lit(1))
         before = F.slice(own, F.lit(1), F.coalesce(best["at"] - 1, n))
-        alone = F.transform(before, lambda x: F.try_element_at(known, x))
+        alone = F.transform(before, known)
         return F.filter(F.concat(alone, F.array(best["name"])), lambda x: x.isNotNull())
 
     cut = docs.select(F.col(id_col).alias("doc_id"), F.transform(F.split(text, BREAK, -1), lines).alias("_lines"))
