@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import expr
 from tidemark.operators.anomaly import ranked
+from tidemark.sources.storage import checkpoint
 
 
 def same_day(published: Column, triggered: Column) -> Column:
@@ -18,13 +19,14 @@ def headlines(alerts: DataFrame, news: DataFrame, links: DataFrame, limit: int =
     """Each alert's most negative headlines of its company and day.
 
     (alert_id, rank, article_id, headline, source, sentiment_score); scores that
-    are null come last, ties by article. The day is part of the join key, so a
-    company with many articles is met by day.
+    are null come last, ties by article. Alerts are few: only links of their
+    companies meet news, and only news of their days. The day is part of the
+    join key, so a company with many articles is met by day.
     """
-    wanted = alerts.select(F.col("id").alias("alert_id"), "company_id", F.to_date("triggered_at").alias("day"))
-    linked = links.select("article_id", "company_id").join(
-        news.select(F.col("id").alias("article_id"), "headline", "source", "sentiment_score", F.to_date("published_at").alias("day")), "article_id"
-    )
+    wanted = checkpoint(alerts.select(F.col("id").alias("alert_id"), "company_id", F.to_date("triggered_at").alias("day")))
+    dated = news.select(F.col("id").alias("article_id"), "headline", "source", "sentiment_score", F.to_date("published_at").alias("day"))
+    dated = dated.join(wanted.select("day").distinct(), "day", "left_semi")
+    linked = links.select("article_id", "company_id").join(wanted.select("company_id").distinct(), "company_id", "left_semi").join(dated, "article_id")
     rows = wanted.join(linked, ["company_id", "day"])
     best = ranked(rows, ["alert_id"], limit, F.desc_nulls_last("sentiment_score"), "article_id")
     return best.select("alert_id", "rank", "article_id", "headline", "source", "sentiment_score")
