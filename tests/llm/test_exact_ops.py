@@ -75,6 +75,17 @@ def brute_components(fps):
     return {f: find(f) for f in fps}
 
 
+def test_rows_of_a_hot_fingerprint(spark, cases, monkeypatch):
+    """Most rows share one fingerprint, and there are too many facts for a broadcast: the groups are the same."""
+    from functools import partial
+
+    rows = [*cases, *((10_000 + k, None if k % 2 else " ") for k in range(400))]
+    want = {tuple(r) for r in simhash_dedup.near_duplicates(docs(spark, rows)).collect()}
+    monkeypatch.setattr(simhash_dedup, "split_join", partial(simhash_dedup.split_join, most=0))
+    found = simhash_dedup.near_duplicates(docs(spark, rows)).collect()
+    assert {tuple(r) for r in found} == want and len(found) == len(rows)
+
+
 def test_simhash_groups_match_brute_force(spark, cases):
     got = {(r[0], r[1] % (1 << 64)): r[2] for r in simhash_dedup.near_duplicates(docs(spark, cases)).collect()}
     fps = [(i, brute_fingerprint(t)) for i, t in cases]

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import shingle_sets
-from tidemark.llm.common import BLOCK, checkpoint, components, scratch, shingle_hashes, small, small_batches, written
+from tidemark.llm.common import BLOCK, HOT, checkpoint, components, scratch, shingle_hashes, small, small_batches, split_join, written
 
 BITS = 64
 WIDE = 256
@@ -274,14 +274,16 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col:
     component's id unless it has no other. Empty tables give no rows.
     """
     found = checkpoint(fingerprints(docs, shingle, id_col, text_col))
-    distinct = checkpoint(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    distinct = checkpoint(found.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     roots = components(links(distinct.select("fp"), radius))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
+        "fp", "first_id", "n", F.coalesce("root", "fp").alias("root")
     )
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = checkpoint(rooted.join(smallest, "root").select("fp", "component_id"))
-    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = checkpoint(rooted.join(smallest, "root").select("fp", "component_id", "n"))
+    # copies, and texts without words, share a fingerprint: their rows don't meet in one task
+    rows = named.agg(F.sum("n").alias("n")).collect()[0]["n"] or 0
+    return split_join(found, named, ["fp"], F.col("n") > rows / HOT).select("doc_id", "fp", "component_id")
 
 
 def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", radius: int = 3, shingle: int = shingle_sets.SHINGLE) -> DataFrame:
