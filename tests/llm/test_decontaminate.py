@@ -64,6 +64,8 @@ def test_matches_are_those_of_brute_force(spark, monkeypatch, seed, shingles, br
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in D.matches(df, it).collect()}
     want = brute(docs, items)
     assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
+    # with or without windows sifted beforehand
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in D.matches(df, it, sift=False).collect()} == got
     rows = D.judge(df, it).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(i for i, _ in docs)
     # row for row, also of rows that share an id or have none

@@ -3,8 +3,8 @@
 A text is held against every benchmark item with windows of the item's own
 size. A window similar enough has an item's shingles, wherever they are in it,
 and if moved to start at the first of them it loses none. So windows start at
-the item shingles a text has (or end with the text), and those with too many
-other shingles to be similar go at once; the items of a window are found next.
+the item shingles a text has, or end with the text; which item one is like is
+for the fingerprints to say.
 
 Each window gets a 64-bit SimHash of its word shingles. Multi-index Hamming
 blocks find the items of that size: the bits are dealt into ``BLOCKS`` blocks,
@@ -14,9 +14,8 @@ every fingerprint within the radius is found; the exact similarity of weighted
 shingles (sum of least counts over sum of greatest) then decides.
 
 At a similarity of 0.8 about 15 % of the bits differ, whatever their number, so
-blocks of any width must allow for so many flips that they prune little; windows
-that hold too few of an item's shingles are what is spared, and the blocks only
-say which items a window is held against.
+blocks of any width must allow for so many flips that they prune little; the
+whole fingerprints prune more.
 
 What is broadcast is bounded: items are taken so many at a time that they have
 ``SHINGLES`` shingles together, each a pass over the texts. The index of over
@@ -110,7 +109,7 @@ def prepared(items: DataFrame, item_col: str = "item_id", text_col: str = "text"
 
 # Arrays are exploded as outer ones: else Spark adds a filter on their size, and pushes it, with all that makes
 # the array, below the projections that hold it ready.
-def _windows(texts: DataFrame, items: DataFrame, k: int) -> DataFrame:
+def _windows(texts: DataFrame, items: DataFrame, k: int, sift: bool) -> DataFrame:
     """``(doc_id, m, win)``: shingles of the windows of sizes that items with shingles of ``k`` words have."""
     own = items.where(F.col("k") == k).select("key", "m", F.col("sh").alias("item_sh"))
     anchors = own.select("key", F.explode_outer(F.array_distinct("item_sh")).alias("h"))
@@ -119,16 +118,18 @@ def _windows(texts: DataFrame, items: DataFrame, k: int) -> DataFrame:
     start = F.greatest(F.lit(0), F.least(F.col("p"), F.size("sh") - count))
     found = places.join(F.broadcast(anchors), "h").join(F.broadcast(own), "key")
     found = found.select("doc_id", "m", "item_sh", F.slice("sh", start + 1, count).alias("win"))
+    if not sift:
+        return found.select("doc_id", "m", "win")
     # overlap / (size + count - overlap) >= similarity; shingles that the item has not are outside the overlap
     least = F.ceil((F.size("win") + F.size("item_sh")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6)
     return found.where(F.size("win") - F.size(F.array_except("win", "item_sh")) >= least).select("doc_id", "m", "win")
 
 
-def _pass(texts: DataFrame, items: DataFrame, ks: list[int], few: bool) -> DataFrame:
+def _pass(texts: DataFrame, items: DataFrame, ks: list[int], few: bool, sift: bool) -> DataFrame:
     """Links ``(doc_id, item_id, similarity)`` for items few enough to broadcast."""
     windows = None
     for k in ks:
-        one = _windows(texts, items, k)
+        one = _windows(texts, items, k, sift)
         windows = one if windows is None else windows.unionByName(one)
     # a window that several items reach is one row
     windows = windows.dropDuplicates(["doc_id", "m", "win"])
@@ -163,9 +164,15 @@ def _pass(texts: DataFrame, items: DataFrame, ks: list[int], few: bool) -> DataF
     )
 
 
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def matches(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", sift: bool = True
+) -> DataFrame:
     """``(doc_id, item_id, similarity)``: the items that texts hold, and the best similarity of a window.
 
+    With ``sift`` windows that hold too few shingles of the item that they start
+    with go before they are fingerprinted, some four of five; the result is the
+    same.
+
     Words are lower-case runs of letters and digits; shingles have five, and an
     item of fewer words is one shingle. Windows lie inside the text; a text
     shorter than an item is one window. Null texts and texts or items without
@@ -181,7 +188,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     out = None
     for number in range(passes):
         part = known if passes == 1 else known.where(F.pmod(F.col("key"), F.lit(passes)) == number)
-        links = _pass(texts, part, ks, few)
+        links = _pass(texts, part, ks, few, sift)
         out = links if out is None else out.unionByName(links)
     return out if passes == 1 else out.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
 
@@ -193,7 +200,7 @@ def judge(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     have none. 128 bits of a text stand for it, so equal texts fare alike.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("_of"), F.col(text_col).alias("text"))
-    found = matches(named.select("_of", "text"), items, id_col="_of", **columns).groupBy("doc_id").agg(
+    found = matches(named.select("_of", "text"), items, id_col="_of", sift=False, **columns).groupBy("doc_id").agg(
         F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.max("similarity").alias("similarity")
     )
     # rows of a text that very many have are dealt into parts, which each meet what is known of it
