@@ -33,9 +33,13 @@ def _joined(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inne
     return rows.join(F.broadcast(other) if hint else other, reduce(Column.__and__, on), how).drop(*[f"_of{i}" for i in range(len(keys))])
 
 
-def places(values: DataFrame, groups: list[str], value: str = "value", weight: str | None = None) -> DataFrame:
-    """For each group and distinct value that is a number: ``n`` rows, ``upto`` rows up to it, and the group's ``total``."""
-    real = values.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+def _real(column: str, nan: bool = False) -> Column:
+    return F.col(column).isNotNull() & (F.lit(nan) | ~F.isnan(F.col(column).cast("double")))
+
+
+def places(values: DataFrame, groups: list[str], value: str = "value", weight: str | None = None, nan: bool = False) -> DataFrame:
+    """For each group and distinct value that is a number (or NaN, with ``nan``): ``n`` rows, ``upto`` rows up to it, and the group's ``total``."""
+    real = values.where(_real(value, nan))
     n = F.sum(weight) if weight else F.count("*")
     counts = real.groupBy(*groups, F.col(value).alias("value")).agg(n.alias("n"))
     dealt = checkpoint(counts.repartitionByRange(*groups, "value").withColumn("_range", F.spark_partition_id()))
@@ -76,26 +80,26 @@ def _ranked(rows: DataFrame, facts: DataFrame, keys: list[str], column: str, nam
     return met.withColumns(known).drop("_salt", "_none", *[f"_hot_{c}" for c in names])
 
 
-def study(groups: list[str], pairs: DataFrame | None = None, splits: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+def study(groups: list[str], pairs: DataFrame | None = None, splits: DataFrame | None = None, nan: bool = False) -> tuple[DataFrame | None, DataFrame | None]:
     """All rank correlations and all tests between labels, from one ranking.
 
     ``pairs`` (groups, x, y) give (groups, rho, n), rho null below five pairs
     or without variance. ``splits`` (groups, x, label) give for each label the
     sum ``s`` of its ranks, its rows ``k`` and ``t``, the sum of t*t - 1 over
-    its rows, t being how many share a value. Rows with a null or NaN don't count.
+    its rows, t being how many share a value. Rows with a null don't count, nor
+    do those with NaN, unless ``nan`` ranks it above all numbers.
     """
     long, kept = [], {}
-    real = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
     if pairs is not None:
-        rows = pairs.select(*groups, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(real("x") & real("y"))
+        rows = pairs.select(*groups, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(_real("x", nan) & _real("y", nan))
         kept["pairs"] = checkpoint(rows.groupBy(*groups, "x", "y").agg(F.count("*").alias("w")))
         sides = F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("value")) for c in ("x", "y")])
         long.append(kept["pairs"].select(*groups, F.explode(sides).alias("s"), "w").select(*groups, "s.side", "s.value", "w"))
     if splits is not None:
-        rows = splits.select(*groups, F.col("x").cast("double").alias("x"), "label").where(real("x") & F.col("label").isNotNull())
+        rows = splits.select(*groups, F.col("x").cast("double").alias("x"), "label").where(_real("x", nan) & F.col("label").isNotNull())
         kept["splits"] = checkpoint(rows.groupBy(*groups, "x", "label").agg(F.count("*").alias("w")))
         long.append(kept["splits"].select(*groups, F.lit("split").alias("side"), F.col("x").alias("value"), "w"))
-    facts = places(reduce(DataFrame.unionByName, long), [*groups, "side"], weight="w")
+    facts = places(reduce(DataFrame.unionByName, long), [*groups, "side"], weight="w", nan=nan)
     rank = F.col("upto") - (F.col("n") - 1) / 2
     facts = checkpoint(facts.select(*groups, "side", "value", "n", rank.alias("rank"), (rank - (F.col("total") + 1) / 2).alias("off")))
     correlations = sums = None

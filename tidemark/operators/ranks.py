@@ -39,8 +39,8 @@ def _rho(x: str, y: str) -> Column:
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """One row (rho, n). Null below five pairs, and without variance."""
-    pairs = checkpoint(rows.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna())
+    """One row (rho, n). Null below five pairs, and without variance. NaN ranks above all numbers."""
+    pairs = checkpoint(rows.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null"))
     ranked = global_rank(global_rank(pairs, "x", "rx"), "y", "ry")
     out = ranked.agg(_rho("rx", "ry").alias("rho"), F.count("*").alias("n"))
     return out.select(F.when(F.col("n") >= 5, F.col("rho")).alias("rho"), "n")
@@ -53,7 +53,7 @@ def with_p(spearmans: DataFrame) -> DataFrame:
 
 def spearman_by(rows: DataFrame, key: str, x: str, y: str, least: int = 8) -> DataFrame:
     """(key, rho, n) for keys with ``least`` pairs and variance in both."""
-    pairs = rows.select(key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    pairs = rows.select(key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna(subset=[key]).where("x is not null and y is not null")
     ranked = pairs.withColumns({"rx": average_rank("x", key), "ry": average_rank("y", key)})
     out = ranked.groupBy(key).agg(_rho("rx", "ry").alias("rho"), F.count("*").alias("n"))
     return out.where((F.col("n") >= least) & F.col("rho").isNotNull())
@@ -116,7 +116,7 @@ def panel_blocks(blocks: DataFrame, key: str = "ticker") -> DataFrame:
     pairs = blocks.select("title", F.lit("pooled").alias("metric"), F.lit(None).cast("string").alias("of"), "x", "y")
     pairs = pairs.unionByName(z.select("title", F.lit("within").alias("metric"), F.lit(None).cast("string").alias("of"), F.col("zx").alias("x"), F.col("zy").alias("y")))
     pairs = pairs.unionByName(blocks.select("title", F.lit("each").alias("metric"), F.col(key).cast("string").alias("of"), "x", "y"))
-    rho = checkpoint(rankings.study(["title", "metric", "of"], pairs)[0])
+    rho = checkpoint(rankings.study(["title", "metric", "of"], pairs, nan=True)[0])
     whole = with_p(rho.where("metric <> 'each'")).select("title", "metric", "rho", "p", "n")
     each = rho.where("metric = 'each' and n >= 8 and rho is not null")
     none = F.lit(None).cast("double").alias("p")
@@ -139,7 +139,7 @@ def coverage_sweep(panel: DataFrame, thresholds: tuple[int, ...] = (1, 3, 5, 10,
     each = checkpoint(panel.withColumn("min_n", F.explode(F.array(*map(F.lit, thresholds)))).where("news_n >= min_n"))
     counts = each.groupBy("min_n").agg(F.count("*").alias("days"), F.countDistinct(key).alias("companies"))
     z = zscored(each, ["min_n", key], {"x": "news_neg", "y": "abs_ret"})
-    rho = rankings.study(["min_n"], z.select("min_n", "x", "y"))[0].select("min_n", "rho")
+    rho = rankings.study(["min_n"], z.select("min_n", "x", "y"), nan=True)[0].select("min_n", "rho")
     enough = (F.col("days") >= 30) & (F.col("companies") >= 5)
     return counts.join(rho, "min_n", "left").select("min_n", "days", "companies", F.when(enough, F.col("rho")).alias("rho"))
 
@@ -158,6 +158,6 @@ def analyze_panel(panel: DataFrame, key: str = "ticker") -> DataFrame:
     ]
     out = []
     for rows, x, y, title in blocks:
-        rows = rows.dropna(subset=["fwd_vol"]) if y == "fwd_vol" else rows
+        rows = rows.where("fwd_vol is not null") if y == "fwd_vol" else rows
         out.append(rows.select(F.lit(title).alias("title"), key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
     return panel_blocks(reduce(DataFrame.unionByName, out), key)
