@@ -115,7 +115,7 @@ def study(groups: list[str], pairs: DataFrame | None = None, splits: DataFrame |
     if splits is not None:
         own = facts.where(F.col("side") == "split").withColumn("ties", F.col("n"))
         rows = _ranked(kept["splits"], own, groups, "x", ["rank", "ties"])
-        w, ties = F.col("w"), F.col("ties")
+        w, ties = F.col("w"), F.col("ties").cast("decimal(19, 0)")  # cubes of millions pass 64 bits
         sums = rows.groupBy(*groups, "label").agg(F.sum(w * F.col("rank")).alias("s"), F.sum(w).alias("k"), F.sum(w * (ties * ties - 1)).cast("double").alias("t"))
     return correlations, sums
 

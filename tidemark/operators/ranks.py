@@ -38,6 +38,12 @@ def _rho(x: str, y: str) -> Column:
     return F.when(varied, F.try_divide(top, F.stddev_pop(x) * F.stddev_pop(y)))
 
 
+def _cubes(ties: str) -> Column:
+    """The sum of t*t - 1, exactly: cubes of millions pass 64 bits."""
+    t = F.col(ties).cast("decimal(19, 0)")
+    return F.sum(t * t - 1).cast("double")
+
+
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     """One row (rho, n). Null below five pairs, and without variance. NaN ranks above all numbers."""
     pairs = checkpoint(rows.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null"))
@@ -71,7 +77,7 @@ def kruskal(rows: DataFrame, feature: str, group: str) -> DataFrame:
     """One row (h, groups, n): H with the correction for ties, null below two groups or if all are tied."""
     pairs = checkpoint(rows.select(F.col(feature).cast("double").alias("x"), F.col(group).alias("g")).dropna())
     ranked = global_rank(pairs, "x", "r")
-    sums = ranked.groupBy("g").agg(F.sum("r").alias("s"), F.count("*").alias("k"), F.sum(F.col("r_ties") * F.col("r_ties") - 1).alias("t"))
+    sums = ranked.groupBy("g").agg(F.sum("r").alias("s"), F.count("*").alias("k"), _cubes("r_ties").alias("t"))
     total = sums.agg(
         F.sum(F.col("s") * F.col("s") / F.col("k")).alias("q"), F.sum("k").cast("double").alias("n"), F.sum("t").cast("double").alias("t"), F.count("*").alias("groups")
     )
@@ -89,7 +95,7 @@ def mann_whitney(rows: DataFrame, value: str, first: Column, least: int = 5) ->
         F.sum(F.when(F.col("g"), F.col("r"))).alias("s"),
         F.count(F.when(F.col("g"), 1)).alias("n1"),
         F.count(F.when(~F.col("g"), 1)).alias("n2"),
-        F.sum(F.col("r_ties") * F.col("r_ties") - 1).cast("double").alias("ties"),
+        _cubes("r_ties").alias("ties"),
     )
     u = F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2
     return out.select(F.when((F.col("n1") >= least) & (F.col("n2") >= least), u).alias("u"), "n1", "n2", "ties")
