@@ -44,7 +44,8 @@ def asof(
     # a row for each key and bucket that either side has
     heads = first.groupBy(key, "_b").agg(F.min("_found").alias("_head"))
     heads = heads.unionByName(placed.select(key, "_b").distinct().withColumn("_head", F.lit(None).cast(dict(heads.dtypes)["_head"])))
-    later = Window.partitionBy(key).orderBy("_b").rangeBetween(1, Window.unboundedFollowing)
+    # from the last on: a frame that grows takes in each row once, one that shrinks adds up the rest for each row
+    later = Window.partitionBy(key).orderBy(F.desc("_b")).rangeBetween(Window.unboundedPreceding, -1)
     next_ = heads.withColumn("_found", F.min("_head").over(later)).where("_head is null and _found is not null")
     ends = next_.select(key, "_b", ((F.col("_b") + 1) * width - 1).alias("_o"), "_found")
     nothing = F.lit(None).cast(dict(rows.dtypes)["_row"])
@@ -54,7 +55,7 @@ def asof(
         facts = facts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
         placed = placed.withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(parts)).cast("int"))
     both = placed.withColumn("_found", none).unionByName(facts)
-    here = Window.partitionBy(key, "_b", *(["_part"] if parts > 1 else [])).orderBy("_o").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    here = Window.partitionBy(key, "_b", *(["_part"] if parts > 1 else [])).orderBy(F.desc("_o")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     out = both.withColumn("_found", F.min("_found").over(here)).where("_row is not null").select("_row", "_found")
     if how == "left":
         out = out.unionByName(rows.where(F.col(key).isNull() | F.col("_o").isNull()).select("_row", none.alias("_found")))
