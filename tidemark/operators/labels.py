@@ -21,22 +21,23 @@ def realized_vol(filings: DataFrame, prices: DataFrame, window: int = WINDOW_DAY
     go before returns are made. Filings without enough prices stay with nulls.
     The range join is an equi-join on key and bin of days: a filing's window
     touches ``window // BIN + 2`` bins at most, so a company's bars are met by
-    few filings, not by all of them.
+    few filings, not by all of them. Filings of one key and day share a window,
+    which is worked out once.
     """
     end = F.date_add("filed_date", window)
     days = lambda c: F.floor(F.unix_date(c) / BIN)
-    spans = filings.select("filing_id", key, "filed_date").withColumn(
+    spans = filings.select(key, "filed_date").distinct().withColumn(
         "_bin", F.explode(F.sequence(days(F.date_add("filed_date", 1)), days(end)))
     )
     bars = prices.where("close > 0").select(key, "day", "close", days(F.col("day")).alias("_bin"))
     inside = spans.join(bars, [key, "_bin"]).where((F.col("day") > F.col("filed_date")) & (F.col("day") <= end))
-    order = Window.partitionBy("filing_id").orderBy("day")
+    order = Window.partitionBy(key, "filed_date").orderBy("day")
     moved = inside.withColumn("r", F.ln(F.col("close")) - F.lag(F.ln(F.col("close"))).over(order))
-    found = moved.groupBy("filing_id").agg(
+    found = moved.groupBy(key, "filed_date").agg(
         F.stddev_samp("r").alias("_sd"), F.count("r").cast("int").alias("_n"), F.min("day").alias("_first")
     )
     enough = F.col("_n") >= least
-    return filings.select("filing_id", end.alias("window_end")).join(found, "filing_id", "left").select(
+    return filings.select("filing_id", key, "filed_date", end.alias("window_end")).join(found, [key, "filed_date"], "left").select(
         "filing_id",
         F.when(enough, expr.annualised(F.col("_sd"))).alias("realized_vol"),
         F.when(enough, F.col("_first")).alias("window_start"),
