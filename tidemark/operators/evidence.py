@@ -52,13 +52,16 @@ def alert_feed(alerts: DataFrame, companies: DataFrame, severity: str | None = N
 def risk_detail(
     companies: DataFrame, alerts: DataFrame, news: DataFrame, links: DataFrame, explanations: DataFrame, ticker: str, limit: int = 5
 ) -> DataFrame:
-    """C21 (S17, T02, J08, J09, R08): one row for a company, with its alerts, their headlines and explanations nested; none for an unknown ticker."""
+    """C21 (S17, T02, J08, J09, R08): one row for a company, with its alerts, their headlines and explanations nested; none for an unknown ticker.
+
+    An alert stored twice is listed twice; of several explanations of an alert the greatest by status, narrative and citations holds.
+    """
     company = companies.where(F.upper("ticker") == ticker.upper()).select(F.col("id").alias("company_id"), "ticker", "name")
     own = alerts.join(F.broadcast(company), "company_id", "left_semi")
     found = headlines(own, news, links, limit).groupBy("alert_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "article_id", "headline", "source", "sentiment_score"))).alias("headlines")
     )
-    told = explanations.select("alert_id", F.struct("status", "narrative", "cited_ids").alias("explanation"))
+    told = explanations.groupBy("alert_id").agg(F.max(F.struct("status", "narrative", "cited_ids")).alias("explanation"))
     rows = own.select(F.col("id").alias("alert_id"), "company_id", "triggered_at", "alert_type", "severity", F.col("explanation").alias("note"))
     rows = rows.join(found, "alert_id", "left").join(told, "alert_id", "left")
     entry = F.struct((-F.unix_micros(F.col("triggered_at"))).alias("newest"), "alert_id", "triggered_at", "alert_type", "severity", "note", "headlines", "explanation")

@@ -584,7 +584,7 @@ def a12(spark, sf):
 
 @query("j09_alert_explanations", S.with_(*_ALERTS) + "SELECT alert_id, CASE WHEN alert_id % 3 = 0 THEN 'generated' END AS status FROM alerts")
 def j09(spark, sf):
-    told = explanations(spark, sf).select("alert_id", "status")
+    told = explanations(spark, sf).select("alert_id", "status").distinct()
     return alerts(spark, sf).select(F.col("id").alias("alert_id")).join(told, "alert_id", "left")
 
 
