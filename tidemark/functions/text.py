@@ -41,6 +41,16 @@ def html_to_text(html: str | None) -> str:
     return re.sub(r"\s+", " ", " ".join(parser.parts).replace("\xa0", " "))
 
 
+#: Pages whose texts are Python's at once.
+_PAGES = 64
+
+
+def html_texts(batch: pa.Array) -> pa.Array:
+    """X04 for many pages: they become Python's text one by one, and go back to Arrow a few at a time."""
+    parts = [pa.array([html_to_text(x.as_py()) for x in batch[i : i + _PAGES]], pa.string()) for i in range(0, len(batch), _PAGES)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
 # Patterns and phrases of annual reports.
 _ITEM = re.compile(r"item\s*1a", re.I)
 _ITEM_HEADER = re.compile(r"item\s*1a\.?\s*risk\s*factors", re.I)
@@ -191,9 +201,9 @@ def score_documents(docs: DataFrame, key: str, column: str, scorer: Scorer = lex
 def html_text(html: str) -> Column:
     """X04 over a column."""
 
-    @F.pandas_udf("string")
-    def run(batch: pd.Series) -> pd.Series:
-        return batch.map(html_to_text)
+    @F.arrow_udf("string")
+    def run(batch: pa.Array) -> pa.Array:
+        return html_texts(batch)
 
     return run(html)
 
