@@ -17,12 +17,20 @@ def rocks(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+#: Waiting requests of a key beyond which they are put away by slot.
+PART = 2000
+
+
 class Limiter(StatefulProcessor):
     """The times of a key's allowed requests, ``limit`` at most, and requests that wait for their turn.
 
     With ``slot`` (microseconds) a request waits until all of its slot are there
     and is decided in order of time and id; a timer of the requests' own time
     ends the slot. Without it each trigger is decided at once.
+
+    A key with few requests is one value, read and written once a trigger. What
+    waits beyond ``PART`` requests goes into parts by slot, which are written
+    once, read once and not touched in between.
     """
 
     def __init__(self, limit: int | None, window: int, slot: int | None, key: str, id: str, id_kind: str):
@@ -30,44 +38,90 @@ class Limiter(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.hits = handle.getListState("hits", "at long")
-        self.pending = handle.getMapState("pending", "slot long", f"requests array<struct<at: long, id: {self.id_kind}>>")
+        self.row = Row(self.key, self.id, "_at", "allowed", "retry_after")
+        requests = f"array<struct<at: long, id: {self.id_kind}>>"
+        self.state = handle.getValueState("state", f"hits array<long>, waiting {requests}, parted boolean")
+        self.parts = handle.getMapState("parts", "slot long, part int", f"requests {requests}")
+        self.counts = handle.getMapState("counts", "slot long", "parts int")
+
+    def _now(self) -> tuple[deque, list[tuple], bool]:
+        found = self.state.get()
+        return (deque(found[0]), [tuple(r) for r in found[1]], found[2]) if found else (deque(), [], False)
+
+    def _put(self, hits: deque, waiting: list[tuple], parted: bool) -> None:
+        self.state.update((list(hits), waiting, parted))
+
+    def _ends(self, slot: int) -> None:
+        self.handle.registerTimer(-(-(slot + 1) * self.slot // 1000))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        asked: dict[int, list[tuple]] = {}
-        for r in rows:
-            asked.setdefault(r["_at"] // self.slot if self.slot else 0, []).append((r["_at"], r[self.id]))
+        hits, waiting, parted = self._now()
+        asked = [(r["_at"], r[self.id]) for r in rows]
         if not self.slot:
-            yield from self._decide(key, asked[0])
+            before = list(hits)
+            yield from self._decide(key, hits, asked)
+            if list(hits) != before:
+                self._put(hits, [], False)
+                self._quiet(hits)
             return
-        for slot, requests in asked.items():
-            if self.pending.containsKey((slot,)):
-                requests = [*map(tuple, self.pending.getValue((slot,))[0]), *requests]
-            self.pending.updateValue((slot,), (requests,))
-            self.handle.registerTimer(-(-(slot + 1) * self.slot // 1000))
+        known = min(at // self.slot for at, _ in waiting) if waiting else None
+        waiting += asked
+        if len(waiting) <= PART:
+            first = min(at // self.slot for at, _ in waiting)
+            if known is None or first < known:
+                self._ends(first)
+        else:
+            dealt: dict[int, list[tuple]] = {}
+            for r in waiting:
+                dealt.setdefault(r[0] // self.slot, []).append(r)
+            for slot, requests in dealt.items():
+                n = self.counts.getValue((slot,))[0] if self.counts.containsKey((slot,)) else 0
+                self.parts.updateValue((slot, n), (requests,))
+                self.counts.updateValue((slot,), (n + 1,))
+                if not n:
+                    self._ends(slot)
+            waiting, parted = [], True
+        self._put(hits, waiting, parted)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         at = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        slot = at // self.slot - 1 if self.slot else None
-        if slot is not None and self.pending.containsKey((slot,)):
-            requests = list(map(tuple, self.pending.getValue((slot,))[0]))
-            self.pending.removeKey((slot,))
-            yield from self._decide(key, requests)
-        elif self.hits.exists() and max(r[0] for r in self.hits.get()) <= at - self.window:
-            self.hits.clear()
-
-    def _decide(self, key, requests: list[tuple]) -> Iterator[Row]:
-        hits = deque(r[0] for r in self.hits.get()) if self.hits.exists() else deque()
-        before = list(hits)
-        out = []
+        hits, waiting, parted = self._now()
+        # all slots that are over, in their order, whichever timer comes first
+        over = max(at, timerValues.getCurrentWatermarkInMs() * 1000)
+        due: dict[int, list[tuple]] = {}
+        rest = []
+        for r in waiting if self.slot else []:
+            if (r[0] // self.slot + 1) * self.slot <= over:
+                due.setdefault(r[0] // self.slot, []).append(r)
+            else:
+                rest.append(r)
+        put_away = {x[0] for x in self.counts.keys()} if parted else set()
+        ready = {x for x in put_away if (x + 1) * self.slot <= over}
+        for slot in sorted(ready.union(due)):
+            requests = due.get(slot, [])
+            if slot in ready:
+                for n in range(self.counts.getValue((slot,))[0]):
+                    requests += map(tuple, self.parts.getValue((slot, n))[0])
+                    self.parts.removeKey((slot, n))
+                self.counts.removeKey((slot,))
+            yield from self._decide(key, hits, requests)
+        if due or ready:
+            self._put(hits, rest, put_away != ready)
+            if rest:
+                self._ends(min(x // self.slot for x, _ in rest))
+            self._quiet(hits)
+        elif hits and not waiting and not put_away and max(hits) <= at - self.window:
+            self.state.clear()
+
+    def _quiet(self, hits: deque) -> None:
+        """What is quiet for two windows is forgotten."""
+        if hits:
+            self.handle.registerTimer((hits[-1] + 2 * self.window) // 1000 + 1)
+
+    def _decide(self, key, hits: deque, requests: list[tuple]) -> Iterator[Row]:
         for at, ident in sorted(requests, key=lambda r: (r[0], r[1] is not None, r[1])):
             yes, wait = limits.check(hits, self.limit, self.window, at, limits.SECOND)
-            out.append(Row(**{self.key: key[0], self.id: ident, "_at": at, "allowed": yes, "retry_after": wait}))
-        if list(hits) != before:
-            self.hits.put([(x,) for x in hits])
-            # what is quiet for two windows is forgotten
-            self.handle.registerTimer((hits[-1] + 2 * self.window) // 1000 + 1)
-        yield from out
+            yield self.row(key[0], ident, at, yes, wait)
 
     def close(self) -> None:
         pass
