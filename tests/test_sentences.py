@@ -87,3 +87,19 @@ def test_ratio(spark):
         p, p1, p2 = b / n, k / a, (b - k) / (n - a)
         want = -2 * (log(k, a, p) + log(b - k, n - a, p) - log(k, a, p1) - log(b - k, n - a, p2)) if p1 > p2 else 0
         assert value == pytest.approx(want)
+
+
+def test_pairs_are_kept_about_ends_alone(spark):
+    """Words without a sign that ends have a row each, however many words follow them."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(30)]
+    texts = [" ".join(rng.choice(words) for _ in range(200)) + " end.\" Then" for _ in range(20)]
+    rows = S.pair_counts(spark.createDataFrame([(t,) for t in texts], "text string"), "text").collect()
+    assert sum(r["n"] for r in rows) == 20 * 202
+    assert {(r["token"], r["next"], r["n"]) for r in rows if r["next"] is not None} == {("end.", "then", 20)}
+    assert len(rows) == 32
+
+
+def test_odd_ends(spark, model):
+    """Line separators that aren't white space, marks in a row and white space about the text."""
+    assert split(spark, model, " \t It fell.\u0085 \n The end!?')] It ran.. So  ") == ["It fell.\u0085", "The end!?')]", "It ran..", "So"]

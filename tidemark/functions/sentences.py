@@ -15,13 +15,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.storage import checkpoint
+from tidemark.sources.storage import checkpoint, spread, written
 
 # Fixed values of the published method.
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
 #: Entries of a table at most, the best first.
 MOST = 5000
 _END = r"[.!?]+[\"'”’)\]]*$"
+#: Whatever may come between the sign and the end of a token, line separators that aren't white space included.
+_MAY_END = r"[.!?][\"'”’)\],;:\x85\u2028\u2029]*$"
+_MAY_BREAK = r"([.!?][\"'”’)\]\x85\u2028\u2029]*\s+)(?=\S)"
 _MARK = "\u0001"
 
 
@@ -46,12 +49,13 @@ def pieces(text: Column) -> Column:
 
 
 def _tokens(docs: DataFrame, column: str) -> DataFrame:
-    """(token, next): all tokens, in their bare form, and what follows each."""
-    parts = F.transform(F.filter(F.split(F.col(column), r"\s+"), lambda t: t != ""), bare)
+    """(token, next): all tokens as they stand, and what follows those that may end a sentence; null after others."""
+    parts = F.filter(F.split(F.col(column), r"\s+"), lambda t: t != "")
     rows = docs.where(F.col(column).isNotNull()).select(parts.alias("t"))
     # side by side rather than looked up from inside: an array would be made anew for each token
     pair = F.arrays_zip(F.col("t").alias("token"), F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))).alias("next"))
-    return rows.select(F.explode(pair).alias("p")).select("p.token", "p.next").where("token <> ''")
+    each = rows.select(F.explode(pair).alias("p")).select("p.token", "p.next")
+    return each.select("token", F.when(F.col("token").rlike(_MAY_END), F.col("next")).alias("next"))
 
 
 def _surprise(k: Column, n: Column, p: Column) -> Column:
@@ -68,8 +72,14 @@ def ratio(both: Column, first: Column, second: Column, total: Column) -> Column:
 
 
 def pair_counts(docs: DataFrame, column: str) -> DataFrame:
-    """(token, next, n) over the whole corpus: all that the tables need."""
-    return checkpoint(_tokens(docs, column).groupBy("token", "next").agg(F.count("*").alias("n")))
+    """(token, next, n) over the whole corpus, in bare forms: all that the tables need.
+
+    ``next`` is null after tokens that can't end a sentence, so rows are as many
+    as different words and pairs about an end, and only these are made bare.
+    """
+    raw = _tokens(spread(docs.select(column)), column).groupBy("token", "next").agg(F.count("*").alias("n"))
+    plain = raw.select(bare(F.col("token")).alias("token"), bare(F.col("next")).alias("next"), "n").where("token <> ''")
+    return written(plain.groupBy("token", "next").agg(F.sum("n").alias("n")))
 
 
 def word_counts(pairs: DataFrame) -> DataFrame:
@@ -124,24 +134,39 @@ def split(text: Column, model: Model, min_length: int = 20, most: int = 400) ->
     together ends nothing, unless a word follows that begins sentences; nor
     does one after a number, or several, before a small letter.
     """
-    parts = pieces(F.regexp_replace(F.coalesce(text, F.lit("")), _MARK, " "))
+    whole = F.regexp_replace(F.coalesce(text, F.lit("")), _MARK, " ")
+    # cut wherever a sentence may end: what is judged are these ends, not all tokens
+    parts = F.split(F.regexp_replace(whole, _MAY_BREAK, f"$1{_MARK}"), _MARK)
     in_ = lambda c, table: c.isin(table) if table else F.lit(False)
     pairs = [f"{a} {b}" for a, b in model.collocations]
-
-    def marked(pair: Column) -> Column:
-        piece = pair["piece"]
-        token, after = F.regexp_replace(piece, r"\s+$", ""), F.regexp_replace(F.coalesce(pair["after"], F.lit("")), r"\s+$", "")
-        word = F.regexp_replace(bare(F.regexp_replace(token, r"[\"'”’)\]]+$", "")), r"\.$", "")
-        next_ = F.regexp_replace(bare(after), r"[.!?]+$", "")
-        small = after.rlike(r"^[\"'(\[“‘]*\p{Ll}")
-        begins = in_(next_, model.starters) & ~small
+    bound = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  # evaluated once, however often it is used
+    trimmed = lambda c: F.regexp_replace(c, r"\s+$", "")
+
+    def about(pair: Column) -> Column:
+        """A part with the token at its end and what follows it."""
+        after = F.split(F.coalesce(pair["after"], F.lit("")), r"(?<=\s)(?=\S)", 2)[0]
+        return F.struct(pair["part"].alias("part"), trimmed(F.element_at(pieces(pair["part"]), -1)).alias("token"), trimmed(after).alias("after"))
+
+    def words(row: Column) -> Column:
+        open_ = F.regexp_replace(row["token"], r"[\"'”’)\]]+$", "")
+        return F.struct(
+            row["part"].alias("part"),
+            row["token"].rlike(_END).alias("may"),
+            open_.endswith(".").alias("period"),
+            F.regexp_replace(bare(open_), r"\.$", "").alias("word"),
+            F.regexp_replace(bare(row["after"]), r"[.!?]+$", "").alias("next"),
+            row["after"].rlike(r"^[\"'(\[“‘]*\p{Ll}").alias("small"),
+        )
+
+    def marked(row: Column) -> Column:
+        word, small = row["word"], row["small"]
+        begins = in_(row["next"], model.starters) & ~small
         held = (in_(word, model.abbreviations) | word.rlike(r"^\p{L}$")) & ~begins
-        held = held | (in_(F.concat(word, F.lit(" "), next_), pairs) & ~begins) | ((word.rlike(r"\.$|^$") | (word == "#number")) & small)
-        ends = F.when(F.regexp_replace(token, r"[\"'”’)\]]+$", "").endswith("."), ~held).otherwise(True)
-        return F.when(token.rlike(_END) & ends, F.concat(piece, F.lit(_MARK))).otherwise(piece)
-
-    # side by side: looked up from inside, the array would be made anew for each token
-    both = F.arrays_zip(parts.alias("piece"), F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))).alias("after"))
-    whole = F.array_join(F.transform(both, marked), "")
-    found = F.transform(F.split(whole, _MARK), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+        held = held | (in_(F.concat(word, F.lit(" "), row["next"]), pairs) & ~begins) | ((word.rlike(r"\.$|^$") | (word == "#number")) & small)
+        ends = F.when(row["period"], ~held).otherwise(True)
+        return F.when(row["may"] & ends, F.concat(row["part"], F.lit(_MARK))).otherwise(row["part"])
+
+    both = bound(parts, lambda p: F.arrays_zip(p.alias("part"), F.slice(p, 2, F.greatest(F.size(p), F.lit(1))).alias("after")))
+    joined = F.array_join(F.transform(F.transform(F.transform(both, about), words), marked), "")
+    found = F.transform(F.split(joined, _MARK), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
     return F.slice(F.filter(found, lambda s: F.length(s) >= min_length), 1, most)

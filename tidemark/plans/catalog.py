@@ -15,7 +15,7 @@ from tidemark.functions import text as X
 from tidemark.operators import anomaly, asof, backtest, evidence, explain, ingest, labels, limits, modelops, panel, pit, ranks, regime, validate
 from tidemark.plans import surrogate as S
 from tidemark.plans.catalog_streams import admitted_sql, shown
-from tidemark.sources import readers, writers
+from tidemark.sources import readers, storage, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -889,7 +889,7 @@ def x07_unsupervised(spark, sf):
     """Sentences of the pages' and documents' own abbreviations; tests hold the tables and the cuts against cases written by hand."""
     docs = S.table(spark, sf, "documents").select("doc_id", "text")
     model = sentences.fit(docs, "text")
-    rows = docs.select("doc_id", F.explode(sentences.split(F.col("text"), model, most=2_000_000_000)).alias("s"))
+    rows = storage.spread(docs).select("doc_id", F.explode(sentences.split(F.col("text"), model, most=2_000_000_000)).alias("s"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.sum(F.length("s")).alias("chars"))
 
 
