@@ -14,17 +14,16 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
-def upsert(target: DataFrame, changes: DataFrame, keys: list[str], update: list[str], order: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``changes`` applied in the order of column ``order``.
+def reduced(changes: DataFrame, columns: list[str], keys: list[str], update: list[str], order: str) -> DataFrame:
+    """``changes`` with one row for each key: ``_first`` has all other ``columns``, ``_last`` those to ``update``."""
+    first = [F.min_by(F.struct(*[c for c in columns if c not in keys]), F.col(order)).alias("_first")]
+    last = [F.max_by(F.struct(*update), F.col(order)).alias("_last")] if update else []
+    return changes.groupBy(*keys).agg(*first, *last)
 
-    A new key keeps the first values of its changes, but for ``update`` columns,
-    which are those of the last change; a known key has only these replaced.
-    A null in columns to ``keep`` replaces nothing.
-    """
+
+def applied(target: DataFrame, one: DataFrame, keys: list[str], update: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """``target`` after changes that are ``reduced``."""
     others = [c for c in target.columns if c not in keys]
-    first = [F.min_by(F.struct(*others), F.col(order)).alias("_first")]
-    last = [F.max_by(F.struct(*update), F.col(order)).alias("_last")] if update else []
-    one = changes.groupBy(*keys).agg(*first, *last)
     old = target.withColumn("_old", F.struct(*others)).select(*keys, "_old")
     joined = old.join(one, keys, "full_outer")
     columns = []
@@ -38,6 +37,16 @@ def upsert(target: DataFrame, changes: DataFrame, keys: list[str], update: list[
     return joined.select(*keys, *columns).select(*target.columns)
 
 
+def upsert(target: DataFrame, changes: DataFrame, keys: list[str], update: list[str], order: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``changes`` applied in the order of column ``order``.
+
+    A new key keeps the first values of its changes, but for ``update`` columns,
+    which are those of the last change; a known key has only these replaced.
+    A null in columns to ``keep`` replaces nothing.
+    """
+    return applied(target, reduced(changes, target.columns, keys, update, order), keys, update, keep)
+
+
 def upsert_companies(target: DataFrame, changes: DataFrame, order: str = "seq") -> DataFrame:
     """By cik; the ticker of a known company stays. A null sector or code keeps what is known."""
     update = [c for c in ("name", "sector", "sic_code") if c in target.columns]

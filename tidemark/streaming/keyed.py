@@ -7,9 +7,11 @@ bucket takes rows only from one that there is, so a growing table rewrites the
 buckets that a batch names and those that split, never the rest.
 
 A batch writes its buckets into ``data/v=<version>/bucket=<b>``, several files
-for a large one. Then a file ``commits/<version>`` says which version of each
-bucket holds now, and how many rows it has. What isn't committed isn't there: a
-batch that failed midway is written again, one that was committed is left out.
+for a large one; small ones share the folder of the first of them, so that there
+are as many files as rows need, however small buckets are. Then a file
+``commits/<version>`` says which version of each bucket holds now, how many rows
+it has and in which folder it is. What isn't committed isn't there: a batch that
+failed midway is written again, one that was committed is left out.
 """
 
 from __future__ import annotations
@@ -24,25 +26,31 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.sources import writers
 
-#: Rows that a bucket has on average at most, and rows of a file.
-ROWS, FILE_ROWS = 1_000_000, 1_000_000
+#: Rows that a bucket has on average at most, rows of a file, and rows up to which buckets share a folder.
+ROWS, FILE_ROWS, FOLDER_ROWS = 1_000_000, 1_000_000, 200_000
+#: Buckets up to which a read names them, so that pages of files can be left out.
+FEW = 10
 
 
 #: A bucket without rows.
-EMPTY = (-1, 0)
+EMPTY = (-1, 0, -1)
+
+
+#: What rows in files have beside the table's columns.
+_PLACE = [StructField("_bucket", IntegerType()), StructField("_version", IntegerType())]
 
 
 @dataclass
 class Commit:
-    """The last batch of each source, and for each bucket the version that holds and its rows."""
+    """The last batch of each source, and for each bucket the version that holds, its rows and its folder."""
 
     version: int
     batches: dict[str, int] = field(default_factory=dict)
-    held: list[tuple[int, int]] = field(default_factory=list)
+    held: list[tuple[int, int, int]] = field(default_factory=list)
 
     @property
     def rows(self) -> int:
-        return sum(n for _, n in self.held)
+        return sum(n for _, n, _ in self.held)
 
 
 def address(keys: list[str], buckets: int) -> Column:
@@ -98,15 +106,25 @@ class KeyedTable:
     # -- reading
 
     def _folders(self, commit: Commit, buckets: list[int]) -> list[str]:
-        return [f"{self.path}/data/v={commit.held[b][0]}/bucket={b}" for b in buckets if commit.held[b][0] >= 0]
-
-    def _rows(self, folders: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
+        return [f"{self.path}/data/v={v}/bucket={f}" for v, f in sorted({(commit.held[b][0], commit.held[b][2]) for b in buckets if commit.held[b][0] >= 0})]
+
+    def _rows(self, commit: Commit, buckets: list[int]) -> DataFrame:
+        """The rows of ``buckets``; what folders have of others, or of older versions of them, is left out."""
+        folders = self._folders(commit, buckets)
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        wanted = set(buckets)
+        holds = [v if b in wanted else -1 for b, (v, *_) in enumerate(commit.held)]
+        kinds = StructType([*self.schema.fields, *_PLACE])
+        # the version of each bucket as one constant: a number for each bucket
+        live = F.get(F.split(F.lit(",".join(map(str, holds))), ",").cast("array<int>"), F.col("_bucket")) == F.col("_version")
+        rows = self.spark.read.schema(kinds).parquet(*folders).where(live)
+        return (rows.where(F.col("_bucket").isin(buckets)) if len(buckets) <= FEW else rows).select(*self.schema.names)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The table now, or as it was in ``version``; only the folders that hold are listed."""
         commit = self.commit(version)
-        return self._rows(self._folders(commit, list(range(len(commit.held)))))
+        return self._rows(commit, list(range(len(commit.held))))
 
     # -- writing
 
@@ -115,15 +133,20 @@ class KeyedTable:
         version = before.version + 1
         data = f"{self.path}/data/v={version}"
         held = [*before.held, *[EMPTY] * buckets][:buckets]
-        # a large bucket is written by several tasks
-        salt = max(1, -(-max((held[b][1] for b in touched), default=0) // FILE_ROWS))
-        dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*self.keys, F.lit(1)), F.lit(salt))).repartition("_bucket", "_salt").drop("_salt")
-        dealt.withColumnRenamed("_bucket", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(data)
-        kinds = StructType([*self.schema.fields, StructField("bucket", IntegerType())])
-        counts = self.spark.read.schema(kinds).parquet(data).groupBy("bucket").count().collect()  # a row for each bucket
-        found = {r["bucket"]: r["count"] for r in counts}
+        span = max(1, FOLDER_ROWS // self.rows)
+        sizes: dict[int, int] = {}
+        for b in touched:
+            sizes[b // span] = sizes.get(b // span, 0) + held[b][1]
+        # a large folder is written by several tasks
+        salt = max(1, -(-max(sizes.values(), default=0) // FILE_ROWS))
+        folder = (F.col("_bucket") - F.col("_bucket") % span).alias("bucket")
+        dealt = rows.select(*self.schema.names, "_bucket", F.lit(version).alias("_version"), folder)
+        dealt = dealt.withColumn("_salt", F.pmod(F.xxhash64(*self.keys, F.lit(1)), F.lit(salt))).repartition("bucket", "_salt").drop("_salt")
+        dealt.sortWithinPartitions("bucket", "_bucket").write.mode("overwrite").partitionBy("bucket").parquet(data)
+        counts = self.spark.read.schema(StructType(_PLACE)).parquet(data).groupBy("_bucket").count().collect()  # a row for each bucket
+        found = {r["_bucket"]: r["count"] for r in counts}
         for b in touched:
-            held[b] = (version, found[b]) if b in found else EMPTY
+            held[b] = (version, found[b], b - b % span) if b in found else EMPTY
         return Commit(version, dict(before.batches), held)
 
     def merge(self, changes: DataFrame, batch: int, update: list[str], order: str, source: str = "") -> Commit:
@@ -134,12 +157,11 @@ class KeyedTable:
         before = self.commit()
         if batch <= before.batches.get(source, -1):
             return before
-        changes = changes.select(*self.schema.names, order)
         there = len(before.held)
+        one = writers.reduced(changes, self.schema.names, self.keys, update, order)
         # keys that are known count twice here, which only splits a little sooner
         wanted = max(there, -(-(before.rows + changes.select(*self.keys).distinct().count()) // self.rows))
-        here = changes.withColumn("_bucket", address(self.keys, wanted))
-        named = {r["_bucket"] for r in here.select("_bucket").distinct().collect()}  # a number for each bucket
+        named = {r["_bucket"] for r in changes.select(address(self.keys, wanted).alias("_bucket")).distinct().collect()}  # a number for each bucket
         named.update(range(there, wanted))
         # all rows of a new bucket come from the one that it was split from, which is written again with all its parts
         old = set()
@@ -147,8 +169,8 @@ class KeyedTable:
             while b >= there:
                 b = parent(b)
             old.add(b)
-        target = self._rows(self._folders(before, sorted(old))).withColumn("_bucket", address(self.keys, wanted))
-        merged = writers.upsert(target, here, [*self.keys, "_bucket"], update, order)
+        target = self._rows(before, sorted(old))
+        merged = writers.applied(target, one, self.keys, update).withColumn("_bucket", address(self.keys, wanted))
         out = self._write(merged, before, wanted, sorted(named | old))
         out.batches[source] = batch
         self._put(out)
