@@ -889,7 +889,8 @@ def x07_unsupervised(spark, sf):
     """Sentences of the pages' and documents' own abbreviations; tests hold the tables and the cuts against cases written by hand."""
     docs = S.table(spark, sf, "documents").select("doc_id", "text")
     model = sentences.fit(docs, "text")
-    rows = storage.spread(docs).select("doc_id", F.explode(sentences.split(F.col("text"), model, most=2_000_000_000)).alias("s"))
+    found = sentences.with_sentences(storage.spread(docs), "text", model, most=2_000_000_000)
+    rows = found.select("doc_id", F.explode("sentences").alias("s"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.sum(F.length("s")).alias("chars"))
 
 
